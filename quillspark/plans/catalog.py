@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import relational, text
+from . import analytics, relational, text
 from .registry import PLANS, Plan
 
-MODULES = (relational, text)
+MODULES = (relational, text, analytics)
 
 
 def all_plans() -> dict[str, Plan]:

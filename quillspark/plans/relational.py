@@ -234,11 +234,11 @@ def merge_subtitles(spark, sf_dir):
 # --- aggregates ---
 
 
-@plan("AG1", """SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 3) AS mean, round(median(o_totalprice), 4) AS med, round(sum(o_totalprice), 2) AS total
+@plan("AG1", """SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 7) AS mean, round(median(o_totalprice), 4) AS med, round(sum(o_totalprice), 2) AS total
   FROM orders GROUP BY 1 HAVING count(*) >= 10""")
 def grouped_having(spark, sf_dir):
     g = Tables(spark, sf_dir).orders.groupBy("o_custkey").agg(
-        F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 3).alias("mean"), F.round(F.expr("percentile(o_totalprice, 0.5)"), 4).alias("med"),
+        F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 7).alias("mean"), F.round(F.expr("percentile(o_totalprice, 0.5)"), 4).alias("med"),
         F.round(F.sum("o_totalprice"), 2).alias("total"),
     )
     return g.filter("n >= 10")
