@@ -506,6 +506,20 @@ def article_folder(spark, sf_dir):
     return rows.select(F.regexp_extract("quote", r"(\d+)", 1).cast("bigint").alias("item_id"), "context", "quote")
 
 
+@plan("SRC8 EX4", "SELECT doc_id, upper(lang) AS code FROM documents")
+def fetched_by_distinct_key(spark, sf_dir):
+    """A look-up that is asked once for each language."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "lang")
+    looked = fi.map_distinct(d, ["lang"], lambda keys: fi.fetch(keys, "lang string, code string", lambda key: [(key[0], key[0].upper())]))
+    return looked.select("doc_id", "code")
+
+
+@plan("SRC9")
+def recognised_pages(spark, sf_dir):
+    """Files of the benchmark folder through a stand-in recogniser that tells their kind."""
+    return fi.read_pages(spark, f"{sf_dir}/benchmark.parquet", lambda content: content[:4].decode("latin-1"))
+
+
 @plan("SRC6 SNK3 FN7", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
 def journeys_round_trip(spark, sf_dir):
     steps = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("pos"), F.col("role").alias("token")))).alias("steps"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean as cl
+from ..functions import language as la
 from ..functions import metrics as mt
 from ..functions import similarity as sim
 from ..functions import tokens as tk
@@ -395,3 +396,12 @@ def collapse_spaces(spark, sf_dir):
     from ..functions.rules import apply_rules
 
     return _docs(spark, sf_dir).select("doc_id", apply_rules(F.col("text"), COLLAPSE).alias("text"))
+
+
+_VOTES = ", ".join(f"{{'n': -len(list_filter(w, lambda x: x IN {ws})), 'lang': '{k}'}}" for k, ws in la.FUNCTION_WORDS.items())
+
+
+@plan("FLT6", f"""WITH w AS (SELECT doc_id, text, {tk.alnum_sql('text')} AS w FROM documents), v AS (SELECT doc_id, text, list_min([{_VOTES}]) AS b FROM w)
+  SELECT doc_id FROM v WHERE len({tk.split_words_sql('text')}) >= 3 AND length(text) >= 4 AND b.n < 0 AND b.lang = 'en'""")
+def language_predicate(spark, sf_dir):
+    return _docs(spark, sf_dir).filter(la.is_language(F.col("text"))).select("doc_id")

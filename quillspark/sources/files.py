@@ -122,6 +122,39 @@ def map_distinct(df: DataFrame, keys: list[str], f: Callable[[DataFrame], DataFr
     return df.join(f(df.select(*keys).distinct()), keys, "left")
 
 
+def fetch(keys: DataFrame, schema: str, get: Callable[[tuple], list[tuple]], retries: int = 3) -> DataFrame:
+    """Rows that a slow outer source gives for each key row, asked by the executors; a failing call is tried again.
+
+    Give distinct keys (see ``map_distinct``): every row is one call.
+    """
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key in b.itertuples(index=False, name=None):
+                for left in reversed(range(retries)):
+                    try:
+                        rows += get(key)
+                        break
+                    except OSError:
+                        if not left:
+                            raise
+            yield pd.DataFrame(rows, columns=names)
+
+    return keys.mapInPandas(run, schema)
+
+
+def read_pages(spark: SparkSession, folder: str, recognise: Callable[[bytes], str]) -> DataFrame:
+    """file name and recognised text of image files; the recogniser is the caller's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"filename": b["path"].str.rsplit("/", n=1).str[-1], "text": [recognise(bytes(c)) for c in b["content"]]})
+
+    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(run, "filename string, text string")
+
+
 # Figures that text reports state.
 REPORT_FIGURES = {
     "accuracy": r"Accuracy[^:]*:\s*([0-9.]+)", "auc": r"AUC[^:]*:\s*([0-9.]+)", "silhouette": r"Silhouette[^:]*:\s*(-?[0-9.]+)",
