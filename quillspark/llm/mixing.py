@@ -9,7 +9,8 @@ domain totals of the present rates, so each iteration is one aggregation over
 so far; nothing of a document's size leaves its row.
 
 Squared misses are weighted by the inverse of the domains' token Gram matrix and
-rates by their tokens, which makes the unit step safe and the descent fast.
+rates by their tokens, which makes the unit step safe; steps scaled by the Gram matrix of the
+documents still above zero are tried beside it and make the descent fast.
 
 Defined cases: null and empty texts have no tokens, no part in the totals and keep
 rate 1; without labels of two classes there is one domain and all rates are 1;
@@ -54,15 +55,16 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Domains:
-    """Softmax regression over feature rows."""
+    """Softmax regression over feature rows; ``offset`` sets the sample's class shares back to those of all labels."""
 
     names: list[str]
     weights: np.ndarray | None
+    offset: np.ndarray | float = 0.0
 
     def posteriors(self, rows: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.ones((len(rows), len(self.names)))
-        z = rows @ self.weights
+        z = rows @ self.weights + self.offset
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -87,15 +89,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return Domains(names or ["all"], None)
     x = np.stack([np.frombuffer(r[2], "<f2") for r in got]).astype(np.float32)
     y = np.eye(len(names), dtype=np.float32)[[names.index(r[1]) for r in got]]
-    share = y.mean(axis=0)
+    counts = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}
+    offset = np.log([counts[n] for n in names]) - np.log(y.sum(axis=0))
     w, m, v = (np.zeros((FEATURES, len(names)), np.float32) for _ in range(3))
     for step in range(1, epochs + 1):
         p = Domains(names, w).posteriors(x)
-        g = x.T @ ((p - y) / np.sqrt(share)[y.argmax(axis=1)][:, None]) / len(x) + 1e-4 * w
+        g = x.T @ (p - y) / len(x) + 1e-4 * w
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Domains(names, w.astype(np.float32))
+    return Domains(names, w.astype(np.float32), (offset - offset.max()).astype(np.float32))
 
 
 def membership(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
@@ -114,41 +117,67 @@ def membership(docs: DataFrame, model: Domains, text_col: str = "text") -> DataF
     return docs.mapInArrow(run, schema)
 
 
+def _move(w: np.ndarray) -> Column:
+    return sum((F.col("__p")[k] * F.lit(float(x)) for k, x in enumerate(w)), F.lit(0.0))
+
+
 def _rate(steps: list[np.ndarray]) -> Column:
     """The rate after the steps so far: each is a posterior-weighted move, cut off at zero."""
     rate = F.lit(1.0)
     for w in steps:
-        move = sum((F.col("__p")[k] * F.lit(float(x)) for k, x in enumerate(w)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate + move)
+        rate = F.greatest(F.lit(0.0), rate + _move(w))
     return rate
 
 
-def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], iterations: int = 25, tolerance: float = 1e-6):
-    """(steps, report): the steps that make up the rates, and target and reached totals of each domain."""
+def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], iterations: int = 15, tolerance: float = 1e-6):
+    """(steps, report): the steps that make up the rates, and target and reached totals of each domain.
+
+    Every iteration tries, in one aggregation, the plain scaled gradient and shorter and shorter steps
+    scaled by the Gram matrix of the rates above zero; the one that misses least is taken, so the miss never grows.
+    """
     k = len(names)
     wanted = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
-    gram = [F.sum(F.col("__tokens") * F.col("__p")[i] * F.col("__p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-    row = soft.agg(F.sum("__tokens").alias("n"), *gram).first()
-    total = float(row["n"] or 0)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def totals(steps: list[np.ndarray], tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Domain totals, and the Gram matrix of positive rates, after each of the moves tried."""
+        rated = soft.select("__tokens", "__p", _rate(steps).alias("__r"))
+        moves = [F.greatest(F.lit(0.0), F.col("__r") + _move(w)).alias(f"r{c}") for c, w in enumerate(tried)]
+        weigh = rated.select("__tokens", "__p", *moves)
+        sums, p = [], F.col("__p")
+        for c in range(len(tried)):
+            r = F.col(f"r{c}")
+            sums += [F.sum(r * F.col("__tokens") * p[i]).alias(f"s{c}_{i}") for i in range(k)]
+            sums += [F.sum(F.when(r > 0, F.col("__tokens") * p[i] * p[j]).otherwise(0.0)).alias(f"g{c}_{i}_{j}") for i, j in upper]
+        row = weigh.agg(*sums).first()
+        out = []
+        for c in range(len(tried)):
+            gram = np.zeros((k, k))
+            for i, j in upper:
+                gram[i, j] = gram[j, i] = row[f"g{c}_{i}_{j}"] or 0.0
+            out.append((np.array([row[f"s{c}_{i}"] or 0.0 for i in range(k)]), gram))
+        return out
+
+    reached, gram = totals([], [np.zeros(k)])[0]
+    total = reached.sum()
     if not total or not wanted.sum() or k < 2:
-        return [], {n: (total if k == 1 else 0.0, total if k == 1 else 0.0) for n in names}
+        return [], {n: (float(x), float(x)) for n, x in zip(names, reached)}
     goal = wanted / wanted.sum() * total
-    m = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    inverse = np.linalg.inv(m + np.eye(k) * 1e-9 * np.trace(m))
+    invert = lambda g: np.linalg.inv(g + np.eye(k) * 1e-9 * max(np.trace(g), 1e-9))
+    metric = invert(gram)
+    cost = lambda x: float((x - goal) @ metric @ (x - goal))
     steps: list[np.ndarray] = []
-    best = None
-    for _ in range(iterations + 1):
-        rated = soft.select("__tokens", "__p", _rate(steps).alias("r"))
-        sums = rated.agg(*[F.sum(F.col("r") * F.col("__tokens") * F.col("__p")[i]).alias(f"s{i}") for i in range(k)]).first()
-        reached = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
-        miss = reached - goal
-        size = float(np.abs(miss).sum() / total)
-        if best is None or size < best[0]:
-            best = (size, list(steps), reached)
-        if size < tolerance:
+    for _ in range(iterations):
+        if np.abs(reached - goal).sum() < tolerance * total:
+            break
+        sharp = -invert(gram) @ (reached - goal)
+        tried = [sharp, sharp / 2, sharp / 4, -metric @ (reached - goal)]
+        found = totals(steps, tried)
+        best = min(range(len(tried)), key=lambda c: cost(found[c][0]))
+        if cost(found[best][0]) >= cost(reached) * (1 - 1e-9):
             break
-        steps.append(-(inverse @ miss))
-    _, steps, reached = best
+        steps.append(tried[best])
+        reached, gram = found[best]
     return steps, {n: (float(g), float(r)) for n, g, r in zip(names, goal, reached)}
 
 
