@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -241,23 +241,33 @@ def _prefixes(percent: int):
                 size = int(n[second[a]])
                 left = size - needed(size, percent) + 1 - (size - (b - a))
                 if left > 0:
-                    rows.append((int(cs[a]), size, *(t[o[a : a + left]].tobytes() for o in (second, third, fourth))))
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        return pa.table({k: pa.array(v, p) for k, v, p in zip(("cid", "n", "p2", "p3", "p4"), cols, (pa.int64(), pa.int64(), *[pa.binary()] * 3))})
+                    hub = int(1000 * np.log2(df[second[a:b]].astype(np.float64)).sum() / size)
+                    rows.append((int(cs[a]), size, hub, size - (b - a), *(t[o[a : a + left]].tobytes() for o in (second, third, fourth))))
+        cols = list(zip(*rows)) if rows else [[]] * 7
+        kinds = (*[pa.int64()] * 4, *[pa.binary()] * 3)
+        return pa.table({k: pa.array(v, p) for k, v, p in zip(("cid", "n", "hub", "single", "p2", "p3", "p4"), cols, kinds)})
 
     return run
 
 
-PREFIXES = "cid long, n long, p2 binary, p3 binary, p4 binary"
+PREFIXES = "cid long, n long, hub long, single long, p2 binary, p3 binary, p4 binary"
+
+
+POSTINGS = ["token", "cid", "hub", "n", "after"]
 
 
 def _postings(batches):
+    """A row for each prefix token of a class; ``after``: the class's tokens from it on, in order two."""
     for b in batches:
-        sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-        cid = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
-        token = np.concatenate(sets) if sets else np.empty(0, np.int64)
-        for at in range(0, len(token), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 50_000]), pa.array(cid[at : at + 50_000])], ["token", "cid"])
+        cid, hub, n, single = (c.to_numpy() for c in b.columns[:4])
+        sets = [np.frombuffer(x, np.int64) for x in b.column(4).to_pylist()]
+        sizes = [len(s) for s in sets]
+        if not sum(sizes):
+            continue
+        place = np.concatenate([np.arange(k) for k in sizes])
+        cols = [np.concatenate(sets), *(np.repeat(x, sizes) for x in (cid, hub, n)), np.repeat(n - single, sizes) - place]
+        for at in range(0, len(place), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in cols], POSTINGS)
 
 
 def _meet(x: bytes, y: bytes) -> int:
@@ -301,33 +311,40 @@ def _two_sided(pairs: DataFrame, right: DataFrame, columns: list[str]) -> DataFr
 
 def _links(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     small = F.least("n_u", "n_v")
-    near = _two_sided(pairs, prefixes.select("cid", "n"), ["n"]).filter(100 * small >= percent * F.greatest("n_u", "n_v")).select("u", "v")
-    passed = _two_sided(near, prefixes, ["p3", "p4"]).mapInArrow(_filters_pass, "u long, v long")
+    near = _two_sided(pairs, prefixes, ["n", "p3", "p4"]).filter(100 * small >= percent * F.greatest("n_u", "n_v"))
+    passed = near.select("u", "v", "p3_u", "p3_v", "p4_u", "p4_v").mapInArrow(_filters_pass, "u long, v long")
     return _two_sided(passed, sets, ["tokens"]).mapInArrow(_verify(percent), "u long, v long")
 
 
-def class_components(prefixes: DataFrame, sets: DataFrame, percent: int, pairs_per_class: int = 100) -> DataFrame | None:
+def class_components(prefixes: DataFrame, sets: DataFrame, percent: int, pairs_per_class: int = 2000) -> DataFrame | None:
     """(node, root) over classes that have links; None if no class has one."""
-    postings = materialize(prefixes.select("cid", "p2").mapInArrow(_postings, "token long, cid long"))
+    postings = materialize(prefixes.select("cid", "hub", "n", "single", "p2").mapInArrow(_postings, ", ".join(f"{c} long" for c in POSTINGS)))
     n_classes = prefixes.count()
-    labels, links, tested, pivots = None, None, None, 1
+    # From their first common token on, two sets must still hold the overlap that their sizes demand.
+    reach = f"100 * least(after, p_after) + {percent} * least(after, p_after) >= {percent} * (n + p_n)"
+    labels, links, tested, pivots, done = None, None, None, 1, False
     while n_classes:
         own = postings.withColumn("comp", F.col("cid"))
         if labels is not None:
-            own = postings.join(labels, postings.cid == labels.node, "left").select("token", "cid", F.coalesce("root", "cid").alias("comp"))
+            own = postings.join(labels, postings.cid == labels.node, "left").select(*POSTINGS, F.coalesce("root", "cid").alias("comp"))
         parts = own.groupBy("token", "comp").agg(F.count("*").alias("k"))
         open_ = parts.groupBy("token").agg(F.count("*").alias("comps"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("sq"))
-        open_ = open_.filter("comps > 1").select("token", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("open"))
-        place = F.row_number().over(Window.partitionBy("token").orderBy("cid"))
-        work = materialize(own.join(open_, "token").withColumn("place", place))
-        left = work.filter("place = 1").agg(F.sum("open")).first()[0]
+        open_ = materialize(open_.filter("comps > 1").select("token", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("open")))
+        left = open_.agg(F.sum("open")).first()[0]
         if not left:
             break
-        last = left <= pairs_per_class * n_classes
-        pivot = work if last else work.filter(F.col("place") <= pivots)
-        pivot = pivot.select("token", F.col("cid").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("place").alias("pivot_place"))
-        pairs = work.join(pivot, "token").filter("place > pivot_place AND comp <> pivot_comp")
-        pairs = pairs.select(F.least("pivot", "cid").alias("u"), F.greatest("pivot", "cid").alias("v")).distinct()
+        work = materialize(own.join(open_.select("token"), "token"))
+        last = done and left <= pairs_per_class * n_classes
+        if last:
+            pivot = work.select("token", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "after", "comp")])
+            pairs = work.join(pivot, "token").filter("cid > p_cid AND comp <> p_comp").filter(reach)
+        else:
+            # The class of each slot whose tokens are most shared, the likely original of a group of copies: a grouped maximum, so a posting of any length is never sorted in one task.
+            slot = F.pmod(F.xxhash64("cid"), F.lit(pivots))
+            pivot = work.groupBy("token", slot.alias("slot")).agg(F.max(F.struct("hub", "cid", "n", "after", "comp")).alias("p"))
+            pivot = materialize(pivot.select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "after", "comp")]))
+            pairs = work.join(pivot, "token").filter("comp <> p_comp").filter(reach)
+        pairs = pairs.select(F.least("p_cid", "cid").alias("u"), F.greatest("p_cid", "cid").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = materialize(pairs)
@@ -338,8 +355,8 @@ def class_components(prefixes: DataFrame, sets: DataFrame, percent: int, pairs_p
         if last:
             break
         tested = pairs if tested is None else tested.union(pairs)
-        postings = materialize(work.filter(F.col("place") > pivots).select("token", "cid"))
-        pivots *= 8
+        postings = materialize(work.join(pivot.select("token", F.col("p_cid").alias("cid")), ["token", "cid"], "left_anti").select(*POSTINGS))
+        pivots, done = pivots * 32, True
     return labels
 
 
