@@ -79,7 +79,8 @@ def disguised_mail(text: str, lower: str) -> list[tuple[int, int, str]]:
         if name and (m[0].strip().lower() not in ("at", "arroba") or _DOT_RE.search(host[0])):
             a, b = start + name.start(), host.end()
             plain = f"{_DOT_RE.sub('.', name[0])}@{_DOT_RE.sub('.', host[0])}"
-            if plain != text[a:b]:
+            ending = plain.rsplit(".", 1)[1].lower()
+            if plain != text[a:b] and ending.isalpha() and ending not in ("at", "arroba", "dot", "punkt", "punto", "point"):
                 edits.append((a, b, plain))
                 last = b
     return edits
