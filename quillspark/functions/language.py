@@ -19,7 +19,8 @@ FUNCTION_WORDS = {
 def guess_language(text: Column, least_chars: int = 4) -> Column:
     """The language with most function words, the first by name among equals; ``unknown`` for short or voteless texts."""
     words = alnum(text)
-    votes = F.array(*[F.struct((-F.size(F.filter(words, lambda w, ws=ws: w.isin(*ws)))).alias("n"), F.lit(lang).alias("lang")) for lang, ws in FUNCTION_WORDS.items()])
+    count = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
+    votes = F.array(*[F.struct((-count(known)).alias("n"), F.lit(lang).alias("lang")) for lang, known in FUNCTION_WORDS.items()])
     best = F.array_min(votes)
     return F.when(F.length(text) < least_chars, "unknown").when(best["n"] == 0, "unknown").otherwise(best["lang"])
 
