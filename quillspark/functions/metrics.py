@@ -9,21 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import alnum, sentences, split_words
+from .tokens import alnum, sentences
 
-VOWELS = r"[aeiouyàâäéèêëîïôöùûüáíóúñ]+"
+_VOWEL = "aeiouyàâäéèêëîïôöùûüáíóúñ"
+VOWELS = f"[{_VOWEL}]+"
+_BLANK = r" \t\n\r\f\x0B"
 
 
-def syllables(words: Column) -> Column:
-    """Vowel groups of all words, one at least for each."""
-    each = F.transform(words, lambda w: F.greatest(F.lit(1), F.regexp_count(F.lower(w), F.lit(VOWELS))))
-    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+def syllables(text: Column) -> Column:
+    """Vowel groups of all words, one at least for each: the groups of the text and the words without any."""
+    low = F.lower(text)
+    bare = rf"(?<![^{_BLANK}])[^{_BLANK}{_VOWEL}]+(?![^{_BLANK}])"
+    return F.regexp_count(low, F.lit(VOWELS)) + F.regexp_count(low, F.lit(bare))
 
 
 def counts(text: Column) -> dict[str, Column]:
-    words = split_words(text)
     return {
-        "n_words": F.size(words), "n_sentences": F.greatest(F.lit(1), F.size(sentences(text))), "n_syllables": syllables(words),
+        "n_words": F.regexp_count(text, F.lit(rf"[^{_BLANK}]+")), "n_sentences": F.greatest(F.lit(1), F.size(sentences(text))), "n_syllables": syllables(text),
         "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")), "n_chars": F.length(text),
     }
 
@@ -39,19 +41,18 @@ def coleman_liau(words: Column, sents: Column, letters: Column, least: int = 10)
 def entropy(text: Column, least: int = 10) -> Column:
     """Shannon entropy in bits of the word distribution of one text; null under ``least`` words.
 
-    Sorted words and run lengths keep it in the row: no explode, no shuffle.
+    The ends of runs in the sorted words give the counts: no explode, no shuffle. The arrays are
+    bound to lambda variables, so that they are made once for each text.
     """
-    words = F.array_sort(alnum(text))
-    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
-    term = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
 
-    def step(a, w):
-        same = a["w"].eqNullSafe(w)
-        return F.struct(w.alias("w"), F.when(same, a["n"] + 1).otherwise(1).alias("n"), (a["s"] + F.when(same, 0.0).otherwise(term(a["n"]))).alias("s"))
+    def of(words):
+        n = F.size(words)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(words, i - 1) != F.get(words, i)))
+        counts = lambda e: F.zip_with(e, F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1)), lambda x, y: (x - y).cast("double"))
+        summed = lambda e: F.aggregate(counts(e), F.lit(0.0), lambda s, c: s + c * F.log2(c))
+        return F.when(n >= F.lit(max(1, least)), F.log2(n.cast("double")) - F.get(F.transform(F.array(ends), summed), F.lit(0)) / n)
 
-    total = F.size(words)
-    summed = F.aggregate(words, start, step, lambda a: a["s"] + term(a["n"]))
-    return F.when(total >= least, F.log2(total.cast("double")) - summed / total)
+    return F.get(F.transform(F.array(F.array_sort(alnum(text))), of), F.lit(0))
 
 
 def type_token_ratio(words: Column) -> Column:

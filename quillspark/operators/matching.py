@@ -24,13 +24,17 @@ def best_snippets(df: DataFrame, sentences: Column, key: str, target: str, low:
 
     Runs within the tolerance come first, the smallest difference wins, then the
     earliest; else the single sentence nearest to the target. A result over the guard or under
-    half the target is none. The running sums bound the self join to runs within the tolerance.
+    half the target is none. Buckets of the running sums bound the self join to runs within the tolerance.
     """
     s = sentence_table(df, sentences, key)
     targets = df.select(key, F.col(target).alias("__t"))
-    a = s.select(key, F.col("i").alias("first"), (F.col("upto") - F.col("len")).alias("before"))
-    b = s.select(key, F.col("i").alias("last"), F.col("upto").alias("end"))
-    runs = a.join(targets, key).join(b, key).withColumn("n", F.col("end") - F.col("before"))
+    t = s.join(targets, key).withColumn("__w", F.floor(F.col("__t") * high) + 1)
+    before = F.col("upto") - F.col("len")
+    a = t.select(key, F.col("i").alias("first"), before.alias("before"), F.floor(before / F.col("__w")).alias("__b"), "__t")
+    # A run is no longer than the width, so its end lies in the bucket of its start or the next one.
+    ends = F.explode(F.array(F.floor(F.col("upto") / F.col("__w")), F.floor(F.col("upto") / F.col("__w")) - 1))
+    b = t.select(key, F.col("i").alias("last"), F.col("upto").alias("end"), ends.alias("__b"))
+    runs = a.join(b, [key, "__b"]).withColumn("n", F.col("end") - F.col("before"))
     runs = runs.filter((F.col("last") >= F.col("first")) & (F.col("n") >= F.floor(F.col("__t") * low)) & (F.col("n") <= F.floor(F.col("__t") * high)))
     one = s.join(targets, key).select(key, F.col("i").alias("first"), F.col("i").alias("last"), F.col("len").alias("n"), "__t")
     ranked = runs.select(key, "first", "last", "n", "__t").withColumn("stage", F.lit(1)).unionByName(one.withColumn("stage", F.lit(2)))
