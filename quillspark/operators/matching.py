@@ -26,9 +26,14 @@ def best_snippets(df: DataFrame, sentences: Column, key: str, target: str, low:
     earliest; else the single sentence nearest to the target. A result over the guard or under
     half the target is none. Buckets of the running sums bound the self join to runs within the tolerance.
     """
-    s = sentence_table(df, sentences, key)
-    targets = df.select(key, F.col(target).alias("__t"))
-    t = s.join(targets, key).withColumn("__w", F.floor(F.col("__t") * high) + 1)
+    from ..sources.files import materialize
+
+    # Lengths only, written once: texts are cut to sentences a single time.
+    held = df.select(key, F.col(target).alias("__t"), sentences.alias("__s"))
+    each = held.select(key, "__t", F.posexplode(F.transform("__s", n_words)).alias("i", "len"))
+    upto = F.sum("len").over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    s = materialize(each.withColumn("upto", upto))
+    t = s.withColumn("__w", F.floor(F.col("__t") * high) + 1)
     before = F.col("upto") - F.col("len")
     a = t.select(key, F.col("i").alias("first"), before.alias("before"), F.floor(before / F.col("__w")).alias("__b"), "__t")
     # A run is no longer than the width, so its end lies in the bucket of its start or the next one.
@@ -36,7 +41,7 @@ def best_snippets(df: DataFrame, sentences: Column, key: str, target: str, low:
     b = t.select(key, F.col("i").alias("last"), F.col("upto").alias("end"), ends.alias("__b"))
     runs = a.join(b, [key, "__b"]).withColumn("n", F.col("end") - F.col("before"))
     runs = runs.filter((F.col("last") >= F.col("first")) & (F.col("n") >= F.floor(F.col("__t") * low)) & (F.col("n") <= F.floor(F.col("__t") * high)))
-    one = s.join(targets, key).select(key, F.col("i").alias("first"), F.col("i").alias("last"), F.col("len").alias("n"), "__t")
+    one = s.select(key, F.col("i").alias("first"), F.col("i").alias("last"), F.col("len").alias("n"), "__t")
     ranked = runs.select(key, "first", "last", "n", "__t").withColumn("stage", F.lit(1)).unionByName(one.withColumn("stage", F.lit(2)))
     best = keep_first(ranked, [key], ["stage", F.abs(F.col("n") - F.col("__t")), "first", "last"])
     fits = (F.col("n") <= F.floor(F.col("__t") * guard) + 1) & (F.col("n") >= F.col("__t") * 0.5)
