@@ -23,6 +23,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: its expression, and the group (0: all) that must have ``least`` characters."""
