@@ -284,13 +284,25 @@ def blocked_token_match(spark, sf_dir):
     return m.select("p_partkey", "other", F.round("score", 6).alias("score"))
 
 
+@plan("SIM4 JN9", """WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part)
+  SELECT a.p_partkey, b.p_partkey AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS score
+  FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.3""")
+def blocked_token_match_all(spark, sf_dir):
+    """Pairs of all parts of one brand that share three in ten words; blocked_token_match compares two residues of ten."""
+    from ..operators.joins import self_match
+
+    p = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_name")
+    m = self_match(p, "p_partkey", ["p_brand"], "p_name", lambda a, b: sim.token_jaccard(F.split(a, " "), F.split(b, " ")), 0.3)
+    return m.withColumn("score", F.round("score", 6))
+
+
 @plan("JN9 JN11 SIM4")
 def blocked_fuzzy_match(spark, sf_dir):
     """Pairs of one brand whose names have a token-set ratio of 90 or more."""
+    from ..operators.joins import self_match
+
     p = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_name")
-    a, b = p.filter("p_partkey % 10 = 0"), p.filter("p_partkey % 10 = 1").toDF("other", "p_brand", "name")
-    pairs = a.join(b, "p_brand").withColumn("score", sim.score("token_set_ratio", F.col("p_name"), F.col("name")))
-    return pairs.filter("score >= 90").select("p_partkey", "other", "score")
+    return self_match(p, "p_partkey", ["p_brand"], "p_name", lambda a, b: sim.score("token_set_ratio", a, b), 90)
 
 
 @plan("JN10", """WITH k AS (SELECT s_suppkey AS id, 'NATION_' || (s_nationkey % 30) AS title FROM supplier),

@@ -174,3 +174,16 @@ def test_stream_dedupe(spark, tmp_path):
     schema = spark.read.parquet(src).schema
     inc.run_available(inc.dedupe_stream(inc.stream_files(spark, src, schema), ["k"], "ts", "1 hour"), out, mark)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_self_match_is_brute_force(spark, sf_dir):
+    from quillspark.plans.catalog import all_plans
+
+    parts = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name").collect()]
+    want = {}
+    for x, brand, a in parts:
+        for y, other, b in parts:
+            if x < y and brand == other and (s := int(similarity.token_set_ratio(a, b) + 0.5)) >= 90:
+                want[x, y] = s
+    got = all_plans()["blocked_fuzzy_match"].build(spark, sf_dir).collect()
+    assert len(got) == len(want) and {(r.p_partkey, r.other): r.score for r in got} == want
