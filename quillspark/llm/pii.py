@@ -57,20 +57,29 @@ _NUMBER = rf"(?:{_WORDS}|[0-9]+)"
 _SPELLED = re.compile(rf"(?<!\w){_NUMBER}(?:[\x20,./-]{{1,2}}{_NUMBER}){{2,}}(?!\w)", re.I)
 _ONE = re.compile(_NUMBER, re.I)
 _DOT_WORD = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\x20(?:dot|punkt|punto)\x20)"
-_BRACKETED = re.compile(r"[\[({<]\s?(?:at|arroba|chez|dot|punkt|punto|point)\s?[\])}>]", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s?(?:at|arroba|chez|@|dot|punkt|punto|point|\.)\s?[\])}>]", re.I)
 _SPACED = (" dot ", " punkt ", " punto ")
-_AT_RE = re.compile(r"\s?[\[({<]\s?(?:at|arroba|chez)\s?[\])}>]\s?|\x20(?:at|arroba)\x20|@", re.I)
+_AT_RE = re.compile(r"\s?[\[({<]\s?(?:at|arroba|chez|@)\s?[\])}>]\s?|\x20(?:at|arroba)\x20|@", re.I)
 _DOT_RE = re.compile(_DOT_WORD, re.I)
+_NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT_WORD}(?=[0-9])", re.I)
 _NAME = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT_WORD})[A-Za-z0-9_%+-]+){{0,4}}$", re.I)
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT_WORD})[A-Za-z0-9-]+){{1,5}}", re.I)
 #: Mail names have 64 characters at most; so far back a disguised one is looked for.
 NAME_REACH = 96
 
 
-def disguised_mail(text: str, lower: str) -> list[tuple[int, int, str]]:
+def has_disguise(text: str, lower: str) -> bool:
+    """Whether any bracketed at or dot, or a dot in words, is there; bare words ``at`` need one beside them."""
+    return bool(_BRACKETED.search(text)) or any(w in lower for w in _SPACED)
+
+
+def disguised_numbers(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn disguised dots between digits into plain ones."""
+    return [(*m.span(), ".") for m in _NUMBER_DOT.finditer(text)]
+
+
+def disguised_mail(text: str) -> list[tuple[int, int, str]]:
     """Edits that turn disguised addresses into plain ones; bare words ``at`` count only beside a disguised dot."""
-    if not (_BRACKETED.search(text) or any(w in lower for w in _SPACED)):
-        return []
     edits, last = [], 0
     for m in _AT_RE.finditer(text):
         host = _HOST.match(text, m.end())
@@ -189,7 +198,9 @@ def deobfuscate(text: str) -> Rewriting | None:
             edits.append((*m.span(), digits))
         r.apply(edits)
         lower = r.text.lower()
-    r.apply(disguised_mail(r.text, lower))
+    if has_disguise(r.text, lower):
+        r.apply(disguised_mail(r.text))
+        r.apply(disguised_numbers(r.text))
     return r if r.pieces else None
 
 

@@ -294,6 +294,27 @@ def test_pii_disguises(text, kind, shown):
         assert text[more[0][1] : more[0][2]] == shown
 
 
+@pytest.mark.parametrize("dot", ["[.]", "(.)", "{.}", " [.] ", "[dot]", " dot ", " punto "])
+def test_pii_disguised_dots(dot):
+    mail, ip = f"john@example{dot}com", dot.join(("192", "168", "1", "10"))
+    for text, kind in ((mail, "email"), (ip, "ip")):
+        assert pii.scan(f"now {text} is") == ([], [(pii.KINDS.index(kind), 4, 4 + len(text))])
+    both = f"now {mail} and {ip} is"
+    assert pii.scan(both) == ([], [(0, 4, 4 + len(mail)), (1, 9 + len(mail), 9 + len(mail) + len(ip))])
+
+
+@pytest.mark.parametrize("at", ["[@]", " (@) ", "{@}"])
+def test_pii_bracketed_at_sign(at):
+    text = f"john{at}example.com"
+    assert pii.scan(f"now {text} is") == ([], [(0, 4, 4 + len(text))])
+
+
+def test_pii_numbers_with_dots_stay():
+    for text in ("it is 3 dot 5 of 10", "192 dot 168 dot 1 dot 999", "1[.]2[.]3"):
+        assert pii.scan(text) == ([], [])
+    assert pii.scan("at 192.168.1.10 dot 7") == ([(1, 3, 15)], [])
+
+
 def test_pii_leaves_plain_text(spark):
     for text in ("look at foo.com or bob at home", "one two and three", "dot com", "at at at dot dot"):
         assert pii.scan(text) == ([], [])
