@@ -9,13 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.metrics import cosine, squared_distance
 from .windows import shared_hash
 
 
+#: Words whose distances to all words before are held at once.
+FLOW_BLOCK = 256
+
+
 def positions(df: DataFrame, tokens: Column, key: str) -> DataFrame:
     """(key, pos, token), positions from 0."""
     return df.select(key, F.posexplode(tokens).alias("pos", "token"))
@@ -161,16 +168,37 @@ def stepwise_distance(df: DataFrame, sentences: Column, key: str, embed) -> Data
     return held.select(key, F.when(n >= 2, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (n - 1)).alias("swd"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _mean_distances(flat: pd.Series, size: pd.Series) -> pd.Series:
+    """For each vector from the second on the mean distance to all before it; equal vectors are compared once a block."""
+
+    def journey(v, n):
+        if v is None or n < 2:
+            return None
+        known, word = np.unique(np.asarray(v, float).reshape(int(n), -1), axis=0, return_inverse=True)
+        word = word.reshape(-1)
+        out, seen = np.empty(len(word)), np.zeros(len(known))
+        for at in range(0, len(word), FLOW_BLOCK):
+            here = word[at : at + FLOW_BLOCK]
+            own, row = np.unique(here, return_inverse=True)
+            distance = np.zeros((len(own), len(known)))
+            for c in known.T:
+                distance += (c[own, None] - c[None, :]) ** 2
+            np.sqrt(distance, out=distance)
+            out[at : at + len(here)] = (distance @ seen)[row] + np.tril(distance[row[:, None], here[None, :]], -1).sum(axis=1)
+            seen += np.bincount(here, minlength=len(known))
+        return out[1:] / np.arange(1, len(word))
+
+    return pd.Series([journey(v, n) for v, n in zip(flat, size)], dtype=object)
+
+
 def forward_flow(df: DataFrame, tokens: Column, key: str, vector=hash_vector) -> DataFrame:
     """Mean over words from the second on of the mean distance to all words before; null under two words.
 
     Stays in the row: quadratic in the words of one text, no shuffle.
     """
-    held = df.select(key, F.transform(tokens, lambda w: vector(w)).alias("v"))
-    n = F.size("v")
-    mean_before = lambda i: F.aggregate(F.slice("v", F.lit(1), i), F.lit(0.0), lambda a, x: a + F.sqrt(squared_distance(x, F.get("v", i)))) / i
-    flow = F.transform(F.sequence(F.lit(1), n - 1), mean_before)
-    return held.select(key, F.when(n >= 2, flow).alias("journey")).select(key, "journey", (F.aggregate("journey", F.lit(0.0), lambda a, x: a + x) / F.size("journey")).alias("flow"))
+    held = df.select(key, _mean_distances(F.flatten(F.transform(tokens, lambda w: vector(w))), F.size(tokens)).alias("journey"))
+    return held.select(key, "journey", (F.aggregate("journey", F.lit(0.0), lambda a, x: a + x) / F.size("journey")).alias("flow"))
 
 
 def adjacent_flow(df: DataFrame, tokens: Column, key: str, vector=hash_vector) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +15,7 @@ from ..operators import stats as st
 from ..operators import vectors as ve
 from ..operators import windows as wn
 from ..sources import files as fi
-from .registry import Tables, plan
+from .registry import PLANS, Tables, plan
 from .relational import h_sql
 
 
@@ -260,8 +262,8 @@ def _bench(spark, sf_dir):
 
 
 @plan("AG7 WN8 MT11 SNK4", f"""WITH {_TOK} SELECT a.token AS w1, b.token AS w2, count(*) AS n FROM t a JOIN t b ON a.item_id = b.item_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 5 GROUP BY ALL""")
-def background_pairs(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def background_pairs(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     return jo.background(b, w)[1]
 
 
@@ -270,8 +272,8 @@ def background_pairs(spark, sf_dir):
   c AS (SELECT a.item_id, a.token AS w1, b.token AS w2, count(*)::DOUBLE AS c FROM t a JOIN t b ON a.item_id = b.item_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 5 GROUP BY ALL)
   SELECT benchmark.item_id, round(s, 6) AS delta_pmi FROM benchmark LEFT JOIN (SELECT c.item_id, avg(log2((c / sz.n) / (x.u / sz.n * y.u / sz.n)) - log2(((coalesce(bi.n, 0) + 0.5) / (nb + 0.5)) / (g.n / nb * h.n / nb))) AS s
   FROM c JOIN sz USING (item_id) JOIN own x ON x.item_id = c.item_id AND x.token = w1 JOIN own y ON y.item_id = c.item_id AND y.token = w2 JOIN uni g ON g.token = w1 JOIN uni h ON h.token = w2 LEFT JOIN bi ON bi.w1 = c.w1 AND bi.w2 = c.w2, nb GROUP BY 1) q USING (item_id)""")
-def delta_pmi(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def delta_pmi(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     uni, bi = jo.background(b, w)
     return jo.delta_pmi(b, w, "item_id", uni, bi).withColumn("delta_pmi", F.round("delta_pmi", 6))
 
@@ -282,33 +284,33 @@ _SURPRISAL = f"""WITH {_TOK}, s AS (SELECT item_id, pos, token, lag(token) OVER
 
 
 @plan("MT6 MT7 MT8 TK-G SNK3", _SURPRISAL + " SELECT item_id, pos, token, round(x, 6) AS surprisal, round(x / ln(2), 6) AS bits FROM j")
-def surprisal_journey(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def surprisal_journey(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     s = jo.bigram_surprisal(b, w, "item_id")
     return s.select("item_id", F.col("pos").cast("bigint").alias("pos"), "token", F.round("surprisal", 6).alias("surprisal"), F.round(F.col("surprisal") / F.log(F.lit(2.0)), 6).alias("bits"))
 
 
 @plan("MT6 MT24 TK4", _SURPRISAL + " SELECT item_id, round(avg(x), 6) AS avg_value, round(max(x), 6) AS max_value, count(*) AS n FROM j GROUP BY 1")
-def journey_summary(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def journey_summary(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     s = jo.summarize(jo.bigram_surprisal(b, w, "item_id"), "item_id", "surprisal")
     return s.select("item_id", F.round("avg_value", 6).alias("avg_value"), F.round("max_value", 6).alias("max_value"), "n")
 
 
 @plan("MT23 WN10", _SURPRISAL + """, l AS (SELECT item_id, list(x ORDER BY pos) AS s FROM j GROUP BY 1 HAVING count(*) >= 4), e AS (SELECT item_id, list_avg(s[1:greatest(1, len(s) // 4)]) AS a, list_avg(s[len(s) - greatest(1, len(s) // 4) + 1:]) AS z FROM l),
   m AS (SELECT median(a) AS ma, median(z) AS mz FROM e) SELECT item_id, round(a, 6) AS start, round(z, 6) AS finish, CASE WHEN a < ma AND z > mz THEN 'crescendo' WHEN a > ma AND z < mz THEN 'diminuendo' WHEN a > ma AND z > mz THEN 'sustained high' WHEN a < ma AND z < mz THEN 'sustained low' END AS archetype FROM e, m""")
-def journey_archetypes(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def journey_archetypes(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     a = jo.archetypes(jo.quarter_means(jo.bigram_surprisal(b, w, "item_id"), "item_id", "surprisal"))
     return a.select("item_id", F.round("start", 6).alias("start"), F.round("finish", 6).alias("finish"), "archetype")
 
 
 @plan("WN11 AG10 WN4", f"""WITH {_TOK}, p AS (SELECT item_id, pos, CASE WHEN count(*) OVER (PARTITION BY item_id) > 1 THEN pos / (count(*) OVER (PARTITION BY item_id) - 1) * 100 ELSE 0.0 END AS percent FROM t)
   SELECT CAST(least(greatest(floor(percent / 100 * 10), 0), 9) AS BIGINT) AS bin, count(*) AS n FROM p GROUP BY 1""")
-def position_bins(spark, sf_dir):
+def position_bins(spark, sf_dir, texts=_bench):
     from ..operators.aggregates import equal_width_bins
 
-    b, w = _bench(spark, sf_dir)
+    b, w = texts(spark, sf_dir)
     return equal_width_bins(jo.normalized_positions(jo.positions(b, w, "item_id"), "item_id"), "percent", 10, 0, 100)
 
 
@@ -335,8 +337,8 @@ def sentiment(spark, sf_dir):
 @plan("MT13 WN3", f"""WITH {_TOK}, s AS (SELECT item_id, pos, sum(CASE WHEN token IN {POSITIVE} THEN 1.0::DOUBLE WHEN token IN {NEGATIVE} THEN -1.0 ELSE 0 END) OVER w / (pos + 1) AS p FROM t WINDOW w AS (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
   d AS (SELECT *, p - lag(p) OVER (PARTITION BY item_id ORDER BY pos) AS x FROM s)
   SELECT item_id, round(max(abs(x)), 6) AS max_affective_shift, round(stddev_pop(p), 6) AS sentiment_volatility, round(arg_max(p, pos), 6) AS final_sentiment, count(*) AS word_count FROM d GROUP BY 1""")
-def sentiment_journey(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def sentiment_journey(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     s = jo.sentiment_summary(jo.sentiment_journey(b, w, "item_id", POSITIVE, NEGATIVE), "item_id")
     return s.select("item_id", *[F.round(c, 6).alias(c) for c in ("max_affective_shift", "sentiment_volatility", "final_sentiment")], "word_count")
 
@@ -344,8 +346,8 @@ def sentiment_journey(spark, sf_dir):
 @plan("MT14 WN3", f"""WITH {_TOK}, v AS (SELECT *, {_vec_sql('token')} AS v FROM t), s AS (SELECT item_id, pos, token, [sum(v[1]) OVER w, sum(v[2]) OVER w, sum(v[3]) OVER w, sum(v[4]) OVER w] AS c FROM v WINDOW w AS (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
   p AS (SELECT item_id, 1 - list_cosine_similarity(c::DOUBLE[], lag(c) OVER (PARTITION BY item_id ORDER BY pos)::DOUBLE[]) AS x FROM s)
   SELECT item_id, round(avg(x), 6) AS avg_value, round(max(x), 6) AS max_value FROM p WHERE x IS NOT NULL GROUP BY 1""")
-def semantic_shift(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def semantic_shift(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     s = jo.summarize(jo.prefix_shift(b, w, "item_id"), "item_id", "shift")
     return s.select("item_id", F.round("avg_value", 6).alias("avg_value"), F.round("max_value", 6).alias("max_value"))
 
@@ -355,30 +357,30 @@ def semantic_shift(spark, sf_dir):
   m AS (SELECT item_id, i, [coalesce(avg(v[1]), 0), coalesce(avg(v[2]), 0), coalesce(avg(v[3]), 0), coalesce(avg(v[4]), 0)]::DOUBLE[] AS m FROM v GROUP BY ALL),
   d AS (SELECT item_id, list_distance(m, lag(m) OVER (PARTITION BY item_id ORDER BY i)) ** 2 AS d FROM m)
   SELECT item_id, round(avg(d), 6) AS swd FROM d GROUP BY 1""")
-def stepwise_distance(spark, sf_dir):
-    b, _ = _bench(spark, sf_dir)
+def stepwise_distance(spark, sf_dir, texts=_bench):
+    b, _ = texts(spark, sf_dir)
     s = jo.stepwise_distance(b, tk.sentences(F.col("text")), "item_id", lambda x: jo.mean_vector(tk.alnum(x)))
     return s.withColumn("swd", F.round("swd", 6))
 
 
 @plan("MT16 WN4", f"""WITH {_TOK}, v AS (SELECT *, {_vec_sql('token')}::DOUBLE[] AS v FROM t), d AS (SELECT a.item_id, a.pos, avg(list_distance(a.v, b.v)) AS d FROM v a JOIN v b ON a.item_id = b.item_id AND b.pos < a.pos GROUP BY ALL)
   SELECT item_id, round(avg(d), 6) AS flow FROM d GROUP BY 1""")
-def forward_flow(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def forward_flow(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     return jo.forward_flow(b, w, "item_id").select("item_id", F.round("flow", 6).alias("flow"))
 
 
 @plan("MT17", f"""WITH {_TOK}, v AS (SELECT *, {_vec_sql('token')}::DOUBLE[] AS v FROM t), d AS (SELECT item_id, 1 - list_cosine_similarity(v, lag(v) OVER (PARTITION BY item_id ORDER BY pos)) AS d FROM v)
   SELECT item_id, round(coalesce(avg(d), 0), 6) AS volatility FROM d GROUP BY 1""")
-def adjacent_flow(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
+def adjacent_flow(spark, sf_dir, texts=_bench):
+    b, w = texts(spark, sf_dir)
     return jo.adjacent_flow(b, w, "item_id").withColumn("volatility", F.round("volatility", 6))
 
 
 @plan("MT19 SRC5", f"""WITH {_TOK}, v AS (SELECT *, {_vec_sql('token')} AS v FROM t) SELECT item_id, round(avg(v[1]), 6) AS x, round(avg(v[2]), 6) AS y FROM v WHERE token < 'n' GROUP BY 1""")
-def static_vectors(spark, sf_dir):
+def static_vectors(spark, sf_dir, texts=_bench):
     """Mean of the vectors of the words that the lexicon (here words before n) knows."""
-    b, w = _bench(spark, sf_dir)
+    b, w = texts(spark, sf_dir)
     lexicon = b.select(F.explode(w).alias("word")).distinct().filter("word < 'n'").withColumn("vec", jo.hash_vector(F.col("word")))
     v = jo.text_vectors(b, w, "item_id", lexicon, 4)
     return v.select("item_id", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
@@ -400,6 +402,37 @@ def align_subwords(spark, sf_dir):
     return b.select("item_id", F.array_join(jo.align_subwords(F.slice(w, 1, 20), cut), ",").alias("word_of_part"))
 
 
+def _of_documents(spark, sf_dir):
+    return Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("item_id"), "text"), tk.alnum(F.col("text"))
+
+
+def _of_turns(spark, sf_dir):
+    return Tables(spark, sf_dir).conversations.select(F.concat("conv_id", F.lit(":"), "turn").alias("item_id"), "text"), tk.alnum(F.col("text"))
+
+
+def _over(name: str, table: str, key: str, texts, rows: str, twin: bool = True) -> None:
+    """The query of that name over the texts of another table, whole; its SQL twin, where one is quick enough, reads ``rows``."""
+    base = PLANS[name]
+
+    def build(spark, sf_dir):
+        out = base.build(spark, sf_dir, texts)
+        return out.withColumnRenamed("item_id", key) if "item_id" in out.columns else out
+
+    build.__name__ = f"{name}_{table}"
+    plan(" ".join(base.ids), re.sub(r"\bitem_id\b", key, base.sql.replace("FROM benchmark", f"FROM {rows}")) if twin else None)(build)
+
+
+# DuckDB's self joins of all words of a text are too slow over documents; the last two twins lack the rules for texts of
+# fewer than two words or of none that is known, which no benchmark item is.
+for _name in ("background_pairs", "delta_pmi", "forward_flow", "sentiment_journey", "static_vectors"):
+    _over(_name, "documents", "doc_id", _of_documents, "documents", twin=False)
+_STEPWISE = ("surprisal_journey", "journey_summary", "journey_archetypes", "position_bins", "sentiment_journey", "semantic_shift", "stepwise_distance")
+for _name in (*(x for x in _STEPWISE if x != "sentiment_journey"), "adjacent_flow"):
+    _over(_name, "documents", "doc_id", _of_documents, "documents")
+for _name in (*_STEPWISE, "forward_flow"):
+    _over(_name, "conversations", "turn_id", _of_turns, "(SELECT conv_id || ':' || turn AS turn_id, text FROM conversations) c")
+
+
 # --- matching and dedupe ---
 
 _SENT = f"""s AS (SELECT doc_id, i, CAST(len({tk.split_words_sql('s')}) AS BIGINT) AS n, sum(len({tk.split_words_sql('s')})) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, {tk.sentences_sql('text')} AS s FROM documents)))"""

@@ -187,3 +187,53 @@ def test_self_match_is_brute_force(spark, sf_dir):
                 want[x, y] = s
     got = all_plans()["blocked_fuzzy_match"].build(spark, sf_dir).collect()
     assert len(got) == len(want) and {(r.p_partkey, r.other): r.score for r in got} == want
+
+
+def test_texts_of_documents_are_brute_force(spark, sf_dir):
+    """Background pairs, delta PMI and forward flow over every document, whole."""
+    from collections import Counter
+
+    from quillspark.plans.catalog import all_plans
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens.alnum(F.col("text")).alias("w"))
+    words = {r.doc_id: r.w for r in docs.collect()}
+    near = {k: Counter((w[i], w[j]) for i in range(len(w)) for j in range(max(0, i - 5), min(len(w), i + 6)) if i != j) for k, w in words.items()}
+    bi, uni = sum(near.values(), Counter()), Counter(x for w in words.values() for x in w)
+    run = lambda name: all_plans()[f"{name}_documents"].build(spark, sf_dir).collect()
+    assert {(r.w1, r.w2): r.n for r in run("background_pairs")} == bi
+
+    total, pmi = sum(uni.values()), {}
+    for k, w in words.items():
+        own, n = Counter(w), len(w)
+        here = [math.log2((c / n) / (own[x] / n * own[y] / n)) - math.log2(((bi[x, y] + 0.5) / (total + 0.5)) / (uni[x] / total * uni[y] / total)) for (x, y), c in near[k].items()]
+        pmi[k] = sum(here) / len(here) if here else None
+    got = {r.doc_id: r.delta_pmi for r in run("delta_pmi")}
+    assert got.keys() == pmi.keys() and all(got[k] == (x if x is None else pytest.approx(x, abs=1e-6)) for k, x in pmi.items())
+
+    vector = {r.word: r.v for r in docs.select(F.explode("w").alias("word")).distinct().select("word", journeys.hash_vector(F.col("word")).alias("v")).collect()}
+    got = {r.doc_id: r.flow for r in run("forward_flow")}
+    assert got.keys() == words.keys()
+    longest = max(words, key=lambda k: len(words[k]))
+    for k in [longest, *sorted(words)[:40]]:
+        v = [vector[x] for x in words[k]]
+        flow = [sum(math.dist(v[i], v[j]) for j in range(i)) / i for i in range(1, len(v))]
+        assert got[k] == (pytest.approx(sum(flow) / len(flow), abs=1e-6) if flow else None)
+
+    got = {r.doc_id: (r.x, r.y) for r in run("static_vectors")}
+    assert got.keys() == words.keys()
+    for k, w in words.items():
+        known = [vector[x] for x in w if x < "n"] or [(0.0, 0.0)]
+        assert got[k] == pytest.approx([sum(v[d] for v in known) / len(known) for d in range(2)], abs=1e-6)
+
+    from quillspark.plans.analytics import NEGATIVE, POSITIVE
+
+    got = {r.doc_id: (r.max_affective_shift, r.sentiment_volatility, r.final_sentiment, r.word_count) for r in run("sentiment_journey")}
+    assert got.keys() == {k for k, w in words.items() if w}
+    for k in got:
+        p, total = [], 0
+        for i, x in enumerate(words[k], 1):
+            total += (x in POSITIVE) - (x in NEGATIVE)
+            p.append(total / i)
+        mean = sum(p) / len(p)
+        want = (max(abs(a - b) for a, b in zip(p, p[1:])), (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5, p[-1]) if len(p) > 1 else (0, 0, 0)
+        assert got[k] == pytest.approx((*want, len(p)), abs=1e-6)
