@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import token_sort_ratio
+from ..functions.similarity import token_jaccard, token_sort_ratio
 from ..functions.tokens import n_words
 from .windows import keep_first
 
@@ -48,6 +48,24 @@ def best_snippets(df: DataFrame, sentences: Column, key: str, target: str, low:
     return best.filter(fits).select(key, "first", "last", "n")
 
 
+def near_sentences(df: DataFrame, sentences: str, key: str, quotes: DataFrame, quote: str, tokens: Callable[[Column], Column], least: float) -> DataFrame:
+    """(key, dropped): sentences whose words and those of some quote have a Jaccard index of ``least`` or more.
+
+    Sets that near share ceil(least x size) words, so the quote's words beyond its
+    ceil(least x size) - 1 most frequent ones are enough as blocks: no match is lost.
+    """
+    q = quotes.select(F.array_distinct(tokens(F.col(quote))).alias("v")).distinct().filter("size(v) > 0").withColumn("q", F.monotonically_increasing_id())
+    often = q.select("q", "v", F.explode("v").alias("w"))
+    often = often.join(often.groupBy("w").agg(F.count("*").alias("c")), "w")
+    order = often.groupBy("q", "v").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("o"))
+    kept = F.size("v") - F.ceil(F.size("v") * least).cast("int") + 1
+    blocks = order.select("v", F.explode(F.slice("o", F.lit(1), kept)).alias("b")).select("v", F.col("b.w").alias("w"))
+    s = df.select(key, F.posexplode(F.transform(sentences, lambda x: F.array_distinct(tokens(x)))).alias("i", "u"))
+    hits = s.select(key, "i", "u", F.explode("u").alias("w")).join(blocks, "w")
+    fits = (F.size("u") >= F.size("v") * least) & (F.size("v") >= F.size("u") * least)
+    return hits.filter(fits).filter(token_jaccard(F.col("u"), F.col("v")) >= least).select(key, "i").distinct().groupBy(key).agg(F.count("*").alias("dropped"))
+
+
 def greedy_matches(words: list[str], targets: list[int], tolerance: float = 0.1, reach: int = 500) -> list[tuple[int, int, int]]:
     """(target number, start, end) runs of words: a capital first, a stop last, lengths near the target, no word used twice."""
     out, at = [], 0

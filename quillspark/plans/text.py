@@ -188,6 +188,18 @@ def sentence_quote_removal(spark, sf_dir):
     return d.filter(F.size(quote) > 0).select("doc_id", F.size("s").cast("bigint").alias("n"), F.size(near).cast("bigint").alias("dropped"))
 
 
+@plan("TX21")
+def benchmark_sentence_removal(spark, sf_dir):
+    """How many sentences of each document share half of their words with a benchmark item, whole or a sentence of it, and would go."""
+    from ..operators.matching import near_sentences
+
+    b = Tables(spark, sf_dir).benchmark.select(tk.sentences(F.col("text")).alias("s"), "text")
+    quotes = b.select(F.explode(F.array_union(F.array("text"), "s")).alias("quote"))
+    d = _docs(spark, sf_dir).select("doc_id", tk.sentences(F.col("text")).alias("s"))
+    gone = near_sentences(d, "s", "doc_id", quotes, "quote", tk.alnum, 0.5)
+    return d.select("doc_id", F.size("s").cast("bigint").alias("n")).join(gone, "doc_id", "left").select("doc_id", "n", F.coalesce("dropped", F.lit(0).cast("bigint")).alias("dropped"))
+
+
 @plan("TX22", """SELECT page_id, split_part('x "' || url || '" inauthor:' || page_id, '"', 2) AS title, split_part('x "' || url || '" inauthor:' || page_id, 'inauthor:', 2) AS author FROM pages""")
 def search_text(spark, sf_dir):
     p = Tables(spark, sf_dir).pages.select("page_id", F.concat(F.lit('x "'), "url", F.lit('" inauthor:'), F.col("page_id").cast("string")).alias("q"))

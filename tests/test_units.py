@@ -1,6 +1,7 @@
 """Hand-worked cases."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,16 @@ def test_texts_of_documents_are_brute_force(spark, sf_dir):
         mean = sum(p) / len(p)
         want = (max(abs(a - b) for a, b in zip(p, p[1:])), (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5, p[-1]) if len(p) > 1 else (0, 0, 0)
         assert got[k] == pytest.approx((*want, len(p)), abs=1e-6)
+
+
+def test_benchmark_sentences_are_brute_force(spark, sf_dir):
+    from quillspark.plans.catalog import all_plans
+
+    cut = lambda name, key: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, "text", tokens.sentences(F.col("text")).alias("s"))
+    words = lambda t: frozenset(re.findall(r"[^\W_]+", t.lower()))
+    quotes = {words(x) for r in cut("benchmark", "item_id").collect() for x in [r.text, *r.s]} - {frozenset()}
+    near = lambda x: any(2 * len(x & q) >= len(x | q) for q in quotes)
+    docs = cut("documents", "doc_id").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    want = {r.doc_id: (len(r.s), sum(near(words(x)) for x in r.s)) for r in docs}
+    assert len({r.source for r in docs if want[r.doc_id][1]}) > 1
+    assert {r.doc_id: (r.n, r.dropped) for r in all_plans()["benchmark_sentence_removal"].build(spark, sf_dir).collect()} == want
