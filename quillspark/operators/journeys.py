@@ -245,6 +245,7 @@ def prefixes(tokens: Column) -> Column:
 
 def align_subwords(words: Column, parts: Column) -> Column:
     """Number of the word that each sub-word belongs to, by running lengths without spaces; both must spell the same."""
-    ends = lambda a: F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: F.length(F.replace(F.array_join(F.slice(a, F.lit(1), i), ""), F.lit(" "), F.lit(""))))
+    size = lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))
+    ends = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda t, x: F.concat(t, F.array(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0)) + size(x))))
     word_ends = ends(words)
     return F.transform(ends(parts), lambda e: F.size(F.filter(word_ends, lambda w: w < e)))

@@ -321,6 +321,14 @@ def text_prefixes(spark, sf_dir):
     return p.select("item_id", (F.col("i") + 1).cast("bigint").alias("i"), "prefix")
 
 
+@plan("WN4", r"""SELECT item_id, i, array_to_string(w[1:i], ' ') AS prefix FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark))""")
+def text_prefixes_whole(spark, sf_dir):
+    """Prefixes up to the last word of each text; text_prefixes shows the first six."""
+    b, w = _bench(spark, sf_dir)
+    p = b.select("item_id", F.posexplode(jo.prefixes(w)).alias("i", "prefix"))
+    return p.select("item_id", (F.col("i") + 1).cast("bigint").alias("i"), "prefix")
+
+
 #: A small polarity lexicon, enough for the queries.
 POSITIVE = ("good", "love", "great", "happy", "the", "la", "der")
 NEGATIVE = ("bad", "hate", "stupid", "idiot", "of", "de", "und")
@@ -398,8 +406,8 @@ def definitions(spark, sf_dir):
 def align_subwords(spark, sf_dir):
     """Sub-words of up to four letters matched to their words."""
     b, w = _bench(spark, sf_dir)
-    cut = F.flatten(F.transform(F.slice(w, 1, 20), lambda x: F.regexp_extract_all(x, F.lit(".{1,4}"), F.lit(0))))
-    return b.select("item_id", F.array_join(jo.align_subwords(F.slice(w, 1, 20), cut), ",").alias("word_of_part"))
+    cut = F.flatten(F.transform(w, lambda x: F.regexp_extract_all(x, F.lit(".{1,4}"), F.lit(0))))
+    return b.select("item_id", F.array_join(jo.align_subwords(w, cut), ",").alias("word_of_part"))
 
 
 def _of_documents(spark, sf_dir):

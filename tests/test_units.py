@@ -251,3 +251,14 @@ def test_benchmark_sentences_are_brute_force(spark, sf_dir):
     want = {r.doc_id: (len(r.s), sum(near(words(x)) for x in r.s)) for r in docs}
     assert len({r.source for r in docs if want[r.doc_id][1]}) > 1
     assert {r.doc_id: (r.n, r.dropped) for r in all_plans()["benchmark_sentence_removal"].build(spark, sf_dir).collect()} == want
+
+
+def test_prefixes_and_alignment_reach_the_last_word(spark, sf_dir):
+    from quillspark.plans.catalog import all_plans
+
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", tokens.alnum(F.col("text")).alias("w"))
+    words = {r.item_id: r.w for r in b.collect()}
+    got = {(r.item_id, r.i): r.prefix for r in all_plans()["text_prefixes_whole"].build(spark, sf_dir).collect()}
+    assert got == {(k, i): " ".join(w[:i]) for k, w in words.items() for i in range(1, len(w) + 1)}
+    got = {r.item_id: r.word_of_part for r in all_plans()["align_subwords"].build(spark, sf_dir).collect()}
+    assert got == {k: ",".join(str(n) for n, x in enumerate(w) for _ in range(0, len(x), 4)) for k, w in words.items()}
