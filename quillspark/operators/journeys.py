@@ -52,6 +52,18 @@ def text_vectors(df: DataFrame, tokens: Column, key: str, lexicon: DataFrame, di
     return df.select(key).join(vec, key, "left").withColumn("vec", F.coalesce("vec", F.array(*[F.lit(0.0)] * dim)))
 
 
+def definition_vectors(df: DataFrame, tokens: Column, key: str, glosses: DataFrame, embed) -> DataFrame:
+    """(key, gloss, vec): the distinct glosses of each text's words, from a table (word, gloss), and their vectors."""
+    words = df.select(key, F.explode(F.array_distinct(tokens)).alias("word"))
+    return words.join(glosses, "word").select(key, "gloss").distinct().withColumn("vec", embed(F.col("gloss")))
+
+
+def definition_shift(df: DataFrame, vector: Column, key: str, definitions: DataFrame, dim: int = 4) -> DataFrame:
+    """(key, shift): 1 - cosine of each text's vector and the centroid of its definition vectors; null without a definition."""
+    centroids = definitions.groupBy(key).agg(F.array(*[F.avg(F.col("vec")[k]) for k in range(dim)]).alias("centroid"))
+    return df.select(key, vector.alias("vec")).join(centroids, key, "left").select(key, (1 - cosine(F.col("vec"), F.col("centroid"))).alias("shift"))
+
+
 # --- background counts and association ---
 
 

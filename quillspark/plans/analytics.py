@@ -394,12 +394,24 @@ def static_vectors(spark, sf_dir, texts=_bench):
     return v.select("item_id", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
 
 
-@plan("MT20 MT21 MT22", """WITH l(word, gloss) AS (VALUES ('the', 'a'), ('and', 'b'), ('er', 'c')), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) SELECT DISTINCT gloss FROM t JOIN l USING (word)""")
+@plan("MT20 MT21", """WITH l(word, gloss) AS (VALUES ('the', 'a'), ('and', 'b'), ('er', 'c')), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) SELECT DISTINCT gloss FROM t JOIN l USING (word)""")
 def definitions(spark, sf_dir):
     """Distinct glosses of the words that a gloss table knows."""
-    glosses = spark.sql("SELECT * FROM VALUES ('the', 'a'), ('and', 'b'), ('er', 'c') AS t(word, gloss)")
     words = Tables(spark, sf_dir).benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    return words.join(glosses, "word").select("gloss").distinct()
+    return words.join(_glosses(spark), "word").select("gloss").distinct()
+
+
+def _glosses(spark):
+    return spark.sql("SELECT * FROM VALUES ('the', 'a'), ('and', 'b'), ('er', 'c') AS t(word, gloss)")
+
+
+@plan("MT21 MT22")
+def definition_shifts(spark, sf_dir):
+    """Distance of each document's mean word vector from the centroid of the vectors of its words' glosses."""
+    b, w = _of_documents(spark, sf_dir)
+    known = jo.definition_vectors(b, w, "item_id", _glosses(spark), lambda g: jo.mean_vector(tk.alnum(g)))
+    out = jo.definition_shift(b, jo.mean_vector(w), "item_id", known)
+    return out.select(F.col("item_id").alias("doc_id"), F.round("shift", 6).alias("shift"))
 
 
 @plan("JN16", None)
@@ -509,7 +521,7 @@ def classifier_scores(spark, sf_dir):
     return ml.train_and_score(rows, names, "doc_id", "logistic").select("doc_id", "label", F.round("score", 6).alias("score"), "predicted")
 
 
-@plan("ML7 ML8")
+@plan("ML7")
 def feature_importances(spark, sf_dir):
     from ..operators import ml
 

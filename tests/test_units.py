@@ -262,3 +262,22 @@ def test_prefixes_and_alignment_reach_the_last_word(spark, sf_dir):
     assert got == {(k, i): " ".join(w[:i]) for k, w in words.items() for i in range(1, len(w) + 1)}
     got = {r.item_id: r.word_of_part for r in all_plans()["align_subwords"].build(spark, sf_dir).collect()}
     assert got == {k: ",".join(str(n) for n, x in enumerate(w) for _ in range(0, len(x), 4)) for k, w in words.items()}
+
+
+def test_definition_shifts_are_brute_force(spark, sf_dir):
+    from quillspark.plans.catalog import all_plans
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens.alnum(F.col("text")).alias("w"))
+    vector = {r.word: r.v for r in docs.select(F.explode("w").alias("word")).union(spark.sql("SELECT explode(array('a', 'b', 'c'))")).distinct().select("word", journeys.hash_vector(F.col("word")).alias("v")).collect()}
+    mean = lambda ws: [sum(vector[x][k] for x in ws) / len(ws) for k in range(4)]
+    got = {r.doc_id: r.shift for r in all_plans()["definition_shifts"].build(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert got.keys() == {r.doc_id for r in rows}
+    for r in rows:
+        glosses = [g for x, g in (("the", "a"), ("and", "b"), ("er", "c")) if x in r.w]
+        if glosses:
+            a, b = mean(r.w), mean(glosses)
+            assert got[r.doc_id] == pytest.approx(1 - sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b), abs=1e-6)
+        else:
+            assert got[r.doc_id] is None
+    assert len({x for x in got.values() if x is not None}) > 10
