@@ -1,17 +1,24 @@
 """Main text of web pages by composite text density.
 
-The page becomes a DOM tree (end tags that HTML lets one omit are supplied).
-Elements that never hold article text go first: scripts, styles, forms, menus,
-page headers, footers, sidebars, notices, adverts and reader comments, known by
-element, role or class words. Every remaining node gets its composite density,
-characters per tag adjusted by the share of link characters and link tags; every
-node also gets the sum of its block children's densities. The subtree with the
-largest sum is selected; the least density on the way from it up to the body is
-the threshold by which siblings join it, and an enclosing article is taken whole.
+The page becomes a DOM tree (end tags that HTML lets one omit are supplied);
+scripts, styles, forms and hidden elements hold no article text and go. Every node
+gets its composite density, characters per tag adjusted by the shares of link
+characters and link tags, and the sum of its parts' densities. The subtree with
+the largest sum is selected. The least density on the way from it up to the body
+is the threshold: beside that way, text blocks, and containers of several blocks,
+which reach it and are not mostly links join the selection, and headings do.
+
+Labels help, but do not choose. Menus and reader comments, named by element, role
+or class, are taken out. What is named a footer, sidebar, notice, advert or the like
+goes only if it is short, mostly links, or less dense than the rest of the page, so
+an article in a wrongly named container stays. A class counts if each of its parts is
+a name of such a thing or of a place (``site-footer``, not ``content-with-sidebar``).
+A header goes with the page's, and stays inside the selected subtree.
 
 Defined cases: null and empty html give empty text; a page without a body is read
-as one; nothing is dropped for being long or short; repeated rows are answered
-each by itself; broken markup is read as far as the tokenizer goes.
+as one; nothing is dropped for being long; an empty table gives no rows; repeated
+rows are answered each by itself; only the ``keep`` columns pass, whatever else the
+table holds; broken markup is read as far as the tokenizer goes.
 """
 
 from __future__ import annotations
@@ -30,16 +37,25 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 REMOVED = frozenset(
-    "script style noscript template head iframe object embed svg canvas audio video nav footer aside form button select textarea input option dialog menu".split()
+    "script style noscript template head iframe object embed svg canvas audio video form button select textarea input option dialog".split()
 )
-REMOVED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-# Class and id words of page parts that are not the article.
-NOISE_WORDS = frozenset(
+#: Elements whose own text joins the article; other containers join by the blocks in them.
+TEXT_TAGS = frozenset("#text p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
+# Roles, and words of classes and ids, that name page parts beside the article; then words of places, which say nothing alone.
+MENU_ROLES = frozenset("navigation menu menubar toolbar search form dialog alert alertdialog".split())
+PART_ROLES = frozenset("banner contentinfo complementary".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus".split())
+HEADER_WORDS = frozenset("header masthead topbar".split())
+PART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification "
-    "alert popup modal overlay sidebar side aside nav navbar navigation menu menus breadcrumb breadcrumbs toolbar topbar masthead footer foot header "
-    "comment comments commentlist respond replies disqus share sharing social related recommended newsletter subscribe signup login search "
-    "pagination pager widget skip copyright disclaimer".split()
+    "alert popup modal overlay sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs toolbar footer "
+    "share sharing social related recommended newsletter subscribe signup login search pagination pager widget widgets skip copyright disclaimer".split()
 )
+PLACE_WORDS = frozenset(
+    "left right top bottom main primary secondary site page global sticky fixed side box block bar panel slot unit area zone wrap wrapper container inner outer "
+    "section list item items link links button buttons form thread reader user posts articles stories bottom".split()
+)
+SHORT = 400
 #: What ends when an element of the first kind begins: the nearest open element of the second, not beyond the third.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -47,17 +63,18 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dt", "dd"}
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "block")
 
     def __init__(self, tag: str, attrs: dict, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.inside = self.block = False
 
     def nodes(self):
         return [c for c in self.children if isinstance(c, Node)]
@@ -110,103 +127,163 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def _is_noise(node: Node) -> bool:
-    if node.tag in REMOVED:
-        return True
+def _never_text(node: Node) -> bool:
     a = node.attrs
-    if a.get("role", "").lower() in REMOVED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return True
-    if "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    if node.tag in ("body", "html", "article", "main"):
-        return node.tag == "article" and bool(_words(a) & {"comment", "comments"})
-    if node.tag == "header":
-        up = node.parent
-        while up is not None:
-            if up.tag in ("article", "main"):
-                return bool(_words(a) & (NOISE_WORDS - {"header"}))
-            up = up.parent
-        return True
-    return bool(_words(a) & NOISE_WORDS) and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
-
-
-def _words(attrs: dict) -> set[str]:
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-    return set(_WORD.findall(_CAMEL.sub(" ", named).lower())) if named else set()
-
-
-def prune(root: Node) -> None:
+    return node.tag in REMOVED or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def label(node: Node) -> str | None:
+    """``menu``, ``comments``, ``part`` or ``header`` of a node that names itself so."""
+    role = node.attrs.get("role", "").lower()
+    if node.tag in ("nav", "menu") or role in MENU_ROLES:
+        return "menu"
+    if node.tag in ("body", "html", "main") or node.tag in TEXT_TAGS and node.tag not in ("p", "ul", "ol"):
+        return None
+    named = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".strip()
+    found = set()
+    for token in _CAMEL.sub("-", named).lower().split() if named else ():
+        parts = set(_PARTS.findall(token))
+        if parts <= PLACE_WORDS | COMMENT_WORDS | HEADER_WORDS | PART_WORDS:
+            found |= parts
+    if found & COMMENT_WORDS:
+        return "comments"
+    if node.tag == "article":
+        return None
+    if node.tag in ("footer", "aside") or role in PART_ROLES or found & PART_WORDS:
+        return "part"
+    return "header" if node.tag == "header" or found & HEADER_WORDS else None
+
+
+def remove(root: Node, out) -> None:
+    """Takes out the nodes that ``out`` says."""
     stack = [root]
     while stack:
         node = stack.pop()
-        node.children = [c for c in node.children if not (isinstance(c, Node) and _is_noise(c))]
+        node.children = [c for c in node.children if not (isinstance(c, Node) and out(c))]
         stack += node.nodes()
 
 
-def measure(body: Node) -> list[Node]:
-    """Counts and densities of all nodes, the body's last; returns them children first."""
-    order, stack = [], [(body, False)]
+def parents_first(root: Node) -> list[Node]:
+    order, stack = [], [root]
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag == "a"
-        order.append((node, inside))
-        stack += [(c, inside) for c in node.nodes()]
-    order.reverse()
-    for node, inside in order:
+        node = stack.pop()
+        order.append(node)
+        stack += node.nodes()
+    return order
+
+
+def wrap_runs(body: Node) -> None:
+    """Makes a node of each run of text and inline elements that stands beside blocks; ``block`` says what is or holds one."""
+    for node in reversed(parents_first(body)):
+        held = any(c.block for c in node.nodes())
+        node.block = held or node.tag in BLOCKS
+        if not held:
+            continue
+        out, run = [], []
+        for c in [*node.children, None]:
+            if c is not None and not (isinstance(c, Node) and c.block):
+                run.append(c)
+                continue
+            if any(isinstance(x, Node) or not x.isspace() for x in run):
+                own = Node("#text", {}, node)
+                own.children, own.block = run, True
+                for x in own.nodes():
+                    x.parent = own
+                out.append(own)
+            run = []
+            if c is not None:
+                out.append(c)
+        node.children = out
+
+
+def measure(body: Node) -> list[Node]:
+    """Counts, densities and sums of all nodes; returns them parents first, the body at the head."""
+    body.inside = False
+    order = parents_first(body)
+    for node in order:
+        for c in node.nodes():
+            c.inside = node.inside or c.tag == "a"
+    for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
             if isinstance(c, Node):
                 node.chars += c.chars
-                node.tags += c.tags + 1
+                node.tags += c.tags + (c.tag != "#text")
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
             else:
                 size = len("".join(c.split()))
                 node.chars += size
-                node.link_chars += size * inside
+                node.link_chars += size * node.inside
     share = body.link_chars / max(1, body.chars)
-    for node, _ in order:
-        node.density = composite(node, share)
-    for node, _ in order:
-        node.total = sum(c.density for c in node.nodes() if c.tag in BLOCKS)
-    return [n for n, _ in order]
+    for node in order:
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, share)
+    for node in order:
+        parts = [c.density for c in node.nodes() if c.block]
+        node.total = sum(parts) if parts else node.density
+    return order
 
 
-def composite(node: Node, body_link_share: float) -> float:
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, body_link_share: float) -> float:
     """Characters per tag, times a logarithm that falls as links take more of the characters and tags."""
-    if not node.chars:
+    if not chars:
         return 0.0
-    c, t = node.chars, max(1, node.tags)
-    lc, lt = max(1, node.link_chars), max(1, node.link_tags)
-    base = math.log(c / max(1, c - node.link_chars) * node.link_chars + body_link_share * c + math.e)
-    return c / t * max(0.0, math.log(max(1.0 + 1e-9, c / lc * t / lt)) / math.log(max(base, 1.0 + 1e-9)))
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + body_link_share * chars + math.e)
+    return chars / t * math.log(max(1.0, chars / lc * t / lt)) / math.log(max(base, 1.0 + 1e-9))
+
+
+def _link_heavy(node: Node) -> bool:
+    return 3 * node.link_chars > node.chars
+
+
+def vetoed(body: Node) -> set[Node]:
+    """Nodes to take out by their labels: menus and comments always, others if short, mostly links or less dense than the rest."""
+    order, labels, free = measure(body), {}, {body}
+    for node in order:
+        for c in node.nodes():
+            if node in free and (kind := label(c)):
+                labels[c] = kind
+            elif node in free:
+                free.add(c)
+    bare = {n: sum(c.density for c in n.nodes() if c.block and c in free) or (0.0 if any(c in labels for c in n.nodes()) else n.density) for n in order if n in free and n.block}
+    rest = max(bare.values(), default=0.0)
+    out = set()
+    for node, kind in labels.items():
+        if kind in ("menu", "comments") or kind == "part" and (
+            node.chars <= SHORT or _link_heavy(node) or max(n.total for n in parents_first(node)) <= rest
+        ):
+            out.add(node)
+    return out
 
 
-def select(body: Node) -> Node | None:
-    """The subtree that holds the article."""
-    nodes = measure(body)
+def select(body: Node) -> list[Node]:
+    """The subtrees that hold the article, in page order."""
+    order = measure(body)
     if not body.chars:
-        return None
-    blocks = [n for n in nodes if n.tag in BLOCKS and n.chars]
-    best = max(blocks, key=lambda n: n.total, default=body)
-    if not best.total:
-        best = max(blocks, key=lambda n: n.density, default=body)
-    path, node = [best], best
-    while node is not body:
-        node = node.parent
-        path.append(node)
-    for kind in ("article", "main"):
-        if held := [n for n in path if n.tag == kind or n.attrs.get("role", "").lower() == kind]:
-            return held[0]
+        return []
+    best = max((n for n in order if n.block or n is body), key=lambda n: n.total)
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    for up in path[1:]:
-        others = [c for c in up.nodes() if c is not best and c.tag in BLOCKS and c.chars]
-        if up is body and not others:
-            break
-        if others and not any(c.density >= threshold and 2 * c.link_chars <= c.chars for c in others):
-            break
-        best = up
-    return best
+
+    titled = any(n.tag == "h1" for n in parents_first(best))
+
+    def joins(node: Node) -> bool:
+        if not node.block or label(node) or _link_heavy(node):
+            return False
+        if node.tag in ("h1", "h2", "h3") and (node.parent is not body or not titled):
+            return True
+        if node.density < threshold:
+            return False
+        return node.tag in TEXT_TAGS or node.total >= threshold and sum(c.block for c in node.nodes()) > 1
+
+    parts = [best]
+    for inner, up in zip(path, path[1:]):
+        at = next(k for k, c in enumerate(up.children) if c is inner)
+        parts = [c for c in up.children[:at] if isinstance(c, Node) and joins(c)] + parts + [c for c in up.children[at:] if isinstance(c, Node) and c is not inner and joins(c)]
+    return parts
 
 
 def blocks_of(node: Node) -> list[str]:
@@ -244,9 +321,16 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     body = next((n for n in root.nodes() if n.tag == "body"), root)
-    prune(body)
+    remove(body, _never_text)
+    wrap_runs(body)
+    named = vetoed(body)
+    remove(body, named.__contains__)
     chosen = select(body)
-    return "\n".join(blocks_of(chosen)) if chosen is not None else ""
+    for part in chosen:
+        # A header belongs to the page if the page was chosen as a whole, else to what was chosen.
+        if part is body:
+            remove(body, lambda n: n.parent is body and label(n) == "header" and (n.chars <= SHORT or _link_heavy(n)))
+    return "\n".join(b for part in chosen for b in blocks_of(part))
 
 
 def extract(pages: DataFrame, html_col: str = "html", *keep: str) -> DataFrame:
