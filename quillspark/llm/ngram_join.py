@@ -19,8 +19,12 @@ n - ceil(t n) + 1 of each, and at least l tokens within the first n - ceil(t n)
 
 Defined cases: null, empty and blank texts have the empty set and stand alone;
 texts with fewer words than a shingle are one shingle; repeated rows share a
-class; a null id is answered but names a component only if all its ids are null.
-Shingles are told apart by 64-bit hashes, classes by 128-bit hashes of their sets.
+class; a null id is answered but names a component only if all its ids are null;
+an empty table gives no rows; very long texts are hashed whole; other columns are
+left out by ``jaccard_components`` and carried untouched by ``keep_first``, which
+tells rows apart by their places in files, not by ids.
+Shingles are told apart by 64-bit hashes, classes by 128-bit hashes of their sets
+(their prefix tokens are counted under the first 64 bits of these).
 """
 
 from __future__ import annotations
@@ -31,15 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_places
 from .components import connected_components
 from .words import Words, chunks, mix
 
 #: A-Z in lower case; tab to carriage return and space part words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 EXTENT = 12
-BUCKET = 1_000_000
-LOW48 = np.uint64((1 << 48) - 1)
+#: Prefix tokens that one group holds at a time.
+BUCKET = 500_000
+#: A class with more than one of so many rows is joined by broadcast; there are at most so many of them.
+HOT_SHARE = 2000
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -91,11 +97,15 @@ def _sets(batches, size: int):
         yield b, [s for _, part in chunks(texts) for s in shingle_sets(part, size)]
 
 
-def _describe(size: int):
+def _describe(size: int, names: list[str]):
+    """The columns before the text, set size, signature and its first 64 bits."""
+
     def run(batches):
         for b, sets in _sets(batches, size):
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sig"])
+            sigs = [signature(s) for s in sets]
+            halves = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in sigs]
+            cols = [*b.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(halves, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -108,17 +118,6 @@ def _grouped(keys: np.ndarray, n_keys: int):
         yield int(k), order[cuts[k] : cuts[k + 1]]
 
 
-def _six(a: np.ndarray) -> bytes:
-    """The low 48 bits of each number."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _prefix_postings(size: int, percent: int, buckets: int):
     """Blocks of (token, class) of the extended prefixes under the hash order."""
 
@@ -127,7 +126,7 @@ def _prefix_postings(size: int, percent: int, buckets: int):
 
         def flush():
             t, o = np.concatenate(tokens), np.concatenate(owners)
-            rows = [(k, _six(t[at]), _six(o[at])) for k, at in _grouped((t % np.uint64(buckets)).astype(np.uint16), buckets)]
+            rows = [(k, t[at].tobytes(), o[at].tobytes()) for k, at in _grouped((t % np.uint64(buckets)).astype(np.int32), buckets)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=pa.schema([("bucket", pa.int32()), ("t", pa.binary()), ("o", pa.binary())]))
 
         for _, sets in _sets(batches, size):
@@ -149,8 +148,7 @@ def _prefix_postings(size: int, percent: int, buckets: int):
 
 def _shared_counts(table: pa.Table) -> pa.Table:
     """How many tokens of this bucket each class shares with another."""
-    t = np.concatenate([_from_six(x.as_py()) for x in table.column("t")])
-    o = np.concatenate([_from_six(x.as_py()) for x in table.column("o")])
+    t, o = _joined(table, "t", np.uint64), _joined(table, "o", np.uint64)
     order = np.lexsort((o, t))
     t, o = t[order], o[order]
     new = np.ones(len(t), bool)
@@ -186,7 +184,7 @@ def _all_postings(buckets: int):
             t = np.concatenate(sets)
             c = np.repeat(b.column(0).to_numpy(), sizes)
             n = np.repeat(b.column(1).to_numpy().astype(np.int32), sizes)
-            rows = [(k, t[at].tobytes(), c[at].tobytes(), n[at].tobytes()) for k, at in _grouped((t % np.uint64(buckets)).astype(np.uint16), buckets)]
+            rows = [(k, t[at].tobytes(), c[at].tobytes(), n[at].tobytes()) for k, at in _grouped((t % np.uint64(buckets)).astype(np.int32), buckets)]
             kinds = [("bucket", pa.int32()), ("t", pa.binary()), ("c", pa.binary()), ("n", pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], schema=pa.schema(kinds))
 
@@ -213,7 +211,7 @@ def _with_counts(buckets: int):
         df = np.bincount(group)[group].astype(np.int32)
         own = df > 1
         t, c, n, df = t[own], c[own], n[own], df[own]
-        rows = [(k, t[at].tobytes(), c[at].tobytes(), n[at].tobytes(), df[at].tobytes()) for k, at in _grouped((mix(c.view(np.uint64)) % np.uint64(buckets)).astype(np.uint16), buckets)]
+        rows = [(k, t[at].tobytes(), c[at].tobytes(), n[at].tobytes(), df[at].tobytes()) for k, at in _grouped((mix(c.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), buckets)]
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table({k: pa.array(v, p) for k, v, p in zip(("bucket", "t", "c", "n", "df"), cols, (pa.int32(), *[pa.binary()] * 4))})
 
@@ -298,7 +296,7 @@ def _verify(percent: int):
 
 
 def _power_of_two(x: float) -> int:
-    return 1 << min(15, max(4, int(np.ceil(np.log2(max(1.0, x))))))
+    return 1 << max(4, int(np.ceil(np.log2(max(1.0, x)))))
 
 
 def _two_sided(pairs: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
@@ -360,21 +358,24 @@ def class_components(prefixes: DataFrame, sets: DataFrame, percent: int, pairs_p
     return labels
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
-) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = materialize(slim.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, sig binary"))
-    classes = described.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, place: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, place, n_shingles, sig, first; loners: the same without first). ``first`` is the component's smallest (missing, doc_id, place)."""
+    id_and_text = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    slim = docs.select(*id_and_text)
+    kinds = "".join(f", p{k} long" for k in range(len(place)))
+    keys = [f"p{k}" for k in range(len(place))]
+    placed = docs.select(id_and_text[0], *[F.col(c).alias(k) for c, k in zip(place, keys)], id_and_text[1])
+    described = materialize(placed.mapInArrow(_describe(shingle, ["doc_id", *keys, "n_shingles", "sig", "half"]), f"doc_id long{kinds}, n_shingles long, sig binary, half long"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *keys)).alias("least")
+    classes = described.filter("sig IS NOT NULL").groupBy("sig").agg(least, F.first("n_shingles").alias("n"), F.first("half").alias("half"), F.count("*").alias("size"))
+    whole = described.agg(F.sum("n_shingles"), F.count("*")).first()
+    total, n_docs = whole[0] or 0, whole[1]
     buckets = _power_of_two(total * (100 - percent + EXTENT) / 100 / BUCKET)
     posted = slim.mapInArrow(_prefix_postings(shingle, percent, buckets), "bucket int, t binary, o binary")
     shared = posted.groupBy("bucket").applyInArrow(_shared_counts, "half long, shared long").groupBy("half").agg(F.sum("shared").alias("shared"))
-    half = F.expr("CAST(conv(concat(substr(hex(sig),11,2),substr(hex(sig),9,2),substr(hex(sig),7,2),substr(hex(sig),5,2),substr(hex(sig),3,2),substr(hex(sig),1,2)),16,10) AS long)")
     floor = F.expr(f"greatest(1L, ({EXTENT}L * (({percent}L * n + 99) div 100)) div 100)")
-    alive = classes.withColumn("half", half).join(shared, "half").filter(F.col("shared") >= floor).select("sig", "least")
-    wanted = alive.select("sig", F.coalesce("least", F.lit(-(2**63))).alias("key"))
+    alive = classes.join(shared, "half").filter(F.col("shared") >= floor).select("sig", "least")
+    wanted = alive.select("sig", F.coalesce("least.doc_id", F.lit(-(2**63))).alias("key"))
     keyed = slim.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "text")
     texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("sig", "text")
     sets = texts.mapInArrow(_full_sets(shingle), "sig binary, n long, tokens binary").dropDuplicates(["sig"])
@@ -384,13 +385,31 @@ def jaccard_components(
     counted = sets.select("cid", "n", "tokens").mapInArrow(_all_postings(buckets), POSTED).groupBy("bucket").applyInArrow(_with_counts(buckets), f"{POSTED}, df binary")
     prefixes = materialize(counted.groupBy("bucket").applyInArrow(_prefixes(percent), PREFIXES))
     roots = class_components(prefixes, sets, percent)
-    if roots is None:
-        named = classes.select("sig", F.col("least").alias("component_id"))
-    else:
+    named = classes.select("sig", "size", F.col("least").alias("first"))
+    if roots is not None:
         member = roots.join(sets.select(F.col("cid").alias("node"), "sig"), "node").join(classes.select("sig", "least"), "sig")
         lowest = member.groupBy("root").agg(F.min("least").alias("low"))
         united = member.select("sig", "root").join(lowest, "root").select("sig", "low")
-        named = classes.join(united, "sig", "left").select("sig", F.coalesce("low", "least").alias("component_id"))
-    return described.join(named, "sig", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+        named = named.join(united, "sig", "left").select("sig", "size", F.coalesce("low", "first").alias("first"))
+    named = materialize(named)
+    # Classes that many rows share meet their rows by broadcast, so that no task gets all of a group of copies.
+    hot = F.broadcast(named.filter(F.col("size") * HOT_SHARE > n_docs).select("sig", "first"))
+    told = described.filter("sig IS NOT NULL")
+    rows = told.join(hot, "sig").unionByName(told.join(hot, "sig", "left_anti").join(named.select("sig", "first"), "sig"))
+    return rows, described.filter("sig IS NULL")
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
+) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
+    rows, loners = _first_of_each(docs, id_col, text_col, shingle, percent, [])
+    return rows.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id")).union(loners.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, one of each component: that of the smallest doc_id (of several, any one)."""
+    placed, place = with_places(docs)
+    rows, _ = _first_of_each(placed, id_col, text_col, shingle, percent, place)
+    later = rows.filter("first.p0 <> p0 OR first.p1 <> p1").select(*[F.col(f"p{k}").alias(c) for k, c in enumerate(place)])
+    return placed.join(later.hint("shuffle_hash"), place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

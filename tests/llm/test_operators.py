@@ -369,6 +369,26 @@ def test_near_duplicates_are_brute_force(spark):
         assert got == brute_components(dict(enumerate(texts)), size, percent)
 
 
+def test_keep_first_tells_rows_by_place(spark):
+    """Rows that share an id with a removed copy stay; of a group one row stays, also where ids are missing or repeat."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words)
+    rows = [(1, near), (5, near + " tail"), (5, "an unrelated text of its own"), (7, None), (7, ""), (None, near), (None, "no id here"), (9, "same text twice"), (9, "same text twice")]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, file int, row string, p0 int")
+    want = collections.Counter([(1, near), (5, "an unrelated text of its own"), (7, None), (7, ""), (None, "no id here"), (9, "same text twice")])
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns and collections.Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    assert ngram_join.keep_first(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_a_long_text_and_of_null_ids(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))
+    df = spark.createDataFrame([(3, long), (4, long + " x"), (None, "a b c d e f"), (8, "a b c d e f"), (None, "alone by itself")], EMPTY)
+    got = {(r.doc_id, r.component_id, r.n_shingles > 10_000) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {(3, 3, True), (4, 3, True), (None, 8, False), (8, 8, False), (None, None, False)}
+
+
 def test_near_duplicate_edges(spark):
     df = frame(spark, [None, "", "a"])
     assert sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect()) == [(0, 0), (1, 1), (2, 2)]
