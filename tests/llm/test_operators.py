@@ -94,6 +94,25 @@ def test_language_edges(spark, corpus):
     assert hyperdim.keep_identified(df.limit(0), known).count() == 0
 
 
+def test_gibberish_goes_and_short_texts_stay(spark, corpus):
+    known = hyperdim.fit_prototypes(corpus)
+    rng = random.Random(0)
+    noise = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz   ", "0123456789abcdef ", "абвгдежзийклмнопрстуфхцчшщыэюя  ") for n in (100, 200) for _ in range(40)]
+    assert hyperdim.keep_identified(frame(spark, noise), known).count() <= len(noise) / 20
+    clean = [r.text for r in corpus.filter("text RLIKE '[a-zA-Z]'").collect()]
+    short = [" ".join(t.split()[:2]) for t in clean if re.search("[a-zA-Z]", " ".join(t.split()[:2]))]
+    assert hyperdim.keep_identified(frame(spark, clean), known).count() == len(clean)
+    assert hyperdim.keep_identified(frame(spark, short), known).count() >= 0.99 * len(short)
+
+
+def test_language_repeats_and_clashes(spark, corpus):
+    known = hyperdim.fit_prototypes(corpus, docs_per_language=50)
+    df = spark.createDataFrame([(1, "the and of", "x", 0.5), (1, "the and of", "x", 0.5)], "doc_id long, text string, lang_pred string, score double")
+    got = hyperdim.identify(df, known)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and [r.lang_pred for r in got.collect()] == ["en", "en"]
+    assert [tuple(r) for r in hyperdim.keep_identified(df, known).collect()] == [tuple(r) for r in df.collect()]
+
+
 def test_language_matches_brute_force():
     space = hyperdim.TrigramSpace(64)
     text = "Ab c-d éa " * 30
