@@ -12,34 +12,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, fm_index, hyperdim, mixing, ngram_join
-from quillspark.llm.common import scratch_dir, table
+from quillspark.llm.common import delete, scratch, scratch_dir, table
 from quillspark.llm.queries import TARGETS, learned_languages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or unlike every learned language go."""
+    """Documents without letters or unlike every learned language go.
+
+    Null and empty texts have no letters; with no language learned (an empty table, no lang) all go.
+    Very long texts are read whole; repeated rows are judged each; all columns stay, whatever their names.
+    """
     return hyperdim.keep_identified(docs, learned_languages(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Null text equals the empty one; a null id is the smallest; of repeated rows one stays; an empty table stays empty.
+    """
     return exact_dedup.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays: five-word shingles, similarity 0.8 or more."""
-    groups = ngram_join.jaccard_components(docs)
-    others = groups.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies the smallest doc_id stays: five-word shingles, similarity 0.8 or more.
+
+    Rows are told apart by their place in the files, so a row whose doc_id repeats is not lost with its namesake.
+    Texts without words stand alone and stay; a null id is larger than others; of repeated rows one stays.
+    """
+    return ngram_join.keep_first(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go.
+
+    Null and empty texts stay; with an empty benchmark all stay; items without words or with null text match nothing.
+    """
     return fm_index.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents get their rate; those of rate zero go."""
+    """Documents get their rate; those of rate zero go.
+
+    Texts without words keep rate 1; without labels all rates are 1; a column of the name of an added one is an error.
+    """
     return mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS).filter(F.col("rate") > 0)
 
 
@@ -56,9 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows that all stages kept; what stages and operators wrote on the way is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{scratch_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
