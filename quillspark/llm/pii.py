@@ -7,8 +7,9 @@ normalised text which source characters it stands for. The detectors run on the
 normalised text, and spans that a rewrite touches are mapped back to the source.
 
 Defined cases: null counts as empty; offsets are code points, end exclusive;
-texts are read whole; base spans stay, and a disguised span that overlaps one of
-its kind is dropped; repeated rows are answered each by itself.
+texts are read whole, names and hosts of any length; base spans stay, and a disguised
+span that overlaps one of its kind is dropped; repeated rows and null ids are answered
+each by itself; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -62,10 +63,10 @@ _SPACED = (" dot ", " punkt ", " punto ")
 _AT_RE = re.compile(r"\s?[\[({<]\s?(?:at|arroba|chez|@)\s?[\])}>]\s?|\x20(?:at|arroba)\x20|@", re.I)
 _DOT_RE = re.compile(_DOT_WORD, re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT_WORD}(?=[0-9])", re.I)
-_NAME = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT_WORD})[A-Za-z0-9_%+-]+){{0,4}}$", re.I)
-_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT_WORD})[A-Za-z0-9-]+){{1,5}}", re.I)
-#: Mail names have 64 characters at most; so far back a disguised one is looked for.
-NAME_REACH = 96
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT_WORD})[A-Za-z0-9-]++)++", re.I)
+#: A name with its dots, read from its end: over the reversed text.
+_TOD_WORD = r"(?:\s?[\])}>]\s?(?:tod|tknup|otnup|tniop|\.)\s?[\[({<]\s?|\x20(?:tod|tknup|otnup)\x20)"
+_EMAN = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.|{_TOD_WORD})[A-Za-z0-9_%+-]++)*+", re.I)
 
 
 def has_disguise(text: str, lower: str) -> bool:
@@ -80,14 +81,13 @@ def disguised_numbers(text: str) -> list[tuple[int, int, str]]:
 
 def disguised_mail(text: str) -> list[tuple[int, int, str]]:
     """Edits that turn disguised addresses into plain ones; bare words ``at`` count only beside a disguised dot."""
-    edits, last = [], 0
+    edits, last, back = [], 0, text[::-1]
     for m in _AT_RE.finditer(text):
         host = _HOST.match(text, m.end())
-        start = max(last, m.start() - NAME_REACH)
-        name = host and _NAME.search(text[start : m.start()])
+        name = host and m.start() >= last and _EMAN.match(back, len(text) - m.start(), len(text) - last)
         if name and (m[0].strip().lower() not in ("at", "arroba") or _DOT_RE.search(host[0])):
-            a, b = start + name.start(), host.end()
-            plain = f"{_DOT_RE.sub('.', name[0])}@{_DOT_RE.sub('.', host[0])}"
+            a, b = len(text) - name.end(), host.end()
+            plain = f"{_DOT_RE.sub('.', name[0][::-1])}@{_DOT_RE.sub('.', host[0])}"
             ending = plain.rsplit(".", 1)[1].lower()
             if plain != text[a:b] and ending.isalpha() and ending not in ("at", "arroba", "dot", "punkt", "punto", "point"):
                 edits.append((a, b, plain))

@@ -328,6 +328,54 @@ def test_pii_bracketed_at_sign(at):
     assert pii.scan(f"now {text} is") == ([], [(0, 4, 4 + len(text))])
 
 
+def test_pii_long_names_and_hosts():
+    for text in ("x [at] a.b.c.d.e.f.g.h [dot] com", "a.b.c.d.e.f.g.h [at] x [dot] com", "n" * 300 + " [at] x.com", "a dot b dot c dot d dot e dot f at x dot y dot com"):
+        assert pii.scan(f"now {text}, is") == ([], [(0, 4, 4 + len(text))])
+
+
+def test_pii_name_is_the_longest_before_the_sign():
+    """The name read backwards against the longest one that a plain search finds."""
+    name = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{pii._DOT_WORD})[A-Za-z0-9_%+-]+)*$", re.I)
+    rng = random.Random(6)
+    for _ in range(5000):
+        t = "".join(rng.choice(["a", "b1", ".", " dot ", "[.]", " (dot) ", " ", "é", "-", "dot"]) for _ in range(rng.randrange(9)))
+        plain, back = name.search(t), pii._EMAN.match(t[::-1])
+        assert (plain and plain[0]) == (back and back[0][::-1]), t
+
+
+def test_pii_edges(spark):
+    long = "word " * 400_000 + "a@b.co " + "x [at] y [dot] org"
+    df = spark.createDataFrame([(None, "a@b.co", "k"), (1, long, "k"), (1, long, "k")], "doc_id long, text string, spans string")
+    got = pii.find_pii(df)
+    assert got.columns == ["doc_id", "spans"]
+    assert sorted((r.doc_id or 0, [(s.start, s.base) for s in r.spans]) for r in got.collect()) == [(0, [(0, True)]), *[(1, [(2_000_000, True), (2_000_007, False)])] * 2]
+
+
+def test_pii_base_spans_agree_with_sql(spark):
+    """Counts and digest of the base spans in DuckDB, over whole tables."""
+    import duckdb
+
+    def spans(kind, n, pattern, fits):
+        return f"""SELECT doc_id, {n} AS n, '{kind}' AS kind, sum(length(p[i]) + length(h[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(h[i]) AS s, h[i] AS hit
+            FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS h, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS i FROM d) QUALIFY {fits}"""
+
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse({digits}), k, 1) AS INT)
+        ELSE CAST(substr(reverse({digits}), k, 1) AS INT) * 2 - CASE WHEN CAST(substr(reverse({digits}), k, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+    kinds = [
+        spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        spans("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(hit, '.'), lambda x: CAST(x AS HUGEINT))) <= 255"),
+        spans("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
+        spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+    ]
+    con = duckdb.connect()
+    con.sql("CREATE VIEW d AS SELECT doc_id, coalesce(text, '') AS text FROM '/root/testdata/sf0.01/documents.parquet'")
+    told = dict(con.execute(f"SELECT doc_id, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(hit) AS BIGINT), ',' ORDER BY n, s) FROM ({' UNION ALL '.join(kinds)}) GROUP BY doc_id").fetchall())
+    assert len(told) > 40
+    for r in q.op7_find_pii(spark, "/root/testdata/sf0.01").collect():
+        assert r.base_sha256 == hashlib.sha256(told.get(r.doc_id, "").encode()).hexdigest()
+
+
 def test_pii_numbers_with_dots_stay():
     for text in ("it is 3 dot 5 of 10", "192 dot 168 dot 1 dot 999", "1[.]2[.]3"):
         assert pii.scan(text) == ([], [])
