@@ -6,11 +6,16 @@ the Burrows-Wheeler transform as a wavelet matrix with rank counts, and searches
 all benchmark phrases backwards at once. Occurrences are located by walking to
 sampled suffix positions; the hit words of a document are merged to spans.
 
+The benchmark is read in blocks of bounded size, one at a time on the driver; a task
+has one block in memory at a time and searches each of them in one pass over its rows.
+
 Defined cases: null and empty texts have no words and no hits; a benchmark item
 with fewer words than a window is one window; items without words never match;
-equal windows of several items count for each; repeated rows are answered each
-by itself; texts longer than a shard are cut to pieces that overlap by a window
-less one word, so no occurrence is lost.
+equal windows of several items count for each; an item without id hits words but
+is not named; with an empty benchmark nothing is hit, and an empty table gives no
+rows; repeated rows are answered each by itself; other columns are left out by
+``contamination`` and carried untouched by the others; texts longer than a shard
+are cut to pieces that overlap by a window less one word, so no occurrence is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,11 +186,11 @@ class FMIndex:
 class Phrases:
     """Windows of benchmark items: word numbers, lengths and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         vocabulary: dict[bytes, int] = defaultdict(count().__next__)
         seen: dict[tuple, int] = {}
         owners: list[set[int]] = []
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted({i for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.items)}
         for item, text in items:
             ids = tuple(vocabulary[w] for w in words_of(text.encode("utf-8", "surrogatepass") if text else None))
@@ -193,7 +199,8 @@ class Phrases:
                 k = seen.setdefault(key, len(seen))
                 if k == len(owners):
                     owners.append(set())
-                owners[k].add(number[item])
+                if item is not None:
+                    owners[k].add(number[item])
         self.words = list(vocabulary)
         self.hashes = Words(self.words, WORD_BYTES).hashes
         self.window = window
@@ -274,84 +281,88 @@ def cut_spans(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
-    """The benchmark as Phrases of bounded size, one block at a time."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
+    """The benchmark as broadcast Phrases of bounded size; the driver holds one of them at a time."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
+    out = []
     for k in range(blocks):
         block = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield Phrases([tuple(r) for r in block.collect()])
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()])))
+    return out
+
+
+def scan(texts: list[bytes | None], blocks: list[Broadcast]) -> list[tuple[int, np.ndarray, set[str]]]:
+    """For each text its words, the merged spans of words that any block hits and the names of the items that occur."""
+    sizes, spans, names = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for block in blocks:
+        phrases, at = block.value, 0
+        for _, shard in chunks(texts, SHARD_BYTES):
+            for n, own, items in scan_shard(shard, phrases):
+                sizes[at] = n
+                if len(own):
+                    spans[at].append(own)
+                    names[at].update(phrases.items[x] for x in items)
+                at += 1
+        if len(blocks) > 1:
+            forget(block)
+    none = np.empty((0, 2), np.int64)
+    return [(n, _united(own) if own else none, seen) for n, own, seen in zip(sizes, spans, names)]
+
+
+def forget(block: Broadcast) -> None:
+    """Frees the worker's copy of a block that can be read again from the worker's disk."""
+    if getattr(block, "_path", None):
+        block.__dict__.pop("_value", None)
 
 
-def _scan(phrases, text_at: int, finish):
-    """Feeds batches to shards; ``finish(batch, results)`` makes the output batch."""
+def _united(parts: list[np.ndarray]) -> np.ndarray:
+    both = np.concatenate(parts)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    return merge_spans(both[:, 0], both[:, 1])
+
+
+def _mapped(docs: DataFrame, blocks: list[Broadcast], text_at: int, finish, schema) -> DataFrame:
+    """``finish(batch, results)`` of every batch."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(text_at).cast(pa.binary())
-            shards = chunks(texts.to_pylist(), SHARD_BYTES)
-            yield finish(b, [x for _, shard in shards for x in scan_shard(shard, phrases.value)])
+            yield finish(b, scan(b.column(text_at).cast(pa.binary()).to_pylist(), blocks))
 
-    return run
+    return docs.mapInArrow(run, schema)
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """doc_id, n_words, spans (word numbers, end exclusive) and items (ids as strings, sorted) of each document."""
-    pairs = "spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"),
-    )
-    spark, kind = docs.sparkSession, slim.schema["doc_id"].dataType.simpleString()
-    blocks = list(benchmark_blocks(benchmark, item_col, item_text))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        held = spark.sparkContext.broadcast(block)
-
-        def finish(b, results, held=held, last=last):
-            spans, items, sizes = [], [], []
-            for i, (n, own, named) in enumerate(results):
-                sizes.append(n)
-                old, had = b.column(3)[i].as_py(), b.column(4)[i].as_py()
-                names = {held.value.items[x] for x in named}
-                if old and len(own):
-                    both = np.concatenate((np.array([(s["start"], s["end"]) for s in old]), own))
-                    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-                    own = merge_spans(both[:, 0], both[:, 1])
-                spans.append([{"start": int(x), "end": int(y)} for x, y in own] if len(own) else old)
-                items.append(sorted(names | set(had)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            rest = [pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
-            names = ["doc_id", *([] if last else ["text"]), "n_words", "spans", "items"]
-            return pa.RecordBatch.from_arrays([b.column(0), *([] if last else [b.column(1)]), *rest], names)
-
-        slim = slim.mapInArrow(_scan(held, 1, finish), f"doc_id {kind}, {'' if last else 'text string, '}n_words bigint, {pairs}")
-    return slim
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def finish(b, results):
+        sizes = pa.array([n for n, _, _ in results], pa.int64())
+        spans = pa.array([[{"start": int(x), "end": int(y)} for x, y in own] for _, own, _ in results], places)
+        items = pa.array([sorted(names) for _, _, names in results], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([b.column(0), sizes, spans, items], ["doc_id", "n_words", "spans", "items"])
+
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    return _mapped(slim, benchmark_blocks(benchmark, item_col, item_text), 1, finish, schema)
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents in which no benchmark window occurs, with all their columns."""
-    at = docs.columns.index(text_col)
-    for block in benchmark_blocks(benchmark, item_col, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        finish = lambda b, results: b.filter(pa.array([not len(s) for _, s, _ in results], pa.bool_()))
-        docs = docs.mapInArrow(_scan(held, at, finish), docs.schema)
-    return docs
+    finish = lambda b, results: b.filter(pa.array([not len(s) for _, s, _ in results], pa.bool_()))
+    return _mapped(docs, benchmark_blocks(benchmark, item_col, item_text), docs.columns.index(text_col), finish, docs.schema)
 
 
 def excise(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """All documents, the merged spans cut out of their texts; other columns stay as they are."""
     at = docs.columns.index(text_col)
-    for block in benchmark_blocks(benchmark, item_col, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(block)
 
-        def finish(b, results):
-            texts = b.column(at).to_pylist()
-            cut = [cut_spans(t, s) if len(s) else t for t, (_, s, _) in zip(texts, results)]
-            return b.set_column(at, b.schema.field(at).name, pa.array(cut, pa.string()))
+    def finish(b, results):
+        cut = [cut_spans(t, s) if len(s) else t for t, (_, s, _) in zip(b.column(at).to_pylist(), results)]
+        return b.set_column(at, b.schema.field(at).name, pa.array(cut, pa.string()))
 
-        docs = docs.mapInArrow(_scan(held, at, finish), docs.schema)
-    return docs
+    return _mapped(docs, benchmark_blocks(benchmark, item_col, item_text), at, finish, docs.schema)

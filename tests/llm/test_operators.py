@@ -267,6 +267,12 @@ def test_decontamination_edges_and_blocks(spark, monkeypatch):
         got = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in fm_index.contamination(docs, bench).collect()}
         assert got == want
     assert sorted(r.doc_id for r in fm_index.keep_uncontaminated(docs, bench).collect()) == [0, 1, 4]
+    nameless = spark.createDataFrame([(None, "one two three"), (7, "three")], "item_id long, text string")
+    assert [(r.spans, r["items"]) for r in fm_index.contamination(docs.filter("doc_id = 2"), nameless).collect()] == [([(1, 4)], ["7"])]
+    again = docs.filter("doc_id = 2").unionByName(docs.filter("doc_id = 2"))
+    assert [r["items"] for r in fm_index.contamination(again, bench).collect()] == [["1", "4"]] * 2
+    long = frame(spark, ["filler " * 600_000 + "one two three " + "filler " * 100])
+    assert [(r.n_words, [tuple(s) for s in r.spans]) for r in fm_index.contamination(long, bench).collect()] == [(600_103, [(600_000, 600_003)])]
     cut = {r.doc_id: r.text for r in fm_index.excise(docs, bench).collect()}
     assert cut[2] == "x  y" and cut[4] == "clean text" and cut[0] is None
     assert fm_index.contamination(docs.limit(0), bench).count() == 0
