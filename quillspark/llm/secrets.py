@@ -9,9 +9,14 @@ expression itself. Rules without mandatory trigrams read every text.
 Spans come from cutting a text at the matches: the lengths of what lies between
 and of the matches add up to their places in code points.
 
+Texts are not shuffled: the candidates, (id, hash, rules) rows, are written and come to
+the texts by broadcast while there are at most ``BROADCAST_ROWS`` of them (some 100 bytes
+each). Beyond that only the candidates' texts move, and the narrow results meet by key.
+
 Defined cases: null text counts as empty; offsets are code points, end exclusive;
 matches are leftmost and without overlap within a rule; rows are told apart by id
-and text, so repeated rows and null ids are answered each by itself.
+and text, so repeated rows and null ids are answered each by itself; an empty table
+gives no rows; very long texts are read whole; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +28,11 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: So many candidate rows are sent to all executors at most.
+BROADCAST_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -134,27 +144,41 @@ def match_spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(walked, none, step, lambda acc: acc["out"])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+EMPTY = "CAST(array() AS array<struct<start:bigint,end:bigint,kind:string>>)"
+
+
+def _verified(rules: list[Rule], posted: bool) -> Column:
+    """Spans of the rules in a text; those ``posted`` only where the column ``kinds`` names them."""
+    parts = [F.expr(EMPTY)]
+    for r in rules:
+        hit = F.rlike(F.col("text"), F.lit(r.pattern))
+        if posted:
+            hit = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) & hit
+        parts.append(F.when(hit, match_spans(F.col("text"), r)).otherwise(F.expr(EMPTY)))
+    return F.concat(*parts)
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id and spans (start, end, kind) by start, then kind in order of the rules."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("h", F.xxhash64("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for way in q for t in way})
-    found = keyed
-    if queries:
+    posted, whole = [r for r in rules if r.kind in queries], [r for r in rules if r.kind not in queries]
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h"))
+    found = keyed.select("doc_id", _verified(whole, False).alias("spans"))
+    if posted:
         key = ["doc_id", "h"]
-        told = candidates(trigram_index(keyed, trigrams, key, "text"), queries, key).toDF("c_id", "c_h", "kinds")
-        found = keyed.join(told.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
-    empty = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint,kind:string>>)")
-    parts = []
-    for r in rules:
-        spans = match_spans(F.col("text"), r)
-        hit = F.rlike(F.col("text"), F.lit(r.pattern))
-        if r.kind in queries:
-            hit = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) & hit
-        parts.append(F.when(hit, spans).otherwise(empty))
+        told = materialize(candidates(trigram_index(keyed, trigrams, key, "text"), queries, key).toDF("c_id", "c_h", "kinds"))
+        if told.count() <= broadcast_rows:
+            near = keyed.join(F.broadcast(told), same, "left")
+            found = near.select("doc_id", F.concat(_verified(whole, False), _verified(posted, True)).alias("spans"))
+        else:
+            near = keyed.join(told.hint("shuffle_hash"), same)
+            more = near.select("c_id", "c_h", _verified(posted, True).alias("more")).dropDuplicates(["c_id", "c_h"])
+            narrow = keyed.select("doc_id", "h", _verified(whole, False).alias("spans"))
+            found = narrow.join(more, same, "left").select("doc_id", F.concat("spans", F.coalesce("more", F.expr(EMPTY))).alias("spans"))
     order = {r.kind: n for n, r in enumerate(rules)}
     number = lambda s: F.create_map(*[F.lit(x) for k, n in order.items() for x in (k, n)])[s["kind"]]
-    both = F.concat(*parts)
-    compare = lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise(number(a) - number(b))
-    return found.select("doc_id", F.array_sort(both, compare).alias("spans"))
+    compare = lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(number(a) - number(b))
+    return found.select("doc_id", F.array_sort("spans", compare).alias("spans"))
