@@ -8,14 +8,21 @@ domain totals of the present rates, so each iteration is one aggregation over
 (tokens, posteriors) and the rates themselves are an expression over the steps
 so far; nothing of a document's size leaves its row.
 
-Squared misses are weighted by the inverse of the domains' token Gram matrix and
-rates by their tokens, which makes the unit step safe; steps scaled by the Gram matrix of the
-documents still above zero are tried beside it and make the descent fast.
+What is made small is the plain sum of squared misses. Rates are weighted by their tokens, so a
+gradient step over the largest eigenvalue of the domains' token Gram matrix is safe; steps scaled by
+the Gram matrix of the documents still above zero are tried beside it and make the descent fast.
+
+Features are made once: documents with tokens and posteriors are written to the shared
+folder, and both the fit and the result read them there.
 
 Defined cases: null and empty texts have no tokens, no part in the totals and keep
 rate 1; without labels of two classes there is one domain and all rates are 1;
 targets of domains that the classes lack are left out, the rest is scaled to sum
-to one; repeated rows each get their rate; other columns pass through.
+to one; targets out of reach are approached as far as nonnegative rates can, and the
+report tells by how much; labels of one document that disagree count each, repeated
+ones once; repeated rows each get their rate; an empty table gives no rows; very long
+texts are read whole; other columns pass through, and one named like an added column
+(n_tokens, posteriors, rate, copies, in any letter case) is an error.
 """
 
 from __future__ import annotations
@@ -28,11 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, materialize
+from .common import bounded_sample, free_names, materialize
 from .fm_index import WORD_BYTES
 from .words import Words, chunks
 
 HASHED = 2048
+ADDED = ("n_tokens", "posteriors", "rate", "copies")
+#: Texts of more characters are not learned from.
+LONGEST = 5_000_000
 FEATURES = HASHED + 128 + 1
 
 
@@ -71,12 +81,13 @@ class Domains:
 
 def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None,
                 per_class: int = 1000, epochs: int = 150) -> Domains:
-    """The classifier of about ``per_class`` labelled documents of each domain; default domains are quality x toxic."""
+    """The classifier of about ``per_class`` labelled documents of each domain, of ``LONGEST`` characters at most; default domains are quality x toxic."""
     if domain is None:
         domain = F.concat(F.lit("quality"), F.col("quality"), F.lit("_toxic"), F.col("toxic"))
-    known = labels.select(F.col(id_col).alias("id"), domain.cast("string").alias("domain")).filter("id IS NOT NULL AND domain IS NOT NULL")
+    known = labels.select(F.col(id_col).alias("id"), domain.cast("string").alias("domain")).filter("id IS NOT NULL AND domain IS NOT NULL").distinct()
     sample = bounded_sample(known, "id", "domain", per_class)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= LONGEST)
+    rows = rows.join(F.broadcast(sample), "id").dropDuplicates(["id", "domain"])
 
     def prepare(batches):
         for b in batches:
@@ -101,31 +112,31 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return Domains(names, w.astype(np.float32), (offset - offset.max()).astype(np.float32))
 
 
-def membership(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
-    """The documents with columns __tokens and __p (posteriors) appended."""
+def membership(docs: DataFrame, model: Domains, text_col: str = "text", tokens: str = "__tokens", shares: str = "__p") -> DataFrame:
+    """The documents with columns for the number of tokens and the posteriors appended."""
     at = docs.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    added = [T.StructField("__tokens", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))]
+    added = [T.StructField(tokens, T.LongType()), T.StructField(shares, T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches):
         for b in batches:
             sizes, x = features(b.column(at).cast(pa.binary()).to_pylist())
             p = held.value.posteriors(x).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(list(p), pa.list_(pa.float64()))], [*b.schema.names, "__tokens", "__p"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(list(p), pa.list_(pa.float64()))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _move(w: np.ndarray) -> Column:
-    return sum((F.col("__p")[k] * F.lit(float(x)) for k, x in enumerate(w)), F.lit(0.0))
+def _move(w: np.ndarray, shares: str = "__p") -> Column:
+    return sum((F.col(shares)[k] * F.lit(float(x)) for k, x in enumerate(w)), F.lit(0.0))
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
+def _rate(steps: list[np.ndarray], shares: str = "__p") -> Column:
     """The rate after the steps so far: each is a posterior-weighted move, cut off at zero."""
     rate = F.lit(1.0)
     for w in steps:
-        rate = F.greatest(F.lit(0.0), rate + _move(w))
+        rate = F.greatest(F.lit(0.0), rate + _move(w, shares))
     return rate
 
 
@@ -163,15 +174,14 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], iter
     if not total or not wanted.sum() or k < 2:
         return [], {n: (float(x), float(x)) for n, x in zip(names, reached)}
     goal = wanted / wanted.sum() * total
-    invert = lambda g: np.linalg.inv(g + np.eye(k) * 1e-9 * max(np.trace(g), 1e-9))
-    metric = invert(gram)
-    cost = lambda x: float((x - goal) @ metric @ (x - goal))
+    safe = 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-9)
+    cost = lambda x: float((x - goal) @ (x - goal))
     steps: list[np.ndarray] = []
     for _ in range(iterations):
         if np.abs(reached - goal).sum() < tolerance * total:
             break
-        sharp = -invert(gram) @ (reached - goal)
-        tried = [sharp, sharp / 2, sharp / 4, -metric @ (reached - goal)]
+        sharp = -np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (reached - goal)
+        tried = [sharp, sharp / 2, sharp / 4, -safe * (reached - goal)]
         found = totals(steps, tried)
         best = min(range(len(tried)), key=lambda c: cost(found[c][0]))
         if cost(found[best][0]) >= cost(reached) * (1 - 1e-9):
@@ -181,23 +191,29 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], iter
     return steps, {n: (float(g), float(r)) for n, g, r in zip(names, goal, reached)}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None) -> DataFrame:
-    """All documents with n_tokens, posteriors (domain -> share), rate and copies.
+def mix_with_report(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, keep_text: bool = True
+) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """All documents with n_tokens, posteriors (domain -> share), rate and copies; and the target and reached tokens of each domain.
 
     ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate.
     """
+    if clash := [c for c in docs.columns if c.lower() in ADDED]:
+        raise ValueError(f"columns {clash} have the names of columns that this operator adds")
     model = fit_domains(docs, labels, id_col, text_col, domain)
-    if "__row" in docs.columns or "__tokens" in docs.columns:
-        raise ValueError("columns __row, __tokens and __p are taken by this operator")
-    soft = membership(docs, model, text_col)
-    narrow = materialize(soft.select("__tokens", "__p").filter("__tokens > 0"))
-    steps, _ = fit_rates(narrow, model.names, targets)
+    tokens, shares = free_names(docs, "tokens", "shares")
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    soft = materialize(membership(docs, model, text_col, tokens, shares).select(*[F.col(f"`{c}`") for c in [*kept, tokens, shares]]))
+    steps, report = fit_rates(soft.select(F.col(tokens).alias("__tokens"), F.col(shares).alias("__p")).filter("__tokens > 0"), model.names, targets)
     draw = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rate = F.when(F.col("__tokens") == 0, 1.0).otherwise(_rate(steps))
+    rate = F.when(F.col(tokens) == 0, 1.0).otherwise(_rate(steps, shares))
     names = F.array(*[F.lit(n) for n in model.names])
-    added = ["n_tokens", "posteriors", "rate", "copies"]
-    out = soft.withColumns({"__rate": rate})
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in added], F.col("__tokens").alias("n_tokens"), F.map_from_arrays(names, "__p").alias("posteriors"),
-        F.col("__rate").alias("rate"), F.floor(F.col("__rate") + draw).cast("long").alias("copies"),
-    )
+    out = soft.select(
+        *[F.col(f"`{c}`") for c in kept], F.col(tokens).alias("n_tokens"), F.map_from_arrays(names, F.col(shares)).alias("posteriors"), rate.alias("rate"), draw.alias("copies")
+    )
+    return out.withColumn("copies", F.floor(F.col("rate") + F.col("copies")).cast("long")), report
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *more, **options) -> DataFrame:
+    """The documents of ``mix_with_report``."""
+    return mix_with_report(docs, labels, targets, *more, **options)[0]

@@ -29,8 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), table(spark, sf_dir, "labels"), TARGETS)
-    return mixed.select("doc_id", "source", "n_tokens", "posteriors", "rate", "copies")
+    """Every document's rate, and beside it the target and reached tokens of each domain."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    mixed, report = mixing.mix_with_report(docs, table(spark, sf_dir, "labels"), TARGETS, keep_text=False)
+    told = [F.create_map(*[F.lit(x) for name, pair in report.items() for x in (name, pair[k])]).alias(c) for k, c in enumerate(("target_tokens", "reached_tokens"))]
+    return mixed.select("doc_id", "source", "n_tokens", "posteriors", "rate", "copies", *told)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

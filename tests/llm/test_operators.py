@@ -162,6 +162,29 @@ def test_mixing_edges(spark):
     assert mixing.mix(df.limit(0), labels.limit(0), q.TARGETS).count() == 0
 
 
+def test_mixing_clashes_repeats_and_long_texts(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    texts = ["good words here" if i % 2 else "bad noise there" for i in range(40)] + ["good words here " * 400_000]
+    df = frame(spark, texts).withColumns({"tokens": F.lit("mine"), "__p": F.lit("own"), "__rate": F.lit(3)})
+    got = mixing.mix(df.unionByName(df.filter("doc_id = 1")), labels, {"quality1_toxic0": 0.9, "quality0_toxic0": 0.1})
+    assert got.columns == [*df.columns, *mixing.ADDED]
+    rows = got.collect()
+    assert len(rows) == 42 and {(r.tokens, r["__p"], r["__rate"]) for r in rows} == {("mine", "own", 3)}
+    assert {r.n_tokens for r in rows} == {3, 1_200_000} and len({round(r.rate, 4) for r in rows if r.doc_id == 1}) == 1
+    for name in ("rate", "Posteriors"):
+        with pytest.raises(ValueError):
+            mixing.mix(df.withColumn(name, F.lit("mine")), labels, q.TARGETS)
+
+
+def test_infeasible_targets_are_reported(spark):
+    """A domain that no document is sure of cannot have all tokens."""
+    soft = spark.createDataFrame([(10, [0.9, 0.1])] * 20 + [(10, [0.8, 0.2])] * 20, "__tokens long, __p array<double>")
+    steps, report = mixing.fit_rates(soft, ["a", "b"], {"a": 0.1, "b": 0.9})
+    # Only the second half can help: 160 x tokens of a and 40 x of b are nearest to 40 and 360 at x = 13 / 17.
+    assert steps and [report[d][0] for d in "ab"] == pytest.approx([40, 360])
+    assert [report[d][1] for d in "ab"] == pytest.approx([160 * 13 / 17, 40 * 13 / 17], rel=0.02)
+
+
 def test_projected_gradient_is_brute_force(spark):
     """Rates from the steps equal rates kept row by row."""
     rng = np.random.default_rng(5)
