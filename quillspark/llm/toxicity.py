@@ -9,8 +9,9 @@ alone by hyperdimensional profiles, is set on a part of the sample kept from
 training; the score is the logistic of the distance to it.
 
 Defined cases: null, empty and word-free texts are scored too, by their padding;
-without labels of both classes every score is 0; labels of one document that
-disagree count each; texts are read whole; repeated rows are scored each.
+without labels of both classes (also with an empty table) every score is 0; labels of
+one document that disagree count each, repeated ones once; texts are scored whole, very
+long ones too; repeated rows and null ids are scored each; other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, materialize
 from .fm_index import WORD_BYTES
 from .hyperdim import Identifier
 from .words import Words, chunks, mix
@@ -248,16 +249,22 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, prototypes: dict, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        per_class: int = 2500, settings: Settings | None = None) -> TextCNN | None:
-    """A calibrated classifier from about ``per_class`` labelled documents of each class; None without both classes.
+        per_class: int = 2500, sample_mb: int = 64, longest: int = 2_000_000, settings: Settings | None = None) -> TextCNN | None:
+    """A calibrated classifier from a sample of labelled documents; None without both classes.
 
-    The sample's word rows, not its texts, come to the driver.
+    The sample holds about ``per_class`` documents of each class, fewer if their texts pass ``sample_mb`` together,
+    none of more than ``longest`` characters. Its word rows, not its texts, come to the driver.
     """
     settings = settings or Settings()
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
-    sample = bounded_sample(known, "id", "y", per_class)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
-    rows = texts.join(F.broadcast(sample), "id").select("id", "y", "text")
+    sample = bounded_sample(known.distinct(), "id", "y", per_class)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL").filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    rows = materialize(texts.join(F.broadcast(sample), "id").select("id", "y", "text").dropDuplicates(["id", "y"]))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > sample_mb << 20:
+        draw = F.pmod(F.xxhash64(F.lit("size"), F.col("id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        rows = rows.filter(draw < (sample_mb << 20) / size)
+    place = "<u2" if settings.rows < 1 << 16 else "<u4"
     model = docs.sparkSession.sparkContext.broadcast(prototypes)
 
     def prepare(batches):
@@ -265,13 +272,13 @@ def fit(docs: DataFrame, labels: DataFrame, prototypes: dict, id_col: str = "doc
         for b in batches:
             ids = hashed(b.column(2).cast(pa.binary()).to_pylist(), settings.rows)
             langs = [guess.language(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<u2").tobytes() for x in ids]), pa.array(langs)], ["id", "y", "ids", "lang"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(place).tobytes() for x in ids]), pa.array(langs)], ["id", "y", "ids", "lang"])
 
     got = sorted(rows.mapInArrow(prepare, "id long, y int, ids binary, lang string").collect(), key=lambda r: (r[0], r[1]))
     y = np.array([r[1] for r in got], np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    ids, langs = [np.frombuffer(r[2], "<u2").astype(np.int32).reshape(-1, PARTS) for r in got], [r[3] for r in got]
+    ids, langs = [np.frombuffer(r[2], place).astype(np.int32).reshape(-1, PARTS) for r in got], [r[3] for r in got]
     held = np.arange(len(got)) % 4 == 3
     if not (0 < y[held].sum() < held.sum() and 0 < y[~held].sum() < (~held).sum()):
         held[:] = False

@@ -644,6 +644,36 @@ def test_toxicity_fast_and_slow_scores_agree():
     assert slow[y > 0].min() > slow[y == 0].max()
 
 
+def test_toxicity_is_brute_force():
+    """Logits of a trained network against loops over every window of every text."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 30, rng.integers(0, 12))).encode() + (b" vile thing" if k % 2 else b"") for k in range(40)]
+    net = toxicity.TextCNN(toxicity.Settings(rows=1 << 17, epochs=1))
+    ids = toxicity.hashed(texts, 1 << 17)
+    net.train(ids, np.array([k % 2 for k in range(40)], np.float32))
+    for own, logit in zip(ids, net.logits(ids)):
+        words = [np.mean([net.table[r] for r in parts], axis=0) for parts in own]
+        tops = []
+        for w in toxicity.WIDTHS:
+            for f in range(net.settings.filters):
+                tops.append(max((sum(float(words[i + j] @ net.kernels[w][j][:, f]) for j in range(w)) + net.bias[w][f] for i in range(len(words) - w + 1)), default=-np.inf))
+        assert logit == pytest.approx(np.maximum(tops, 0) @ net.weights + net.constant, abs=1e-4)
+
+
+def test_toxicity_bounds_and_repeats(spark, corpus):
+    """A bound on the sample's bytes, many rows of the table, labels that repeat and disagree, a long text."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2 + [(0, 1)], "doc_id long, toxic int")
+    texts = [f"plain talk number {i}" + (" vile scum" if i % 2 else "") for i in range(200)]
+    df = frame(spark, texts)
+    for options in ({}, {"sample_mb": 0, "longest": 10}, {"settings": toxicity.Settings(rows=1 << 17, epochs=2)}):
+        net = toxicity.fit(df, labels, {}, **options)
+        assert (net is None) == ("sample_mb" in options)
+    more = frame(spark, ["calm words " * 500_000 + "vile scum"] * 2 + ["calm words", None])
+    got = toxicity.score(more, net, {}).collect()
+    scores = [r.score for r in sorted(got, key=lambda r: r.doc_id)]
+    assert scores[0] == scores[1] > 0.5 > scores[2]
+
+
 def test_toxicity_edges(spark):
     df = frame(spark, [None, "", "words"])
     labels = spark.createDataFrame([(0, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
