@@ -217,6 +217,53 @@ def test_chat_round_trip(spark):
     assert chat.assemble(chat.segments(df.limit(0))).count() == 0
 
 
+#: A tool may answer in several states, and leads back to where the assistant was asked from.
+TOOLS = chat.Template(
+    transitions={
+        ("start", "user"): "asked", ("asked", "assistant"): "told", ("told", "user"): "asked", ("asked", "tool"): "looked", ("looked", "tool"): "looked",
+        ("looked", "assistant"): "told_by_tool", ("told_by_tool", "user"): "asked", ("told_by_tool", "assistant"): "told",
+    },
+    final=("told", "told_by_tool"),
+)
+
+
+def brute_machine(roles, template):
+    """(state before each turn, whether it was allowed), and whether all were and the end is final."""
+    state, out = template.start, []
+    for r in roles:
+        after = template.transitions.get((state, r))
+        out.append((state, after is not None))
+        state = after or min((s for (_, x), s in template.transitions.items() if x == r), default="?")
+    return out, all(ok for _, ok in out) and state in template.final
+
+
+@pytest.mark.parametrize("template", [chat.CHATML, TOOLS])
+def test_chat_machine_is_brute_force(spark, template):
+    rng = random.Random(8)
+    talks = {i: [rng.choice(["user", "assistant", "tool", "system", "", "user"]) for _ in range(rng.randrange(1, 9))] for i in range(60)}
+    talks |= {100: ["user", "tool", "tool", "assistant", "user", "assistant"], 101: ["user", "assistant"], None: ["user", "assistant", "assistant"]}
+    rows = [(i, k, r, f"t{k}", 5, "x") for i, own in talks.items() for k, r in enumerate(own)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int, state string")
+    parts = chat.segments(df, template)
+    seen = collections.defaultdict(dict)
+    for r in parts.collect():
+        seen[r.conv_id][r.place] = (r.state, r.valid)
+    valid = {r.conv_id: r.valid for r in chat.assemble(parts, template).collect()}
+    for i, own in talks.items():
+        steps, good = brute_machine(own, template)
+        assert [seen[i][k + 1] for k in range(len(own))] == steps and valid[i] == good
+    assert valid[100] == (template is TOOLS) and valid[101]
+
+
+def test_chat_repeats_clashes_and_long_texts(spark):
+    long = "word <|im_end|> " * 200_000
+    rows = [(1, 0, "user", long, "c"), (1, 1, "assistant", long, "c"), (2, 0, "user", "a", "c"), (2, 0, "user", "a", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r.conv_id: r for r in chat.read_back(chat.assemble(chat.segments(df))).collect()}
+    assert got[1].loss_text == long and [t.text for t in got[1].turns] == [long, long] and got[1].valid
+    assert [(t.role, t.text) for t in got[2].turns] == [("user", "a")] * 2 and not got[2].valid
+
+
 # --- 5 secrets ---
 
 
