@@ -44,7 +44,7 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c
 EXTENT = 12
 #: Prefix tokens that one group holds at a time.
 BUCKET = 500_000
-#: A class with more than one of so many rows is joined by broadcast; there are at most so many of them.
+#: A key with more than one of so many rows is joined by broadcast; there are at most so many of them.
 HOT_SHARE = 2000
 
 
@@ -146,19 +146,32 @@ def _prefix_postings(size: int, percent: int, buckets: int):
     return run
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """How many tokens of this bucket each class shares with another."""
-    t, o = _joined(table, "t", np.uint64), _joined(table, "o", np.uint64)
-    order = np.lexsort((o, t))
-    t, o = t[order], o[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-    t, o = t[new], o[new]
-    same = np.zeros(len(t), bool)
-    same[1:] = t[1:] == t[:-1]
-    same[:-1] |= same[1:]
-    classes, counts = np.unique(o[same], return_counts=True)
-    return pa.table({"half": pa.array(_signed(classes)), "shared": pa.array(counts.astype(np.int64))})
+def _shared_counts(buckets: int):
+    """How many tokens of this bucket each class shares with another, dealt by class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t, o = _joined(table, "t", np.uint64), _joined(table, "o", np.uint64)
+        order = np.lexsort((o, t))
+        t, o = t[order], o[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+        t, o = t[new], o[new]
+        same = np.zeros(len(t), bool)
+        same[1:] = t[1:] == t[:-1]
+        same[:-1] |= same[1:]
+        classes, counts = np.unique(o[same], return_counts=True)
+        counts = counts.astype(np.int64)
+        rows = [(k, classes[at].tobytes(), counts[at].tobytes()) for k, at in _grouped((mix(classes) % np.uint64(buckets)).astype(np.int32), buckets)]
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        return pa.table({k: pa.array(v, p) for k, v, p in zip(("bucket", "o", "k"), cols, (pa.int32(), pa.binary(), pa.binary()))})
+
+    return run
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    o, k = _joined(table, "o", np.uint64), _joined(table, "k", np.int64)
+    classes, at = np.unique(o, return_inverse=True)
+    return pa.table({"half": pa.array(_signed(classes)), "shared": pa.array(np.bincount(at, weights=k).astype(np.int64))})
 
 
 def _full_sets(size: int):
@@ -358,6 +371,15 @@ def class_components(prefixes: DataFrame, sets: DataFrame, percent: int, pairs_p
     return labels
 
 
+def _hot_join(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with a table of one row for each key, whose column ``size`` counts the key's rows.
+
+    Keys that many rows share meet them by broadcast, so that no task gets all of a large group.
+    """
+    hot = F.broadcast(named.filter(F.col("size") * HOT_SHARE > total).drop("size"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(named.drop("size"), key))
+
+
 def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, place: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, place, n_shingles, sig, first; loners: the same without first). ``first`` is the component's smallest (missing, doc_id, place)."""
     id_and_text = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
@@ -372,7 +394,8 @@ def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, pe
     total, n_docs = whole[0] or 0, whole[1]
     buckets = _power_of_two(total * (100 - percent + EXTENT) / 100 / BUCKET)
     posted = slim.mapInArrow(_prefix_postings(shingle, percent, buckets), "bucket int, t binary, o binary")
-    shared = posted.groupBy("bucket").applyInArrow(_shared_counts, "half long, shared long").groupBy("half").agg(F.sum("shared").alias("shared"))
+    counts = posted.groupBy("bucket").applyInArrow(_shared_counts(_power_of_two(n_docs / BUCKET)), "bucket int, o binary, k binary")
+    shared = counts.groupBy("bucket").applyInArrow(_sum_counts, "half long, shared long")
     floor = F.expr(f"greatest(1L, ({EXTENT}L * (({percent}L * n + 99) div 100)) div 100)")
     alive = classes.join(shared, "half").filter(F.col("shared") >= floor).select("sig", "least")
     wanted = alive.select("sig", F.coalesce("least.doc_id", F.lit(-(2**63))).alias("key"))
@@ -387,15 +410,11 @@ def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, pe
     roots = class_components(prefixes, sets, percent)
     named = classes.select("sig", "size", F.col("least").alias("first"))
     if roots is not None:
-        member = roots.join(sets.select(F.col("cid").alias("node"), "sig"), "node").join(classes.select("sig", "least"), "sig")
-        lowest = member.groupBy("root").agg(F.min("least").alias("low"))
-        united = member.select("sig", "root").join(lowest, "root").select("sig", "low")
+        member = materialize(roots.join(sets.select(F.col("cid").alias("node"), "sig"), "node").join(classes.select("sig", "least"), "sig"))
+        lowest = materialize(member.groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("size")))
+        united = _hot_join(member.select("sig", "root"), lowest, "root", member.count()).select("sig", "low")
         named = named.join(united, "sig", "left").select("sig", "size", F.coalesce("low", "first").alias("first"))
-    named = materialize(named)
-    # Classes that many rows share meet their rows by broadcast, so that no task gets all of a group of copies.
-    hot = F.broadcast(named.filter(F.col("size") * HOT_SHARE > n_docs).select("sig", "first"))
-    told = described.filter("sig IS NOT NULL")
-    rows = told.join(hot, "sig").unionByName(told.join(hot, "sig", "left_anti").join(named.select("sig", "first"), "sig"))
+    rows = _hot_join(described.filter("sig IS NOT NULL"), materialize(named), "sig", n_docs)
     return rows, described.filter("sig IS NULL")
 
 
