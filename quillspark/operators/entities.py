@@ -13,14 +13,14 @@ PERSON_WORDS = ("writer", "author", "novelist", "poet", "philosopher", "playwrig
 
 
 def best_authors(names: DataFrame, candidates: DataFrame, key: str = "author") -> DataFrame:
-    """Per author the first candidate of letters whose label is near (over 90), else the first candidate.
+    """Per author the first candidate of letters whose label is near (over 90), else the first candidate if its label is near.
 
     ``candidates``: author, rank, label, description, language, country; language goes before country.
     """
     j = names.join(candidates, key).withColumn("near", score("token_sort_ratio", F.lower(key), F.lower("label")) > 90)
     letters = F.exists(F.array(*[F.lit(w) for w in PERSON_WORDS]), lambda w: F.contains(F.lower("description"), w))
     best = keep_first(j.withColumn("stage", F.when(F.col("near") & letters, 1).otherwise(2)), [key], ["stage", "rank"])
-    found = best.select(key, F.coalesce("language", "country").alias("language_or_country"))
+    found = best.filter("near").select(key, F.coalesce("language", "country").alias("language_or_country"))
     return names.join(found, key, "left").withColumn("language_or_country", F.coalesce("language_or_country", F.lit("Not Found")))
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import shared_hash, stratified_folds, stratified_split
@@ -71,8 +71,6 @@ def leaderboard(df: DataFrame, features: Sequence[str], key: str, kind: str = "g
 
 def permutation_importance(df: DataFrame, model, features: Sequence[str], key: str) -> dict[str, float]:
     """Loss of ROC area when one feature takes another row's value (rows paired in hash order within 64 groups)."""
-    from pyspark.sql import Window
-
     judge = BinaryClassificationEvaluator()
     base = judge.evaluate(model.transform(df))
     w = Window.partitionBy(F.pmod(shared_hash(key, 1), F.lit(64))).orderBy(shared_hash(key, 2), key)
@@ -88,13 +86,47 @@ def regression_importances(df: DataFrame, features: Sequence[str], target: str)
 
 #: Tasks (name, positive groups, negative groups) and the metrics that a variant leaves out.
 TASKS = (
-    ("GSQ_vs_GBLM", ("GSQ",), ("GBLM",)), ("GPQ_vs_GBLM", ("GPQ",), ("GBLM",)), ("T50Q_vs_T50LM", ("T50Q",), ("T50LM",)),
-    ("GSQ_vs_NLB", ("GSQ",), ("NLB",)), ("GSQ_vs_GPQ", ("GSQ",), ("GPQ",)),
+    ("GSQ_vs_GBLM", ("GSQ",), ("GBLM",)), ("GPQ_vs_GSQ", ("GPQ",), ("GSQ",)), ("GSQ_vs_NLB", ("GSQ",), ("NLB",)),
+    ("T50Q_vs_T50LM", ("T50Q",), ("T50LM",)), ("GSQ_vs_T50Q", ("GSQ",), ("T50Q",)),
 )
-VARIANTS = (("pmi",), ("pmi", "sentiment_polarity"), ("pmi", "swd"))
+SENTIMENT = ("sentiment_polarity", "sentiment_pos", "sentiment_neu", "sentiment_neg", "sentiment_label")
+VARIANTS = (("pmi",), ("pmi", *SENTIMENT), ("pmi", "swd", "mtld"))
+#: The 243 points of the boosted-tree search, by this library's parameter names.
+BOOSTED_GRID = {
+    "maxIter": (100, 250, 400), "maxDepth": (3, 5, 7), "stepSize": (0.05, 0.1, 0.2), "subsamplingRate": (0.8, 0.9, 1.0), "featureSubsetStrategy": ("0.8", "0.9", "1.0"),
+}
 
 
 def experiments() -> list[tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]]]:
-    """Every task in every variant, and the pooled task; names say what is left out."""
-    out = [(f"{n}_without_{'_'.join(v)}", p, q, v) for n, p, q in TASKS for v in VARIANTS]
-    return [*out, ("pooled_without_pmi", ("GSQ", "GPQ", "T50Q"), ("GBLM", "T50LM", "NLB"), ("pmi",))]
+    """(name, positive groups, negative groups, metrics left out): every task in every variant, and the pooled task without sentiment."""
+    names = ("no_pmi", "no_pmi_no_sentiment", "no_pmi_no_length")
+    out = [(f"{n}_{told}", p, q, v) for told, v in zip(names, VARIANTS) for n, p, q in TASKS]
+    return [*out, ("pooled_no_pmi_no_sentiment", ("GSQ", "GPQ", "T50Q"), ("T50LM", "GBLM", "NLB"), VARIANTS[1])]
+
+
+def run_experiments(metrics: DataFrame, key: str, kind: str = "logistic", plan=None) -> DataFrame:
+    """One row per experiment: task, excluded, held-out rows, ROC area, accuracy and macro F1, best area first.
+
+    ``metrics`` is long (key, source, metric, value) and should be written already, as every experiment reads it.
+    """
+    rows = []
+    for name, positive, negative, excluded in plan or experiments():
+        frame, features = class_frame(metrics, key, positive, negative, excluded)
+        scored = train_and_score(frame, features, key, kind)
+        rows.append(quality(scored).select(F.lit(name).alias("task"), F.lit(",".join(excluded)).alias("excluded"), "*"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.orderBy(F.col("auc").desc_nulls_last(), "task")
+
+
+def quality(scored: DataFrame) -> DataFrame:
+    """n, auc, accuracy and macro_f1 of (label, score, predicted) in one row; the area is U over the pairs, from counts of distinct scores."""
+    ones, zeros = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    cells = scored.groupBy("score").agg(ones.alias("a"), zeros.alias("b"), F.count_if((F.col("label") == 1) & (F.col("predicted") == 1)).alias("tp"), F.count_if((F.col("label") == 0) & (F.col("predicted") == 1)).alias("fp"))
+    below = F.coalesce(F.sum("b").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = cells.withColumn("u", F.col("a") * (below + F.col("b") / 2)).agg(*[F.sum(c).cast("double").alias(c) for c in ("a", "b", "tp", "fp", "u")])
+    f1 = 2 * F.col("tp") / (F.col("a") + F.col("tp") + F.col("fp"))
+    tn, fn = F.col("b") - F.col("fp"), F.col("a") - F.col("tp")
+    f0 = 2 * tn / (F.col("b") + tn + fn)
+    return s.select((F.col("a") + F.col("b")).cast("bigint").alias("n"), F.try_divide("u", F.col("a") * F.col("b")).alias("auc"), ((F.col("tp") + tn) / (F.col("a") + F.col("b"))).alias("accuracy"), ((f0 + f1) / 2).alias("macro_f1"))

@@ -69,8 +69,8 @@ def mann_whitney(df: DataFrame, value: str, side: str, by: Sequence[str], altern
 
 #: The named comparisons (name, first group, second group) and the pooled one.
 COMPARISONS = (
-    ("GPQ vs GBLM", "GPQ", "GBLM"), ("GSQ vs GBLM", "GSQ", "GBLM"), ("T50Q vs T50LM", "T50Q", "T50LM"), ("GSQ vs GPQ", "GSQ", "GPQ"),
-    ("GPQ vs NLB", "GPQ", "NLB"), ("GSQ vs NLB", "GSQ", "NLB"), ("T50Q vs NLB", "T50Q", "NLB"),
+    ("GSQ vs GBLM", "GSQ", "GBLM"), ("T50Q vs T50LM", "T50Q", "T50LM"), ("GSQ vs NLB", "GSQ", "NLB"), ("GPQ vs NLB", "GPQ", "NLB"),
+    ("T50Q vs NLB", "T50Q", "NLB"), ("GPQ vs GSQ", "GPQ", "GSQ"), ("GSQ vs T50Q", "GSQ", "T50Q"),
 )
 POOLED = ("Extraordinary vs Ordinary", ("GSQ", "GPQ", "T50Q"), ("GBLM", "T50LM", "NLB"))
 

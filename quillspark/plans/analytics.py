@@ -40,19 +40,43 @@ def mann_whitney_by_lang(spark, sf_dir):
     return m.select("lang", "n1", "n2", F.round("mean1", 6).alias("mean1"), F.round("mean2", 6).alias("mean2"), "u", F.round("delta", 8).alias("delta"), F.round("z", 6).alias("z"))
 
 
-@plan("SI1 SI4 SI5 SI9")
-def group_comparison_report(spark, sf_dir):
-    """All comparisons of two metrics over six groups, p-values adjusted in one family, effects with stars."""
-    from ..functions.metrics import stars
-
+def _grouped_metrics(spark, sf_dir):
+    """Two metrics of the documents, dealt to the six groups of texts by the shared hash: row_id, source, metric, value."""
     d = Tables(spark, sf_dir).documents
     names = F.array(*[F.lit(x) for x in ("GSQ", "GPQ", "T50Q", "GBLM", "T50LM", "NLB")])
     long = d.select(
         F.col("doc_id").alias("row_id"), F.get(names, F.pmod(wn.shared_hash("doc_id"), F.lit(6)).cast("int")).alias("source"),
         F.explode(F.array(F.struct(F.lit("chars").alias("metric"), F.col("n_chars").cast("double").alias("value")), F.struct(F.lit("words").alias("metric"), tk.n_words(F.col("text")).cast("double").alias("value")))).alias("m"),
     ).select("row_id", "source", "m.*")
-    plan_ = [*((n, a, b) for n, a, b in st.COMPARISONS), st.POOLED]
-    tested = st.mann_whitney(st.comparison_rows(long, plan_), "value", "side", ["metric", "comparison"])
+    return long
+
+
+_PLAN = [*((n, a, b) for n, a, b in st.COMPARISONS), st.POOLED]
+_SIDES = ", ".join(f"('{n}', '{g}', {k})" for n, a, b in _PLAN for k, groups in ((1, a), (2, b)) for g in ([groups] if isinstance(groups, str) else groups))
+
+
+@plan("SI1 SI2 SI5", f"""WITH d AS (SELECT ['GSQ', 'GPQ', 'T50Q', 'GBLM', 'T50LM', 'NLB'][CAST(CAST('0x' || substr(md5(doc_id || '|42'), 1, 8) AS BIGINT) % 6 AS INT) + 1] AS source,
+    CAST(n_chars AS DOUBLE) AS chars, CAST(len({tk.split_words_sql('text')}) AS DOUBLE) AS words FROM documents),
+  m AS (SELECT source, 'chars' AS metric, chars AS value FROM d UNION ALL SELECT source, 'words', words FROM d), p(comparison, source, side) AS (VALUES {_SIDES}),
+  f AS (SELECT metric, comparison, side, value, rank() OVER w + (count(*) OVER (PARTITION BY metric, comparison, value) - 1) / 2.0 AS rk FROM m JOIN p USING (source) WINDOW w AS (PARTITION BY metric, comparison ORDER BY value)),
+  s AS (SELECT metric, comparison, count(*) FILTER (side = 1)::DOUBLE AS n1, count(*) FILTER (side = 2)::DOUBLE AS n2, avg(value) FILTER (side = 1) AS mean1, avg(value) FILTER (side = 2) AS mean2, sum(rk) FILTER (side = 1) AS r1 FROM f GROUP BY ALL),
+  t AS (SELECT metric, comparison, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT metric, comparison, value, count(*) AS c FROM f GROUP BY ALL) GROUP BY ALL),
+  u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM s JOIN t USING (metric, comparison) WHERE n1 > 0 AND n2 > 0)
+  SELECT metric, comparison, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, round(2 * u / (n1 * n2) - 1, 8) AS delta,
+    round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM u""")
+def group_comparisons(spark, sf_dir):
+    """Effect and z of every planned comparison of two metrics."""
+    tested = st.mann_whitney(st.comparison_rows(_grouped_metrics(spark, sf_dir), _PLAN), "value", "side", ["metric", "comparison"])
+    return tested.select("metric", "comparison", "n1", "n2", F.round("mean1", 6).alias("mean1"), F.round("mean2", 6).alias("mean2"), F.round("delta", 8).alias("delta"), F.round("z", 6).alias("z"))
+
+
+@plan("SI1 SI4 SI5 SI9")
+def group_comparison_report(spark, sf_dir):
+    """All comparisons of two metrics over six groups, p-values adjusted in one family, effects with stars."""
+    from ..functions.metrics import stars
+
+    long = _grouped_metrics(spark, sf_dir)
+    tested = st.mann_whitney(st.comparison_rows(long, _PLAN), "value", "side", ["metric", "comparison"])
     done = wn.benjamini_hochberg(tested, "p", "comparison")
     return done.select(
         "metric", "comparison", F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"), F.round("delta", 6).alias("delta"), F.round("p", 8).alias("p"),
@@ -314,16 +338,9 @@ def position_bins(spark, sf_dir, texts=_bench):
     return equal_width_bins(jo.normalized_positions(jo.positions(b, w, "item_id"), "item_id"), "percent", 10, 0, 100)
 
 
-@plan("WN4", r"""SELECT item_id, i, array_to_string(w[1:i], ' ') AS prefix FROM (SELECT item_id, w, unnest(range(1, least(len(w), 6) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark))""")
-def text_prefixes(spark, sf_dir):
-    b, w = _bench(spark, sf_dir)
-    p = b.select("item_id", F.posexplode(jo.prefixes(F.slice(w, 1, 6))).alias("i", "prefix"))
-    return p.select("item_id", (F.col("i") + 1).cast("bigint").alias("i"), "prefix")
-
-
 @plan("WN4", r"""SELECT item_id, i, array_to_string(w[1:i], ' ') AS prefix FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark))""")
-def text_prefixes_whole(spark, sf_dir):
-    """Prefixes up to the last word of each text; text_prefixes shows the first six."""
+def text_prefixes(spark, sf_dir):
+    """Prefixes up to the last word of each text."""
     b, w = _bench(spark, sf_dir)
     p = b.select("item_id", F.posexplode(jo.prefixes(w)).alias("i", "prefix"))
     return p.select("item_id", (F.col("i") + 1).cast("bigint").alias("i"), "prefix")
@@ -482,7 +499,7 @@ def sorted_neighbour_dedupe(spark, sf_dir):
 def author_candidates(spark, sf_dir):
     names = spark.sql("SELECT * FROM VALUES ('Ann Lee'), ('Bo Wu'), ('Cy Fox') AS t(author)")
     found = spark.sql("""SELECT * FROM VALUES ('Ann Lee', 1, 'Ann Leeds', 'city', NULL, 'France'), ('Ann Lee', 2, 'Ann Lee', 'English poet', 'English', 'UK'),
-      ('Bo Wu', 1, 'Bo', 'a river', NULL, 'China') AS t(author, rank, label, description, language, country)""")
+      ('Bo Wu', 1, 'Bo', 'a river', NULL, 'China'), ('Cy Fox', 1, 'cy fox', 'a village', NULL, 'Peru') AS t(author, rank, label, description, language, country)""")
     return en.best_authors(names, found)
 
 
@@ -521,6 +538,35 @@ def classifier_scores(spark, sf_dir):
     return ml.train_and_score(rows, names, "doc_id", "logistic").select("doc_id", "label", F.round("score", 6).alias("score"), "predicted")
 
 
+@plan("ML8 ML6")
+def experiment_summary(spark, sf_dir):
+    """The sixteen experiments over two metrics of six groups, best ROC area first."""
+    from ..operators import ml
+
+    scored = ml.run_experiments(fi.materialize(_grouped_metrics(spark, sf_dir)), "row_id")
+    return scored.select("task", "excluded", "n", *[F.round(c, 6).alias(c) for c in ("auc", "accuracy", "macro_f1")])
+
+
+@plan("ML2 ML3")
+def boosted_grid(spark, sf_dir):
+    """Boosted trees searched over a part of the grid by folds, then the ROC area of the best; ``ml.BOOSTED_GRID`` is the whole."""
+    from ..operators import ml
+
+    frame, names = ml.class_frame(_metric_rows(spark, sf_dir), "doc_id", ["GSQ"], ["NLB"])
+    model, area = ml.cross_validated(fi.materialize(frame), names, "doc_id", "gbt", folds=3, grid={"maxIter": [5], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]})
+    best = model.stages[-1]
+    return spark.createDataFrame([(best.getMaxIter(), best.getMaxDepth(), best.getStepSize(), round(float(area), 6))], "max_iter int, max_depth int, step_size double, area double")
+
+
+@plan("ML5 ML7")
+def boosted_importances(spark, sf_dir):
+    """Gain importances of a boosted regressor of the label over median-imputed metrics."""
+    from ..operators import ml
+
+    frame, names = ml.class_frame(_metric_rows(spark, sf_dir), "doc_id", ["GSQ"], ["NLB"])
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in ml.regression_importances(fi.materialize(frame.withColumn("label", F.col("label").cast("double"))), names, "label")], "feature string, gain double")
+
+
 @plan("ML7")
 def feature_importances(spark, sf_dir):
     from ..operators import ml
@@ -559,6 +605,30 @@ def article_folder(spark, sf_dir):
     return rows.select(F.regexp_extract("quote", r"(\d+)", 1).cast("bigint").alias("item_id"), "context", "quote")
 
 
+@plan("SRC4 SNK2", "SELECT vec_id AS row_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding) AS n FROM embeddings")
+def npz_archives(spark, sf_dir):
+    """Vectors packed to NumPy archives, one of each batch, and read from their bytes."""
+    e = Tables(spark, sf_dir).embeddings.select(F.col("vec_id").alias("row_id"), "embedding")
+    rows = fi.npz_rows(fi.pack_npz(e))
+    return rows.select("row_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("bigint").alias("n"))
+
+
+@plan("SRC1", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 0")
+def sqlite_databases(spark, sf_dir):
+    """Rows packed to SQLite databases, one of each batch, and read by a query with a limit of their size."""
+    n = Tables(spark, sf_dir).nation.select("n_nationkey", "n_name", "n_regionkey")
+    packed = fi.pack_sqlite(n, "nation")
+    return fi.sqlite_rows(packed, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 0 ORDER BY n_nationkey LIMIT 380000", "n_nationkey int, n_name string")
+
+
+@plan("SRC5", "SELECT 'v' || vec_id AS word, round(embedding[1]::DOUBLE, 4) AS x, len(embedding) AS n FROM embeddings")
+def word_vector_file(spark, sf_dir):
+    """Vectors written as lines of a word and its numbers, and read back."""
+    e, path = Tables(spark, sf_dir).embeddings, fi.scratch(spark)
+    e.select(F.concat(F.lit("v"), "vec_id", F.lit(" "), F.array_join("embedding", " ")).alias("value")).write.text(path)
+    return fi.read_word_vectors(spark, path).select("word", F.round(F.col("vec")[0].cast("double"), 4).alias("x"), F.size("vec").cast("bigint").alias("n"))
+
+
 @plan("SRC8 EX4", "SELECT doc_id, upper(lang) AS code FROM documents")
 def fetched_by_distinct_key(spark, sf_dir):
     """A look-up that is asked once for each language."""

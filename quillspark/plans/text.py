@@ -176,13 +176,13 @@ def spelling_candidates(spark, sf_dir):
     return words.groupBy("token").agg(F.count("*").alias("n")).join(lexicon, "token", "left_anti")
 
 
-@plan("TX21", f"""WITH s AS (SELECT doc_id, unnest({tk.sentences_sql('text')}) AS s, generate_subscripts({tk.sentences_sql('text')}, 1) AS i FROM documents WHERE source = 'src1'),
+@plan("TX21", f"""WITH s AS (SELECT doc_id, unnest({tk.sentences_sql('text')}) AS s, generate_subscripts({tk.sentences_sql('text')}, 1) AS i FROM documents),
   q AS (SELECT doc_id, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+') AS w FROM s WHERE i = 1)
   SELECT doc_id, count(*) AS n, count(*) FILTER (CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+')), list_distinct(w))) AS DOUBLE)
     / len(list_distinct(list_concat(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+'), w))) >= 0.5) AS dropped FROM s JOIN q USING (doc_id) WHERE len(w) > 0 GROUP BY 1""")
 def sentence_quote_removal(spark, sf_dir):
     """How many sentences share half of their words with the quote (here the first sentence) and would go."""
-    d = _docs(spark, sf_dir, "source").filter("source = 'src1'").select("doc_id", tk.sentences(F.col("text")).alias("s"))
+    d = _docs(spark, sf_dir).select("doc_id", tk.sentences(F.col("text")).alias("s"))
     quote = tk.alnum(F.try_element_at("s", F.lit(1)))
     near = F.filter("s", lambda x: sim.token_jaccard(tk.alnum(x), quote) >= 0.5)
     return d.filter(F.size(quote) > 0).select("doc_id", F.size("s").cast("bigint").alias("n"), F.size(near).cast("bigint").alias("dropped"))
@@ -284,23 +284,11 @@ def keyword_flags(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", sim.contains_any(F.col("p_name"), ["red", "ring"]).alias("flagged"))
 
 
-@plan("SIM4 JN9", """WITH a AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 10 = 0), b AS (SELECT p_partkey AS other, p_brand, list_distinct(string_split(p_name, ' ')) AS v FROM part WHERE p_partkey % 10 = 1)
-  SELECT p_partkey, other, round(len(list_intersect(w, v))::DOUBLE / len(list_distinct(list_concat(w, v))), 6) AS score FROM a JOIN b USING (p_brand) WHERE len(list_intersect(w, v))::DOUBLE / len(list_distinct(list_concat(w, v))) >= 0.3""")
-def blocked_token_match(spark, sf_dir):
-    from ..operators.joins import blocked_match
-
-    p = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", F.split("p_name", " ").alias("w"))
-    a = p.filter("p_partkey % 10 = 0")
-    b = p.filter("p_partkey % 10 = 1").select(F.col("p_partkey").alias("other"), "p_brand", F.col("w").alias("v"))
-    m = blocked_match(a, b, ["p_brand"], sim.token_jaccard(F.col("w"), F.col("v")), 0.3)
-    return m.select("p_partkey", "other", F.round("score", 6).alias("score"))
-
-
 @plan("SIM4 JN9", """WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part)
   SELECT a.p_partkey, b.p_partkey AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS score
   FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.3""")
-def blocked_token_match_all(spark, sf_dir):
-    """Pairs of all parts of one brand that share three in ten words; blocked_token_match compares two residues of ten."""
+def blocked_token_match(spark, sf_dir):
+    """Pairs of all parts of one brand that share three in ten words."""
     from ..operators.joins import self_match
 
     p = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_name")

@@ -61,6 +61,11 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def read_npz(spark: SparkSession, folder: str) -> DataFrame:
     """ids and vectors of NumPy archives, read by the executors from their bytes."""
+    return npz_rows(spark.read.format("binaryFile").load(folder))
+
+
+def npz_rows(files: DataFrame) -> DataFrame:
+    """row_id and embedding of archives in the column ``content``."""
     import io
 
     import numpy as np
@@ -73,11 +78,32 @@ def read_npz(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError("an archive needs ids and vectors")
                 yield pd.DataFrame({"row_id": z["ids"].astype("int64"), "embedding": list(z["vectors"].astype("float32"))})
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInPandas(load, "row_id long, embedding array<float>")
+    return files.select("content").mapInPandas(load, "row_id long, embedding array<float>")
+
+
+def pack_npz(vectors: DataFrame) -> DataFrame:
+    """``content``: an archive of ids and vectors for each batch of (row_id, embedding)."""
+    import io
+
+    import numpy as np
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                out = io.BytesIO()
+                np.savez(out, ids=b["row_id"].to_numpy(), vectors=np.stack(b["embedding"].to_list()))
+                yield pd.DataFrame({"content": [out.getvalue()]})
+
+    return vectors.select("row_id", "embedding").mapInPandas(pack, "content binary")
 
 
 def read_sqlite(spark: SparkSession, folder: str, query: str, schema: str) -> DataFrame:
     """Rows of a query over database files, each read by one task from its bytes; order and limit belong in the query."""
+    return sqlite_rows(spark.read.format("binaryFile").load(folder), query, schema)
+
+
+def sqlite_rows(files: DataFrame, query: str, schema: str) -> DataFrame:
+    """Rows of a query over each database in the column ``content``."""
     import sqlite3
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +114,22 @@ def read_sqlite(spark: SparkSession, folder: str, query: str, schema: str) -> Da
                 yield pd.read_sql_query(query, con)
                 con.close()
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInPandas(load, schema)
+    return files.select("content").mapInPandas(load, schema)
+
+
+def pack_sqlite(rows: DataFrame, name: str) -> DataFrame:
+    """``content``: a database with one table for each batch of rows."""
+    import sqlite3
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                con = sqlite3.connect(":memory:")
+                b.to_sql(name, con, index=False)
+                yield pd.DataFrame({"content": [con.serialize()]})
+                con.close()
+
+    return rows.mapInPandas(pack, "content binary")
 
 
 def write_journeys(journeys: DataFrame, path: str) -> None:

@@ -258,7 +258,7 @@ def test_prefixes_and_alignment_reach_the_last_word(spark, sf_dir):
 
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", tokens.alnum(F.col("text")).alias("w"))
     words = {r.item_id: r.w for r in b.collect()}
-    got = {(r.item_id, r.i): r.prefix for r in all_plans()["text_prefixes_whole"].build(spark, sf_dir).collect()}
+    got = {(r.item_id, r.i): r.prefix for r in all_plans()["text_prefixes"].build(spark, sf_dir).collect()}
     assert got == {(k, i): " ".join(w[:i]) for k, w in words.items() for i in range(1, len(w) + 1)}
     got = {r.item_id: r.word_of_part for r in all_plans()["align_subwords"].build(spark, sf_dir).collect()}
     assert got == {k: ",".join(str(n) for n, x in enumerate(w) for _ in range(0, len(x), 4)) for k, w in words.items()}
@@ -281,3 +281,85 @@ def test_definition_shifts_are_brute_force(spark, sf_dir):
         else:
             assert got[r.doc_id] is None
     assert len({x for x in got.values() if x is not None}) > 10
+
+
+def test_comparison_and_experiment_plans():
+    """Seven named pairs with popular before sample, and sixteen experiments."""
+    from quillspark.operators import ml, stats
+
+    assert {(a, b) for _, a, b in stats.COMPARISONS} == {("GSQ", "GBLM"), ("T50Q", "T50LM"), ("GSQ", "NLB"), ("GPQ", "NLB"), ("T50Q", "NLB"), ("GPQ", "GSQ"), ("GSQ", "T50Q")}
+    plan = ml.experiments()
+    assert len(plan) == len({n for n, *_ in plan}) == 16 and all("pmi" in v for *_, v in plan)
+    assert {(p, n) for _, p, n, _ in plan[:5]} == {(("GSQ",), ("GBLM",)), (("GPQ",), ("GSQ",)), (("GSQ",), ("NLB",)), (("T50Q",), ("T50LM",)), (("GSQ",), ("T50Q",))}
+    assert len([1 for _ in itertools.product(*ml.BOOSTED_GRID.values())]) == 243
+
+
+def test_quality_is_brute_force(spark):
+    from quillspark.operators.ml import quality
+
+    rng = random.Random(3)
+    rows = [(k, int(rng.random() < 0.4), rng.choice([0.1, 0.2, 0.5, 0.7, 0.9])) for k in range(60)]
+    rows = [(k, y, s, int(s >= 0.5)) for k, y, s in rows]
+    got = quality(spark.createDataFrame(rows, "id int, label int, score double, predicted int")).first()
+    ones, zeros = [s for _, y, s, _ in rows if y], [s for _, y, s, _ in rows if not y]
+    area = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+    f1 = []
+    for c in (0, 1):
+        hit = sum(y == c and p == c for _, y, _, p in rows)
+        f1.append(2 * hit / (sum(y == c for _, y, _, _ in rows) + sum(p == c for *_, p in rows)))
+    assert (got.n, got.auc, got.accuracy, got.macro_f1) == (60, pytest.approx(area), pytest.approx(sum(y == p for _, y, _, p in rows) / 60), pytest.approx(sum(f1) / 2))
+
+
+def test_far_first_candidate_is_not_taken(spark):
+    from quillspark.plans.catalog import all_plans
+
+    got = {r.author: r.language_or_country for r in all_plans()["author_candidates"].build(spark, "").collect()}
+    assert got == {"Ann Lee": "English", "Bo Wu": "Not Found", "Cy Fox": "Peru"}
+
+
+def test_report_p_values_are_brute_force(spark, sf_dir):
+    """p of every comparison by pairs and the normal tail; adjusted in one family."""
+    from quillspark.operators import stats
+    from quillspark.plans import analytics
+    from quillspark.plans.catalog import all_plans
+
+    long = analytics._grouped_metrics(spark, sf_dir).toPandas()
+    want = {}
+    for metric, part in long.groupby("metric"):
+        groups = {g: x.value.to_numpy() for g, x in part.groupby("source")}
+        for name, a, b in [*stats.COMPARISONS, stats.POOLED]:
+            x, y = (np.concatenate([groups[g] for g in ([k] if isinstance(k, str) else k)]) for k in (a, b))
+            u = (x[:, None] > y).sum() + (x[:, None] == y).sum() / 2
+            n, counts = len(x) + len(y), np.unique(np.concatenate((x, y)), return_counts=True)[1].astype(float)
+            sigma = math.sqrt(len(x) * len(y) / 12 * ((n + 1) - (counts**3 - counts).sum() / (n * (n - 1))))
+            want[metric, name] = math.erfc((abs(u - len(x) * len(y) / 2) - 0.5) / sigma / math.sqrt(2))
+    got = {(r.metric, r.comparison): r for r in all_plans()["group_comparison_report"].build(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    order = sorted(want, key=want.get)
+    for k, key in enumerate(order):
+        assert got[key].p == pytest.approx(min(1, want[key]), abs=2e-8)
+        assert got[key].p_adjusted == pytest.approx(min(1, min(want[o] * len(order) / (j + 1) for j, o in enumerate(order) if j >= k)), abs=2e-7)
+
+
+def test_token_set_ratio_of_the_blocked_join_is_brute_force(spark, sf_dir):
+    """Scores of all pairs of a brand by longest common subsequences of the sorted word sets."""
+    from quillspark.plans.catalog import all_plans
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    def token_set(a, b):
+        x, y = set(a.split()), set(b.split())
+        both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        first, second = f"{both} {one}".strip(), f"{both} {two}".strip()
+        return max(ratio(both, first), ratio(both, second), ratio(first, second)) if both else ratio(first, second)
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name").collect()
+    want = {(a.p_partkey, b.p_partkey) for a in parts for b in parts if a.p_brand == b.p_brand and a.p_partkey < b.p_partkey and token_set(a.p_name, b.p_name) >= 90}
+    got = all_plans()["blocked_fuzzy_match"].build(spark, sf_dir)
+    assert {(r.p_partkey, r.other) for r in got.collect()} == want
