@@ -1,8 +1,11 @@
 """Hand-worked cases."""
 
+import itertools
 import math
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
