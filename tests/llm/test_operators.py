@@ -747,3 +747,47 @@ def test_pipeline(spark, sf_dir):
     assert len(texts) == len(set(texts))
     assert q.fm_index.contamination(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("size(items) > 0").count() == 0
     assert {c for c in columns} < set(corpus_pipeline.run(spark, sf_dir).columns)
+
+
+def test_pipeline_edges_are_brute_force(spark, tmp_path):
+    """Nulls, empty and letterless texts, repeated rows and ids, copies, a leak, a long text and other columns, stage by stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    plain = {"en": "the house on the hill was old and the door would not open for any of them".split(), "de": "der alte mann und das kind gingen durch den tiefen wald nach hause zur mutter".split()}
+    say = lambda lang, n: " ".join(rng.choice(plain[lang]) + rng.choice(["", "", "s", "er"]) for _ in range(n))
+    rows = [(i, say("en" if i % 2 else "de", 40), "en" if i % 2 else "de") for i in range(60)]
+    base, leak = rows[7][1], say("en", 14)
+    rows += [(100, None, "en"), (101, "", None), (102, "12 34 !!", "en"), (103, base, "en"), (104, base, "en"), (104, base, "en"), (105, base + " more", "en")]
+    rows += [(105, say("de", 30), "de"), (106, say("en", 10) + " " + leak + " " + say("en", 10), "en"), (107, say("en", 30_000), "en"), (None, say("de", 25), "de")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "mine") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, file string")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [(i, t) for i, t, _ in rows if t and re.search("[a-z]", t)]
+    keep = {}
+    for i, t in texts:
+        keep[t] = max(keep.get(t, -1), -1 if i is None else i)
+    first = [(i if i >= 0 else None, t) for t, i in keep.items()]
+    near = brute_components({k: t for k, (_, t) in enumerate(first)}, 5, 80)
+    best = {}
+    for k, (i, t) in enumerate(first):
+        order = (i is None, i or 0)
+        if near[k][1] not in best or order < best[near[k][1]][0]:
+            best[near[k][1]] = (order, i, t)
+    third = [(i, t) for _, i, t in best.values()]
+    words = leak.split()
+    windows = {tuple(words[k : k + 10]) for k in range(len(words) - 9)}
+    fourth = [(i, t) for i, t in third if not any(tuple(t.split()[k : k + 10]) in windows for k in range(len(t.split()) - 9))]
+    now = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (texts, first, third, fourth)):
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.columns == docs.columns
+        assert collections.Counter((r.doc_id, r.text) for r in now.collect()) == collections.Counter(want), name
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert last.columns == [*docs.columns, *mixing.ADDED] and {r.file for r in last.collect()} == {"mine"}
+    assert {(r.doc_id, r.text) for r in last.collect()} <= set(fourth) and last.filter("rate <= 0").count() == 0
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
