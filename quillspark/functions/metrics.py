@@ -19,7 +19,7 @@ _BLANK = r" \t\n\r\f\x0B"
 def syllables(text: Column) -> Column:
     """Vowel groups of all words, one at least for each: the groups of the text and the words without any."""
     low = F.lower(text)
-    bare = rf"(?<![^{_BLANK}])[^{_BLANK}{_VOWEL}]+(?![^{_BLANK}])"
+    bare = rf"(?<![^{_BLANK}])[^{_BLANK}{_VOWEL}]++(?![^{_BLANK}])"
     return F.regexp_count(low, F.lit(VOWELS)) + F.regexp_count(low, F.lit(bare))
 
 

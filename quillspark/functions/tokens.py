@@ -10,7 +10,8 @@ ALPHABETIC = r"[a-z']*[a-z][a-z']*"
 WORD_OR_MARK = r"[\p{L}\p{N}_']+|[.,!?;]"
 #: Words with their contractions split off, numbers with inner points, and single marks.
 TREEBANK = r"(?i)n't\b|'(?:s|m|re|ve|ll|d)\b|\p{N}+(?:[.,]\p{N}+)*|\p{L}+?(?=n't\b)|[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*|\.\.\.|[^\p{L}\p{N}_\s]"
-SENTENCE_MARK = "␞"
+#: Parts sentences: a line break, which no text holds once its white space is single spaces.
+SENTENCE_MARK = "\n"
 
 
 def split_words(c: Column) -> Column:
@@ -47,8 +48,8 @@ def sentences(c: Column) -> Column:
 
 def sentences_sql(c: str) -> str:
     flat = rf"regexp_replace({c}, '[ \t\n\r\f\x0B]+', ' ', 'g')"
-    marked = f"regexp_replace({flat}, '([.!?][\"''\\x{{201d}}\\x{{2019}}]*) ', '\\1{SENTENCE_MARK}', 'g')"
-    return f"list_filter(list_transform(string_split({marked}, '{SENTENCE_MARK}'), lambda x: trim(x)), lambda x: x <> '')"
+    marked = f"regexp_replace({flat}, '([.!?][\"''\\x{{201d}}\\x{{2019}}]*) ', '\\1' || chr(10), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 def split_words_sql(c: str) -> str:

@@ -78,47 +78,86 @@ def cluster_quality(df: DataFrame, vector: str, label: str) -> DataFrame:
     return ch.join(worst.agg(F.avg("r").alias("davies_bouldin")))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, same: bool = False, least: float | None = None, block_rows: int = 4000) -> DataFrame:
-    """(id, other, similarity): of each left vector its k best right ones by cosine, exactly.
+def _blocks(df: DataFrame, block_rows: int) -> int:
+    return max(1, -(-df.count() // block_rows))
 
-    With ``same`` a row is not its own neighbour; with ``least`` all pairs from that similarity on
-    are returned instead. Both sides are dealt to blocks, each pair of blocks is one matrix product.
+
+def _dealt(df: DataFrame, key: str, vector: str, n: int, own: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias(own))
+
+
+def _spread(df: DataFrame, to: str, first: Column | int, last: Column | int) -> DataFrame:
+    """Each row once for every block of the other side from ``first`` to ``last``."""
+    ends = [F.lit(x).cast("bigint") if isinstance(x, int) else x for x in (first, last)]
+    return df.withColumn(to, F.explode(F.sequence(*ends)))
+
+
+def _cosines(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    """Cosines of all vectors of two blocks; -2 where one is zero."""
+    m, w = np.array(x["v"].tolist()), np.array(y["v"].tolist())
+    with np.errstate(invalid="ignore", divide="ignore"):
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        w /= np.linalg.norm(w, axis=1, keepdims=True)
+    return np.nan_to_num(m @ w.T, nan=-2.0)
+
+
+_PAIRS = "id long, other long, similarity double"
+
+
+def _pairs(ids, others, sims) -> pd.DataFrame:
+    return pd.DataFrame({"id": np.asarray(ids, np.int64), "other": np.asarray(others, np.int64), "similarity": np.asarray(sims, np.float64)})
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, same: bool = False, block_rows: int = 4000) -> DataFrame:
+    """(id, other, similarity): of each left vector its k best right ones by cosine, exactly; of equal ones the smallest keys.
+
+    With ``same`` a row is not its own neighbour. Both sides are dealt to blocks, each pair of
+    blocks is one matrix product, and k of each row leave it.
     """
-    n_left, n_right = (max(1, -(-d.count() // block_rows)) for d in (left, right))
-    deal = lambda d, n: d.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("own"))
-    a = deal(left, n_left).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).select("id", "v", F.col("own").alias("a"), F.col("to").cast("bigint").alias("b"))
-    b = deal(right, n_right).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).select("id", "v", F.col("to").cast("bigint").alias("a"), F.col("own").alias("b"))
+    n_left, n_right = _blocks(left, block_rows), _blocks(right, block_rows)
+    a = _spread(_dealt(left, key, vector, n_left, "a"), "b", 0, n_right - 1)
+    b = _spread(_dealt(right, key, vector, n_right, "b"), "a", 0, n_left - 1)
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         if x.empty or y.empty:
-            return empty
-        m, w = np.array(x["v"].tolist()), np.array(y["v"].tolist())
-        with np.errstate(invalid="ignore", divide="ignore"):
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            w /= np.linalg.norm(w, axis=1, keepdims=True)
-        sims = np.nan_to_num(m @ w.T, nan=-2.0)
-        ids, others = x["id"].to_numpy(), y["id"].to_numpy()
+            return _pairs([], [], [])
+        sims, ids, others = _cosines(x, y), x["id"].to_numpy(), y["id"].to_numpy()
         if same:
             sims[ids[:, None] == others[None, :]] = -2.0
-        if least is not None:
-            i, j = np.nonzero(sims >= least)
-        else:
-            order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
-            i, j = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-            keep = sims[i, j] > -2.0
-            i, j = i[keep], j[keep]
-        return pd.DataFrame({"id": ids[i], "other": others[j], "similarity": sims[i, j]})
-
-    out = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(product, "id long, other long, similarity double")
-    if least is not None:
-        return out
+        at = max(0, sims.shape[1] - k)
+        least = np.partition(sims, at, axis=1)[:, at]
+        i, j = np.nonzero((sims >= least[:, None]) & (sims > -2.0))
+        order = np.lexsort((others[j], -sims[i, j], i))
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+        return _pairs(ids[i], others[j], sims[i, j])
+
+    out = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(product, _PAIRS)
     return top_per_group(out, ["id"], [F.col("similarity").desc(), "other"], k).drop("rn")
 
 
+def near_pairs(df: DataFrame, key: str, vector: str, least: float, block_rows: int = 4000) -> DataFrame:
+    """(id, other, similarity): every pair of rows, id < other, from cosine ``least`` on, exactly; each pair of blocks is multiplied once."""
+    n = _blocks(df, block_rows)
+    a = _spread(_dealt(df, key, vector, n, "a"), "b", F.col("a"), n - 1)
+    b = _spread(_dealt(df, key, vector, n, "b"), "a", 0, F.col("b"))
+
+    def product(block: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return _pairs([], [], [])
+        sims, ids, others = _cosines(x, y), x["id"].to_numpy(), y["id"].to_numpy()
+        i, j = np.nonzero(sims >= least)
+        u, v = ids[i], others[j]
+        keep = u < v if block[0] == block[1] else u != v
+        return _pairs(np.minimum(u, v)[keep], np.maximum(u, v)[keep], sims[i, j][keep])
+
+    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(product, _PAIRS)
+
+
 def duplicate_rows(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
     """The larger id of every near pair: the rows that leave."""
-    return nearest(df, df, key, vector, same=True, least=least).filter("id > other").select(F.col("id").alias(key)).distinct()
+    return near_pairs(df, key, vector, least).select(F.col("other").alias(key)).distinct()
 
 
 def class_tf_idf(df: DataFrame, tokens: Column, label: str, key: str, stop: Sequence[str] = (), top: int = 5) -> DataFrame:
@@ -170,14 +209,17 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 42, bisecti
 def density_clusters(df: DataFrame, key: str, vector: str, least: float, min_size: int) -> DataFrame:
     """Components of the graph of pairs from similarity ``least`` on; small ones are noise, -1.
 
-    Labels spread by the minimum over neighbours until none changes, each round checkpointed.
+    Each row takes the smallest label of its neighbours, then the label of the row that label names,
+    until none changes; every round is written, so that plans stay short.
     """
-    edges = nearest(df, df, key, vector, same=True, least=least).select("id", "other").persist()
+    pairs = _kept(near_pairs(df, key, vector, least).select("id", "other"))
+    edges = pairs.union(pairs.select("other", "id"))
     labels = df.select(F.col(key).alias("id"), F.col(key).alias("cluster"))
     while True:
-        seen = edges.join(labels.select(F.col("id").alias("other"), "cluster"), "other").groupBy("id").agg(F.min("cluster").alias("low"))
-        new = labels.join(seen, "id", "left").select("id", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), (F.col("low") < F.col("cluster")).alias("moved"))
-        new = _kept(new)
+        seen = edges.join(labels.select(F.col("id").alias("other"), "cluster").distinct(), "other").groupBy("id").agg(F.min("cluster").alias("low"))
+        near = labels.join(seen, "id", "left").select("id", F.least("cluster", F.coalesce("low", "cluster")).alias("near"), (F.col("low") < F.col("cluster")).alias("moved"))
+        further = near.groupBy(F.col("id").alias("near")).agg(F.min("near").alias("cluster"))
+        new = _kept(near.join(further, "near").select("id", "cluster", "moved"))
         labels = new.select("id", "cluster")
         if not new.filter("moved").head(1):
             break

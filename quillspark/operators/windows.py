@@ -60,13 +60,37 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Column
 
 def both_ends(df: DataFrame, value: str, tie: str, by: Sequence[str], k: int = 20) -> DataFrame:
     """The k lowest and k highest of each group, of groups with at least 2k rows; the highest best first."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    low = F.row_number().over(Window.partitionBy(*by).orderBy(value, tie))
-    high = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc(), tie))
-    staged = df.filter(F.col(value).isNotNull()).withColumns({"__n": n, "__lo": low, "__hi": high}).filter(F.col("__n") >= 2 * k)
-    lows = staged.filter(F.col("__lo") <= k).withColumns({"side": F.lit("low"), "place": F.col("__lo")})
-    highs = staged.filter(F.col("__hi") <= k).withColumns({"side": F.lit("high"), "place": F.col("__hi")})
-    return lows.unionByName(highs).drop("__n", "__lo", "__hi")
+    held = df.filter(F.col(value).isNotNull())
+    large = held.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") >= 2 * k).toDF(*[f"__{c}" for c in by], "__n")
+    # Each side is cut to k rows a group before its shuffle.
+    lows = top_per_group(held, by, [value, tie], k, "place").withColumn("side", F.lit("low"))
+    highs = top_per_group(held, by, [F.col(value).desc(), tie], k, "place").withColumn("side", F.lit("high"))
+    return lows.unionByName(highs).join(large, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).drop("__n", *[f"__{c}" for c in by])
+
+
+def upto(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, value: str | None = None, total: str | None = None) -> DataFrame:
+    """Each row's place in its group, from 1, or the running sum of ``value``, and on demand the group's ``total``.
+
+    Rows are dealt by ranges of group and order and written, so that a group of any size is spread;
+    the sums of each range's groups, one row each, give the offsets. Places need an order without ties.
+    """
+    from ..sources.files import materialize
+
+    # Written once: a second evaluation could draw other range bounds.
+    placed = materialize(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    each = F.sum(value) if value else F.count("*")
+    sums = placed.groupBy("__part", *by).agg(each.alias("__s"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__s").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.withColumns({"__before": before, "__total": F.sum("__s").over(group)})
+    offsets = offsets.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__{c}") for c in by], "__before", "__total")
+    inner = Window.partitionBy("__part", *by).orderBy(*order)
+    here = F.sum(value).over(inner) if value else F.row_number().over(inner)
+    same = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]]
+    joined = placed.withColumn("__here", here).join(offsets, same).withColumn(out, F.col("__before") + F.col("__here"))
+    if total:
+        joined = joined.withColumn(total, F.col("__total"))
+    return joined.select(*df.columns, out, *([total] if total else []))
 
 
 def shared_hash(column: str | Column, seed: int = 42) -> Column:
@@ -99,12 +123,11 @@ def one_per_group(df: DataFrame, by: Sequence[str], key: str, seed: int = 42) ->
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(shared_hash(key, seed), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    placed = upto(df.withColumn("__hash", shared_hash(key, seed)), [label], ["__hash", key], "__place")
+    return placed.withColumn("fold", ((F.col("__place") - 1) % k).cast("int")).drop("__hash", "__place")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Column is_test: the first share of each label in hash order."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(shared_hash(key, seed), key))
-    return df.withColumn("is_test", place <= F.floor(F.count("*").over(w) * test_share + 0.5))
+    placed = upto(df.withColumn("__hash", shared_hash(key, seed)), [label], ["__hash", key], "__place", total="__all")
+    return placed.withColumn("is_test", F.col("__place") <= F.floor(F.col("__all") * test_share + 0.5)).drop("__hash", "__place", "__all")

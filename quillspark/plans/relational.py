@@ -39,8 +39,7 @@ def vector_scan(spark, sf_dir):
   sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) - n_chars AS before FROM documents) WHERE before <= 20000""")
 def budget_scan(spark, sf_dir):
     """Per language, documents in order until a character budget is passed."""
-    w = wn.Window.partitionBy("lang").orderBy("doc_id")
-    d = Tables(spark, sf_dir).documents.withColumn("running", F.sum("n_chars").over(w))
+    d = wn.upto(Tables(spark, sf_dir).documents.select("lang", "doc_id", "n_chars"), ["lang"], ["doc_id"], "running", "n_chars")
     return d.filter(F.col("running") - F.col("n_chars") <= 20000).select("doc_id", "running")
 
 
@@ -478,6 +477,5 @@ def stratified_folds(spark, sf_dir):
 
 @plan("SM8", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= floor(count(*) OVER (PARTITION BY lang) * 0.4) THEN 'a' ELSE 'b' END AS part FROM documents")
 def positional_split(spark, sf_dir):
-    w = wn.Window.partitionBy("lang")
-    first = F.row_number().over(w.orderBy("doc_id")) <= F.floor(F.count("*").over(w) * 0.4)
-    return Tables(spark, sf_dir).documents.select("doc_id", F.when(first, "a").otherwise("b").alias("part"))
+    d = wn.upto(Tables(spark, sf_dir).documents.select("lang", "doc_id"), ["lang"], ["doc_id"], "place", total="n")
+    return d.select("doc_id", F.when(F.col("place") <= F.floor(F.col("n") * 0.4), "a").otherwise("b").alias("part"))

@@ -16,9 +16,11 @@ MISSING = ("", "#N/A", "N/A", "NA", "NaN", "nan", "None", "null", "NULL", "n/a")
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
+    """A new path in the folder that driver and executors share; a temporary one where a local session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(path)
     return f"{path.rstrip('/')}/quillspark-{uuid.uuid4().hex}"

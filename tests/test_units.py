@@ -366,3 +366,51 @@ def test_token_set_ratio_of_the_blocked_join_is_brute_force(spark, sf_dir):
     want = {(a.p_partkey, b.p_partkey) for a in parts for b in parts if a.p_brand == b.p_brand and a.p_partkey < b.p_partkey and token_set(a.p_name, b.p_name) >= 90}
     got = all_plans()["blocked_fuzzy_match"].build(spark, sf_dir)
     assert {(r.p_partkey, r.other) for r in got.collect()} == want
+
+
+def test_places_and_running_sums_within_groups(spark):
+    rng = np.random.default_rng(0)
+    rows = [([None, "a", "b", "b"][rng.integers(4)], i, int(rng.integers(0, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id long, v long").repartition(5)
+    got = {r.id: (r.place, r.n) for r in windows.upto(df, ["g"], ["id"], "place", total="n").collect()}
+    sums = {r.id: r.run for r in windows.upto(df, ["g"], ["id"], "run", "v").collect()}
+    for g, i, _ in rows:
+        mine = [(j, v) for h, j, v in rows if h == g]
+        assert got[i] == (sum(j <= i for j, _ in mine), len(mine))
+        assert sums[i] == sum(v for j, v in mine if j <= i)
+    assert windows.upto(df.limit(0), ["g"], ["id"], "place").count() == 0
+
+
+def test_near_pairs_and_density_clusters_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(-2, 3, (60, 4)).astype(float)
+    m = base[np.arange(150) % 60]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    n = np.linalg.norm(m, axis=1)
+    with np.errstate(all="ignore"):
+        sims = np.nan_to_num(m @ m.T / n[:, None] / n[None, :], nan=-2.0)
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if sims[i, j] >= 0.9001}
+    for block in (7, 40, 4000):
+        got = [tuple(r) for r in vectors.near_pairs(df, "id", "v", 0.9001, block).select("id", "other").collect()]
+        assert len(got) == len(want) and set(got) == want
+    root = list(range(150))
+    for _ in root:
+        for i, j in want:
+            root[i] = root[j] = min(root[i], root[j])
+    sizes = {r: root.count(r) for r in root}
+    got = {r.id: r.cluster for r in vectors.density_clusters(df, "id", "v", 0.9001, 4).collect()}
+    assert got == {i: (r if sizes[r] >= 4 else -1) for i, r in enumerate(root)}
+
+
+def test_nearest_of_equal_vectors_are_the_smallest_keys(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(30, [0.0, 0.0])], "id long, v array<double>")
+    for block in (4, 4000):
+        got = {}
+        for r in vectors.nearest(df, df, "id", "v", k=2, same=True, block_rows=block).collect():
+            got.setdefault(r.id, []).append(r.other)
+        assert {k: sorted(v) for k, v in got.items()} == {i: [j for j in range(30) if j != i][:2] for i in range(30)}
+
+
+def test_sentences_hold_any_sign(spark):
+    df = spark.createDataFrame([("One ␞ two. Three\nfour! ",)], "t string")
+    assert df.select(tokens.sentences(F.col("t"))).first()[0] == ["One ␞ two.", "Three four!"]
