@@ -11,6 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than one of so many rows is joined by broadcast; there are at most so many of them.
+HOT_SHARE = 2000
+
 #: Folders written inside each open ``scratch`` block.
 _scopes: list[list[str]] = []
 
@@ -58,6 +61,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def hot_join(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with a table of one row for each key, whose column ``size`` counts the key's rows.
+
+    Keys that many rows share meet them by broadcast, so that no task gets all of a large group.
+    """
+    hot = F.broadcast(named.filter(F.col("size") * HOT_SHARE > total).drop("size"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(named.drop("size"), key))
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted column names, each made longer until ``df`` has no column of that name in any letter case."""
     taken, out = {c.lower() for c in df.columns}, []

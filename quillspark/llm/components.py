@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_join, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round moves every edge closer to the smallest node it can see; the
     edges of a finished component form one star. Nothing of the graph reaches the driver.
+    Nodes of very many neighbours meet them by broadcast, so that no task gets all edges of a large star.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     while True:
         edges = materialize(_small(_large(edges)))
         if not _unfinished(edges).head(1):
@@ -31,12 +32,13 @@ def _unfinished(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Links the larger neighbours of each node to its smallest neighbour or itself."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("size"))
+    return hot_join(both, materialize(least), "u", 2 * edges.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    edges = materialize(edges)
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")))
+    moved = hot_join(edges, least, "u", edges.count()).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", "m")).distinct()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_places
+from .common import hot_join, materialize, with_places
 from .components import connected_components
 from .words import Words, chunks, mix
 
@@ -44,8 +44,6 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c
 EXTENT = 12
 #: Prefix tokens that one group holds at a time.
 BUCKET = 500_000
-#: A key with more than one of so many rows is joined by broadcast; there are at most so many of them.
-HOT_SHARE = 2000
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -371,15 +369,6 @@ def class_components(prefixes: DataFrame, sets: DataFrame, percent: int, pairs_p
     return labels
 
 
-def _hot_join(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join with a table of one row for each key, whose column ``size`` counts the key's rows.
-
-    Keys that many rows share meet them by broadcast, so that no task gets all of a large group.
-    """
-    hot = F.broadcast(named.filter(F.col("size") * HOT_SHARE > total).drop("size"))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(named.drop("size"), key))
-
-
 def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, place: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, place, n_shingles, sig, first; loners: the same without first). ``first`` is the component's smallest (missing, doc_id, place)."""
     id_and_text = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
@@ -412,9 +401,9 @@ def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, pe
     if roots is not None:
         member = materialize(roots.join(sets.select(F.col("cid").alias("node"), "sig"), "node").join(classes.select("sig", "least"), "sig"))
         lowest = materialize(member.groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("size")))
-        united = _hot_join(member.select("sig", "root"), lowest, "root", member.count()).select("sig", "low")
+        united = hot_join(member.select("sig", "root"), lowest, "root", member.count()).select("sig", "low")
         named = named.join(united, "sig", "left").select("sig", "size", F.coalesce("low", "first").alias("first"))
-    rows = _hot_join(described.filter("sig IS NOT NULL"), materialize(named), "sig", n_docs)
+    rows = hot_join(described.filter("sig IS NOT NULL"), materialize(named), "sig", n_docs)
     return rows, described.filter("sig IS NULL")
 
 
