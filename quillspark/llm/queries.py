@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fm_index, html_ctd, hyperdim, mixing, ngram_join, pii, secrets, toxicity
+from . import chat, exact_dedup, fm_index, html_ctd, hyperdim, merkle, mixing, ngram_join, pii, secrets, toxicity
 from .common import documents, fold, table
 
 #: Shares of the token total that the mixing query aims at, by domain of the label table.
 TARGETS = {"quality1_toxic0": 0.80, "quality0_toxic0": 0.15, "quality1_toxic1": 0.04, "quality0_toxic1": 0.01}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEARN_FOLDS, HELD_OUT = 4, 2
 TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
 
@@ -103,16 +104,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = [F.translate("text", _UPPER, _LOWER) if f == "text" else F.col(f) for f in fields]
+    forged = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_digest(*lowered))
+    made = merkle.manifest(documents(spark, sf_dir), fields, carry={"forged": forged})
+    out = made.withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_language_id, op3_mix_sources, op4_chat_format, op5_secret_scan, op6_decontaminate, op7_find_pii,
-        op8_ngram_jaccard, op9_extract_html, op10_toxicity,
+        op8_ngram_jaccard, op9_extract_html, op10_toxicity, op13_merkle_manifest,
     )
 }
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def _secret_sql() -> str:
     def quoted(x: str) -> str:
@@ -143,7 +151,46 @@ SELECT doc_id, {', '.join(count(k) for k in ('assign', 'access', 'hex'))},
 FROM s"""
 
 
+def _merkle_sql(levels: int = 8, top_levels: int = 4) -> str:
+    """Eight-way trees level by level; ``levels`` are enough for 8 ** levels leaves of a group."""
+
+    def leaf(text: str) -> str:
+        one = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+        return f"sha256({' || '.join(one(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    step = "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    crc = (
+        "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), "
+        f"lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), {step})), 4294967295)"
+    )
+    ctes = [
+        f"d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS forged FROM documents)",
+        "n0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY g) AS c, doc_id, leaf, forged FROM d)",
+    ]
+
+    def grown(name: str, by: str, count: int) -> None:
+        for k in range(count):
+            ctes.append(f"{name}{k + 1} AS (SELECT {by}, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (max(c) + 7) // 8 AS c FROM {name}{k} WHERE c > 1 GROUP BY {by}, i // 8)")
+            side = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY {by}, i // 8 ORDER BY i ROWS BETWEEN {frame}), '')"  # noqa: B023, E731
+            ctes.append(f"{name}s{k} AS (SELECT {by}, i, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS a, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS b FROM {name}{k} WHERE c > 1)")
+
+    grown("n", "g", levels)
+    ctes.append("r AS (" + " UNION ALL ".join(f"SELECT g, h FROM n{k} WHERE c = 1" for k in range(levels + 1)) + ")")
+    ctes.append("t0 AS (SELECT 0 AS one, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS c, g FROM r)")
+    grown("t", "one", top_levels)
+    ctes.append("top AS (" + " UNION ALL ".join(f"SELECT h FROM t{k} WHERE c = 1" for k in range(top_levels + 1)) + ")")
+    ctes.append("p0 AS (SELECT n0.doc_id, n0.g, n0.i, t0.i AS j, n0.leaf, t0.h AS subroot, coalesce(forged, n0.leaf) AS f, '' AS p FROM n0 JOIN t0 USING (g))")
+    sides = [(f"ns{k}", "s.g = p.g", f"p.i // {8 ** k}") for k in range(levels)] + [(f"ts{k}", "true", f"p.j // {8 ** k}") for k in range(top_levels)]
+    for k, (name, same, at) in enumerate(sides):
+        ctes.append(
+            f"p{k + 1} AS (SELECT p.doc_id, p.g, p.i, p.j, p.leaf, p.subroot, CASE WHEN s.a IS NULL THEN p.f ELSE sha256(s.a || p.f || s.b) END AS f, "
+            f"p.p || coalesce(s.a || s.b, '') AS p FROM p{k} p LEFT JOIN {name} s ON {same} AND s.i = {at})"
+        )
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified FROM p{len(sides)}, top"
+
+
 ORACLES = {
+    "op13_merkle_manifest": _merkle_sql(),
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
   sha256(coalesce(text, '')) AS text_sha256
