@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fm_index, html_ctd, hyperdim, merkle, mixing, ngram_join, pii, secrets, toxicity
+from . import chat, exact_dedup, fm_index, html_ctd, hyperdim, merkle, mixing, ngram_join, pii, secrets, toxicity, treaps
 from .common import documents, fold, table
 
 #: Shares of the token total that the mixing query aims at, by domain of the label table.
@@ -104,6 +104,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(treaps.build(documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     lowered = [F.translate("text", _UPPER, _LOWER) if f == "text" else F.col(f) for f in fields]
@@ -117,7 +121,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_language_id, op3_mix_sources, op4_chat_format, op5_secret_scan, op6_decontaminate, op7_find_pii,
-        op8_ngram_jaccard, op9_extract_html, op10_toxicity, op13_merkle_manifest,
+        op8_ngram_jaccard, op9_extract_html, op10_toxicity, op11_ranked_search, op13_merkle_manifest,
     )
 }
 
@@ -190,6 +194,16 @@ def _merkle_sql(levels: int = 8, top_levels: int = 4) -> str:
 
 
 ORACLES = {
+    "op11_ranked_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{treaps.TERM}') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{treaps.TERM}')) AS term FROM benchmark),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+p AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM b JOIN t USING (term) JOIN k USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0
+QUALIFY rank <= 50""",
     "op13_merkle_manifest": _merkle_sql(),
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
