@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fm_index, html_ctd, hyperdim, merkle, mixing, ngram_join, pii, secrets, toxicity, treaps
+from . import chat, exact_dedup, fm_index, html_ctd, hyperdim, merkle, mixing, ngram_join, pii, recurrent, secrets, toxicity, treaps
 from .common import documents, fold, table
 
 #: Shares of the token total that the mixing query aims at, by domain of the label table.
@@ -13,6 +13,7 @@ TARGETS = {"quality1_toxic0": 0.80, "quality0_toxic0": 0.15, "quality1_toxic1":
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEARN_FOLDS, HELD_OUT = 4, 2
 TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
+LM_FOLDS, LM_HELD_OUT = 10, 0
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.search(treaps.build(documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", LM_FOLDS) == LM_HELD_OUT
+    told = recurrent.score(documents(spark, sf_dir), ~held)
+    return told.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     lowered = [F.translate("text", _UPPER, _LOWER) if f == "text" else F.col(f) for f in fields]
@@ -121,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_language_id, op3_mix_sources, op4_chat_format, op5_secret_scan, op6_decontaminate, op7_find_pii,
-        op8_ngram_jaccard, op9_extract_html, op10_toxicity, op11_ranked_search, op13_merkle_manifest,
+        op8_ngram_jaccard, op9_extract_html, op10_toxicity, op11_ranked_search, op12_lm_score, op13_merkle_manifest,
     )
 }
 
