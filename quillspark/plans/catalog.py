@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, relational, text
+from . import analytics, relational, spaces, text
 from .registry import PLANS, Plan
 
-MODULES = (relational, text, analytics)
+MODULES = (relational, text, analytics, spaces)
 
 
 def all_plans() -> dict[str, Plan]:
