@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import attribution as at
 from ..operators import density as de
+from ..operators import intervals as it
 from ..operators import neighbours as ne
 from ..operators import vectors as ve
+from ..sources import files as fi
 from .registry import Tables, plan
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -33,3 +36,72 @@ def embedding_duplicates(spark, sf_dir):
 def hdbscan_clusters(spark, sf_dir):
     """Density clusters of the unit vectors with noise; a test holds them against a brute-force tree."""
     return de.hdbscan(Tables(spark, sf_dir).embeddings, "vec_id", ve.unit(F.col("embedding")), min_cluster_size=15)
+
+
+# --- attributions, surest rows, intervals, densities ---
+
+
+def _boosted(spark, sf_dir):
+    """The metrics of the labelled documents, written, and boosted trees fitted on all of them."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators import ml
+    from .analytics import _metric_rows
+
+    frame, names = ml.class_frame(_metric_rows(spark, sf_dir), "doc_id", ["GSQ"], ["NLB"])
+    rows = fi.materialize(frame)
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), ml.learner("gbt")]).fit(rows)
+    return rows, names, model.stages[-1]
+
+
+@plan("ML7")
+def shap_values(spark, sf_dir):
+    """Of every labelled document what each metric adds to the margin of boosted trees; base and the parts add up to it."""
+    rows, names, model = _boosted(spark, sf_dir)
+    return at.attributions(rows, model, names, "doc_id")
+
+
+@plan("ML7")
+def shap_importances(spark, sf_dir):
+    """Mean absolute attribution of each metric."""
+    rows, names, model = _boosted(spark, sf_dir)
+    return at.mean_attributions(at.attributions(rows, model, names, "doc_id"), names)
+
+
+_TOLD = "SELECT doc_id, toxic, CAST(n_chars < 400 AS INT) AS predicted, greatest(n_chars, 400.0) / (n_chars + 400.0) AS sure FROM documents JOIN labels USING (doc_id)"
+
+
+@plan("TK8", f"""WITH t AS ({_TOLD}) SELECT toxic, toxic = predicted AS correct, doc_id, round(sure, 8) AS sure, CAST(row_number() OVER (PARTITION BY toxic, toxic = predicted ORDER BY sure DESC, doc_id) AS INT) AS place
+  FROM t WHERE toxic IS NOT NULL AND sure IS NOT NULL QUALIFY place <= 3""")
+def surest_examples(spark, sf_dir):
+    """The three surest right and wrong rows of each class, of a rule that takes short documents for toxic."""
+    t = Tables(spark, sf_dir)
+    n = F.col("n_chars").cast("double")
+    told = t.documents.join(t.labels, "doc_id").select("doc_id", "toxic", (n < 400).cast("int").alias("predicted"), (F.greatest(n, F.lit(400.0)) / (n + 400)).alias("sure"))
+    return at.surest_rows(told, "toxic", "predicted", "sure", "doc_id").select("toxic", "correct", "doc_id", F.round("sure", 8).alias("sure"), "place")
+
+
+@plan("SI3")
+def area_interval(spark, sf_dir):
+    """The bias-corrected, accelerated interval of the ROC area of a document's length for its toxicity, 9,999 replicates."""
+    t = Tables(spark, sf_dir)
+    return it.area_interval(t.documents.join(t.labels, "doc_id"), "toxic", "n_chars")
+
+
+@plan("SI3")
+def accuracy_interval(spark, sf_dir):
+    """The same of the share that the rule of ``surest_examples`` tells right."""
+    t = Tables(spark, sf_dir)
+    return it.accuracy_interval(t.documents.join(t.labels, "doc_id").withColumn("predicted", (F.col("n_chars") < 400).cast("int")), "toxic", "predicted")
+
+
+@plan("SI10 EX6", """WITH t AS (SELECT lang, count(*) AS n, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high, stddev_samp(n_chars) * count(*) ** -0.2 AS h FROM documents GROUP BY 1),
+  b AS (SELECT lang, least(floor((n_chars - low) / ((high - low) / 400)), 399) AS bin, count(*) AS c FROM documents JOIN t USING (lang) WHERE high > low GROUP BY ALL),
+  g AS (SELECT *, low - 3 * h + point * ((high - low + 6 * h) / 49) AS x FROM t, (SELECT unnest(range(50)) AS point) WHERE high > low)
+  SELECT lang, CAST(point AS INT) AS point, round(x, 6) AS x, round(sum(c * exp(-0.5 * ((x - (low + (bin + 0.5) * ((high - low) / 400))) / h) ** 2)) / any_value(n * h * sqrt(2 * pi())), 9) AS density
+  FROM g JOIN b USING (lang) GROUP BY lang, point, x""")
+def density_curves(spark, sf_dir):
+    """Kernel densities of document lengths by language, the data of density and violin figures."""
+    d = it.kernel_density(Tables(spark, sf_dir).documents, "n_chars", "lang")
+    return d.select("lang", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))

@@ -145,3 +145,92 @@ def test_copies_are_a_cluster(spark):
 def test_clusters_of_nothing(spark):
     assert de.hdbscan(frame(spark, [None]), "id", "v").count() == 0
     assert [r.cluster for r in de.hdbscan(frame(spark, [[1.0, 2.0]]), "id", "v", 3).collect()] == [-1]
+
+
+# --- attributions, intervals, densities ---
+
+
+def test_attributions_are_shapley_values(spark):
+    """Against all orders of the features, with unknown ones following the cover; they add up to the model's value."""
+    from itertools import permutations
+
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from quillspark.operators import attribution as at
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (300, 3)).round(3)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2)).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, a double, b double, c double, label int")
+    names = ["a", "b", "c"]
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    for learner in (GBTClassifier(seed=1, maxIter=3, maxDepth=3), RandomForestClassifier(seed=1, numTrees=3, maxDepth=4)):
+        model = learner.fit(rows)
+        forest = at.ensemble(model)
+
+        def value(known, row):
+            """Mean value of the leaves, a feature outside ``known`` following the cover."""
+            total = 0.0
+            for leaf in forest:
+                share = 1.0
+                for f, over, upto, z in leaf.way:
+                    share *= float(over < row[f] <= upto) if f in known else z
+                total += leaf.value * share
+            return total
+
+        got = {r.id: r for r in at.attributions(df, model, names, "id").collect()}
+        raw = {r.id: r for r in model.transform(rows).collect()}
+        for i in range(0, 300, 37):
+            want = np.zeros(3)
+            for order in permutations(range(3)):
+                for k, f in enumerate(order):
+                    want[f] += (value(order[: k + 1], x[i]) - value(order[:k], x[i])) / 6
+            assert np.allclose([got[i].phi_a, got[i].phi_b, got[i].phi_c], want)
+            margin = raw[i].rawPrediction[1] / 2 if isinstance(learner, GBTClassifier) else raw[i].probability[1]
+            assert abs(got[i].total - (raw[i].rawPrediction[1] if isinstance(learner, GBTClassifier) else margin)) < 1e-9
+
+
+def test_intervals_agree_with_resampling(spark):
+    """The plain way: rows drawn again, rows left out one by one."""
+    from quillspark.operators import intervals as it
+
+    rng = np.random.default_rng(8)
+    y = (rng.random(120) < 0.4).astype(int)
+    s = (rng.normal(0, 1, 120) + 1.2 * y).round(1)
+    df = spark.createDataFrame([(int(a), float(b), int(b > 0.5)) for a, b in zip(y, s)] + [(None, 1.0, 1), (1, None, None)], "y int, s double, p int")
+
+    def area(rows):
+        a, b = s[rows][y[rows] == 1], s[rows][y[rows] == 0]
+        return ((a[:, None] > b[None]) + 0.5 * (a[:, None] == b[None])).mean() if len(a) and len(b) else np.nan
+
+    right = lambda rows: (y[rows] == (s[rows] > 0.5)).mean()
+    everything = np.arange(120)
+    for stat, got in ((area, it.area_interval(df, "y", "s", 4000).first()), (right, it.accuracy_interval(df, "y", "p", 4000).first())):
+        apart = np.array([stat(np.delete(everything, i)) for i in everything])
+        d = apart.mean() - apart
+        drawn = np.array([stat(rng.integers(0, 120, 120)) for _ in range(4000)])
+        low, high = it.bca(drawn, stat(everything), (d**3).sum() / (6 * (d**2).sum() ** 1.5))
+        assert abs(got.estimate - stat(everything)) < 1e-12 and abs(got.low - low) < 0.02 and abs(got.high - high) < 0.02 and got.n == 120
+    assert it.area_interval(df.filter("y = 1"), "y", "s", 100).first().estimate is None
+    assert it.area_interval(df.limit(0), "y", "s", 100).first().n == 0
+
+
+def test_densities_integrate_to_one(spark):
+    from quillspark.operators import intervals as it
+
+    rng = np.random.default_rng(9)
+    x = [*((g, float(v)) for g in ("a", None) for v in rng.normal(0, 2, 500)), ("one", 1.0), ("one", 1.0), ("a", None)]
+    got = it.kernel_density(spark.createDataFrame(x, "g string, x double"), "x", "g").toPandas()
+    assert set(got.g.fillna("-")) == {"a", "-"} and len(got) == 100
+    for _, own in got.groupby(got.g.fillna("-")):
+        own = own.sort_values("point")
+        assert abs(np.trapezoid(own.density, own.x) - 1) < 0.01
+
+
+def test_surest_rows_skip_unknown(spark):
+    from quillspark.operators import attribution as at
+
+    df = spark.createDataFrame([(1, 1, 1, 0.9), (2, 1, 1, 0.9), (3, 1, 0, 0.7), (4, None, 1, 1.0), (5, 0, None, 1.0), (6, 0, 0, None), (7, 1, 1, 0.2)], "id long, y int, p int, s double")
+    got = {(r.y, r.correct, r.id, r.place) for r in at.surest_rows(df, "y", "p", "s", "id", 2).collect()}
+    assert got == {(1, True, 1, 1), (1, True, 2, 2), (1, False, 3, 1)}
