@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tokens as tk
 from ..operators import attribution as at
 from ..operators import density as de
 from ..operators import intervals as it
 from ..operators import neighbours as ne
+from ..operators import subwords as sw
+from ..operators import topics as to
 from ..operators import vectors as ve
 from ..sources import files as fi
 from .registry import Tables, plan
@@ -105,3 +108,77 @@ def density_curves(spark, sf_dir):
     """Kernel densities of document lengths by language, the data of density and violin figures."""
     d = it.kernel_density(Tables(spark, sf_dir).documents, "n_chars", "lang")
     return d.select("lang", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+# --- sub-words ---
+
+#: A public byte-pair vocabulary; its place is a setting, the file is not part of this library.
+RANKS = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@plan("TK-G")
+def subword_tokens(spark, sf_dir):
+    """Sub-word tokens of every document, as their number and the digest of the ids."""
+    told = sw.subword_tokens(Tables(spark, sf_dir).documents, "doc_id", "text", RANKS)
+    ids = F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",")
+    return told.select("doc_id", "n_chars", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("tokens_sha256"))
+
+
+@plan("MT7 MT8 TK-G")
+def subword_surprisal(spark, sf_dir):
+    """Bits per sub-word token, and surprisal over strided windows, of every benchmark item by the counts of the others."""
+    return sw.surprisal(Tables(spark, sf_dir).benchmark, "item_id", "text", RANKS)
+
+
+@plan("MT7 MT8 TK-G")
+def subword_surprisal_documents(spark, sf_dir):
+    """The same of every document."""
+    return sw.surprisal(Tables(spark, sf_dir).documents, "doc_id", "text", RANKS)
+
+
+# --- topics ---
+
+
+def _topic_counts(spark, sf_dir):
+    """Clusters of the documents, and of each topic its terms' counts, written."""
+    d = Tables(spark, sf_dir).documents
+    placed = fi.materialize(to.text_clusters(d, tk.alnum(F.col("text")), "doc_id", 20))
+    each = d.select("doc_id", F.explode(to.terms(tk.alnum(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
+    held = fi.materialize(each.join(placed, "doc_id"))
+    return held, fi.materialize(held.groupBy("topic", "term").agg(F.sum("c").alias("c")))
+
+
+@plan("EM11 EM9 TK7")
+def topic_model(spark, sf_dir):
+    """Terms of one and two words of the documents' topics, near topics united, with the texts most typical of each."""
+    held, counts = _topic_counts(spark, sf_dir)
+    into = fi.materialize(to.merged_topics(counts, 0.9))
+    named = lambda df: df.join(F.broadcast(into), "topic").drop("topic").withColumnRenamed("into", "topic")  # noqa: E731  one row a topic
+    united = named(counts).groupBy("topic", "term").agg(F.sum("c").alias("c"))
+    weights = fi.materialize(to.topic_terms(united, min_df=2))
+    words = to.diverse_terms(weights).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("terms"))
+    texts = to.typical_texts(named(held), weights, "doc_id").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"]).alias("typical"))
+    sizes = named(held.select("doc_id", "topic").distinct()).groupBy("topic").agg(F.count("*").alias("n"))
+    return sizes.join(words, "topic", "left").join(texts, "topic", "left")
+
+
+_LANG_WORDS = r"""WITH RECURSIVE t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+  u AS (SELECT lang, unnest(w) AS token FROM t), c AS (SELECT lang, token, count(*) AS c FROM u GROUP BY ALL), l AS (SELECT lang, sum(c) AS n FROM c GROUP BY 1), f AS (SELECT token, sum(c) AS n FROM c GROUP BY 1),
+  s AS (SELECT lang, token, c / l.n::DOUBLE * ln((SELECT count(*) FROM documents) / f.n::DOUBLE) AS score FROM c JOIN l USING (lang) JOIN f USING (token)),
+  k AS (SELECT lang, token FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, token) <= 5)"""
+
+
+@plan("EM12 EM11", _LANG_WORDS + r""", o AS (SELECT doc_id, greatest(len(w) - 109, 1) AS m, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM t),
+  x AS (SELECT DISTINCT doc_id, token, unnest(range(greatest(p - 110, 0), least(p, m))) AS win FROM o WHERE token IN (SELECT token FROM k)),
+  g AS (SELECT sum(greatest(len(w) - 109, 1))::DOUBLE AS n FROM t), a AS (SELECT token, count(*) / (SELECT n FROM g) AS p FROM x GROUP BY 1),
+  j AS (SELECT y.token AS v, z.token AS w, count(*) / (SELECT n FROM g) AS p FROM x y JOIN x z ON y.doc_id = z.doc_id AND y.win = z.win GROUP BY ALL),
+  e AS (SELECT q.lang, q.token AS v, r.token AS w, ln((coalesce(j.p, 0) + 1e-12) / (pv.p * pw.p)) / -ln(coalesce(j.p, 0) + 1e-12) AS i FROM k q JOIN k r USING (lang)
+    LEFT JOIN j ON j.v = q.token AND j.w = r.token JOIN a pv ON pv.token = q.token JOIN a pw ON pw.token = r.token),
+  b AS (SELECT lang, w, sum(i) AS i FROM e GROUP BY ALL), h AS (SELECT lang, sqrt(sum(i * i)) AS n FROM b GROUP BY 1),
+  d AS (SELECT e.lang, e.v, sum(e.i * b.i) / (sqrt(sum(e.i * e.i)) * any_value(h.n)) AS cosine FROM e JOIN b USING (lang, w) JOIN h USING (lang) GROUP BY e.lang, e.v)
+  SELECT lang, round(avg(cosine), 6) AS coherence, CAST(count(*) AS INT) AS words FROM d GROUP BY 1""")
+def window_coherence(spark, sf_dir):
+    """Coherence of each language's leading words over sliding windows of 110 words."""
+    d = Tables(spark, sf_dir).documents
+    words = ve.class_tf_idf(d, tk.alnum(F.col("text")), "lang", "doc_id").select("lang", "token")
+    return to.window_coherence(d, tk.alnum(F.col("text")), words, "lang", "token").withColumn("coherence", F.round("coherence", 6))
