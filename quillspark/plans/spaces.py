@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import tokens as tk
 from ..operators import attribution as at
 from ..operators import density as de
+from ..operators import fuzzy as fu
 from ..operators import intervals as it
+from ..operators import layout as la
 from ..operators import neighbours as ne
 from ..operators import subwords as sw
 from ..operators import topics as to
@@ -182,3 +184,18 @@ def window_coherence(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     words = ve.class_tf_idf(d, tk.alnum(F.col("text")), "lang", "doc_id").select("lang", "token")
     return to.window_coherence(d, tk.alnum(F.col("text")), words, "lang", "token").withColumn("coherence", F.round("coherence", 6))
+
+
+# --- layouts and fuzzy pairs ---
+
+
+@plan("EM5")
+def umap_layout(spark, sf_dir):
+    """Every vector's place in a plane that keeps its fifteen nearest by cosine."""
+    return la.umap(Tables(spark, sf_dir).embeddings, "vec_id", "embedding", 2)
+
+
+@plan("JN9 JN11 SIM4")
+def indexed_fuzzy_match(spark, sf_dir):
+    """Pairs of parts of one brand whose names have a token-set ratio of 90 or more, only candidates scored; a test holds them against all pairs."""
+    return fu.similar_rows(Tables(spark, sf_dir).part, "p_partkey", ["p_brand"], "p_name", 90)

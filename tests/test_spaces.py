@@ -234,3 +234,73 @@ def test_surest_rows_skip_unknown(spark):
     df = spark.createDataFrame([(1, 1, 1, 0.9), (2, 1, 1, 0.9), (3, 1, 0, 0.7), (4, None, 1, 1.0), (5, 0, None, 1.0), (6, 0, 0, None), (7, 1, 1, 0.2)], "id long, y int, p int, s double")
     got = {(r.y, r.correct, r.id, r.place) for r in at.surest_rows(df, "y", "p", "s", "id", 2).collect()}
     assert got == {(1, True, 1, 1), (1, True, 2, 2), (1, False, 3, 1)}
+
+
+# --- layouts and fuzzy pairs ---
+
+
+def test_memberships_and_union(spark):
+    """Sums of a list are log2(k), the nearest is 1; a pair listed twice has a + b - ab, listed once a."""
+    from quillspark.operators import layout as la
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (40, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    lists = [(i, int(j), float(d[i, j])) for i in range(40) for j in np.argsort(d[i])[1:7]]
+    own = la.memberships(spark.createDataFrame(lists, "u long, v long, w double"), 6).toPandas()
+    assert np.allclose(own.groupby("u").w.sum(), np.log2(6), atol=1e-4) and np.allclose(own.groupby("u").w.max(), 1)
+    a = {(r.u, r.v): r.w for r in own.itertuples()}
+    got = {(r.u, r.v): r.w for r in la.fuzzy_graph(spark.createDataFrame(lists, "u long, v long, w double"), 6).collect()}
+    assert set(got) == {p for u, v in a for p in ((u, v), (v, u))}
+    for (u, v), w in got.items():
+        p, q = a.get((u, v), 0.0), a.get((v, u), 0.0)
+        assert abs(w - (p + q - p * q)) < 1e-9
+
+
+def test_curve_of_known_distances():
+    from quillspark.operators import layout as la
+
+    assert np.allclose(la.curve(0.1), (1.577, 0.895), atol=2e-3) and np.allclose(la.curve(0.0), (1.933, 0.790), atol=2e-3)
+
+
+def test_layout_keeps_groups_together(spark):
+    from quillspark.operators import layout as la
+
+    rng = np.random.default_rng(0)
+    label = rng.integers(0, 6, 150)
+    x = rng.normal(0, 1, (6, 12))[label] + rng.normal(0, 0.2, (150, 12))
+    got = la.umap(frame(spark, [*x.astype(np.float32), None, np.zeros(12)]), "id", "v", 2, 8, rounds=6).toPandas().sort_values("id")
+    y = got[["y0", "y1"]].to_numpy()
+    d = ((y[:, None] - y[None]) ** 2).sum(-1) + 1e9 * np.eye(150)
+    assert len(got) == 150 and (label[np.argsort(d, 1)[:, :5]] == label[:, None]).mean() > 0.9
+    assert la.umap(frame(spark, [None]), "id", "v").count() == 0
+
+
+def test_fuzzy_pairs_are_those_of_all_pairs(spark):
+    """Typos, own words, subsets, repeated and empty texts; blocks apart; at scores high and low."""
+    import random
+
+    from quillspark.functions.similarity import token_set_ratio
+    from quillspark.operators import fuzzy as fu
+
+    rng = random.Random(3)
+    words = ["almond", "antique", "aquamarine", "azure", "beige", "bisque", "black", "red", "green", "it", "a"]
+    rows = []
+    for i in range(140):
+        text = list(" ".join(rng.choices(words, k=rng.randint(0, 6))))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            if text:
+                at = rng.randrange(len(text))
+                text[at : at + 1] = rng.choice(["", "x", " ", "ab"])
+        rows.append((i, rng.choice(["p", "q"]), "".join(text)))
+    rows += [(200, "p", None), (201, None, "red"), (202, "p", "red  green"), (203, "p", "red  green"), (204, "p", "ab"), (205, "p", "ba")]
+    df = spark.createDataFrame(rows, "id long, brand string, name string")
+    for least in (90, 75, 40):
+        want = set()
+        for i, (k, b, x) in enumerate(rows):
+            for l, c, y in rows[i + 1 :]:
+                if b is not None and b == c and x is not None and y is not None and x.split() and y.split():
+                    score = int(token_set_ratio(x, y) + 0.5)
+                    if score >= least:
+                        want.add((k, l, score))
+        assert {tuple(r) for r in fu.similar_rows(df, "id", ["brand"], "name", least).collect()} == want
