@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import materialize
+from .windows import exact_quantiles
+
 
 def describe(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles (linear) and max of each group."""
-    q = F.expr(f"percentile(`{value}`, array(0.25, 0.5, 0.75))")
-    out = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"),
-        q.alias("__q"), F.max(value).alias("high"),
-    )
-    return out.withColumns({"q25": F.col("__q")[0], "q50": F.col("__q")[1], "q75": F.col("__q")[2]}).drop("__q")
+    """count, mean, sample deviation, min, quartiles (linear) and max of each group; no task holds a group's values."""
+    held = materialize(df.select(*by, value))  # read twice
+    sums = held.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    quartiles = exact_quantiles(held, value, by, (0.25, 0.5, 0.75), "__q").withColumnsRenamed({c: f"__{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    out = sums.join(quartiles, same, "left") if by else sums.join(quartiles, how="left")
+    return out.withColumns({"q25": F.col("__q")[0], "q50": F.col("__q")[1], "q75": F.col("__q")[2]}).select(*by, "n", "mean", "std", "low", "high", "q25", "q50", "q75")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

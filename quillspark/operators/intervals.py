@@ -87,38 +87,66 @@ def area_interval(df: DataFrame, label: str, score: str, replicates: int = 9999,
     power = lambda k: F.sum(F.col("a") * F.pow(middle - F.col("x"), F.lit(k)) + F.col("b") * F.pow(middle - F.col("y"), F.lit(k)))
     acceleration = _acceleration(*map(float, left.agg(power(2), power(3)).first()))
 
+    values = np.array([r[0] for r in replicated_areas(cells.withColumn("g", F.lit(0)), ["g"], replicates, seed).select("area").collect()])
+    low, high = bca(values, estimate, acceleration, level)
+    return spark.createDataFrame([(int(n1 + n0), estimate, low, high)], schema)
+
+
+def replicated_areas(cells: DataFrame, by: list[str], replicates: int, seed: int = 42) -> DataFrame:
+    """(by, area): the ROC area of each replicate of each group, from cells (by, s: score, a and b: rows of either class)."""
+    kinds = [(c, cells.schema[c].dataType.simpleString()) for c in by]
+    blocks = range(0, replicates, BLOCK)
+
     def draw(batches):
-        part, sums, seen = TaskContext.get().partitionId(), None, np.zeros(replicates)
+        part, group, sums = TaskContext.get().partitionId(), None, None
         rng = np.random.default_rng((seed, part))
+
+        def out():
+            columns = dict(zip(by, ([x] * len(blocks) for x in group)))
+            lists = {n: [x[r : r + BLOCK] for r in blocks] for n, x in zip(("p", "n", "u"), sums)}
+            return pd.DataFrame(columns | {"block": [r // BLOCK for r in blocks], "part": part} | lists)
+
         for frame in batches:
-            for k in range(0, len(frame), CELLS):
-                a, b = frame["a"].to_numpy()[k : k + CELLS], frame["b"].to_numpy()[k : k + CELLS]
-                if sums is None:
-                    sums = np.zeros((2, replicates))
-                for r in range(0, replicates, BLOCK):
-                    own = slice(r, min(r + BLOCK, replicates))
-                    wa = rng.poisson(np.repeat(a[:, None], own.stop - own.start, 1)).astype(float)
-                    wb = rng.poisson(np.repeat(b[:, None], own.stop - own.start, 1)).astype(float)
-                    before = seen[own] + np.cumsum(wb, 0) - wb / 2
-                    sums[0, own] += wa.sum(0)
-                    sums[1, own] += (wa * before).sum(0)
-                    seen[own] += wb.sum(0)
+            names = list(zip(*[frame[c] for c in by]))
+            starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+            for start, stop in zip(starts, [*starts[1:], len(names)]):
+                if sums is None or names[start] != group:
+                    if sums is not None:
+                        yield out()
+                    group, sums = names[start], np.zeros((3, replicates))
+                for k in range(start, stop, CELLS):
+                    a, b = frame["a"].to_numpy()[k : min(k + CELLS, stop)], frame["b"].to_numpy()[k : min(k + CELLS, stop)]
+                    for r in blocks:
+                        own = slice(r, min(r + BLOCK, replicates))
+                        wa = rng.poisson(np.repeat(a[:, None], own.stop - own.start, 1)).astype(float)
+                        wb = rng.poisson(np.repeat(b[:, None], own.stop - own.start, 1)).astype(float)
+                        sums[2, own] += (wa * (sums[1, own] + np.cumsum(wb, 0) - wb / 2)).sum(0)
+                        sums[0, own] += wa.sum(0)
+                        sums[1, own] += wb.sum(0)
         if sums is not None:
-            blocks = range(0, replicates, BLOCK)
-            yield pd.DataFrame({"block": [r // BLOCK for r in blocks], "part": part, "a": [sums[0, r : r + BLOCK] for r in blocks], "b": [seen[r : r + BLOCK] for r in blocks], "u": [sums[1, r : r + BLOCK] for r in blocks]})
+            yield out()
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        a = b = u = 0.0
+        p = n = u = 0.0
         for r in rows.sort_values("part").itertuples():
-            u = u + r.u + r.a * b
-            a, b = a + r.a, b + r.b
+            u = u + r.u + r.p * n
+            p, n = p + r.p, n + r.n
         with np.errstate(invalid="ignore", divide="ignore"):
-            return pd.DataFrame({"value": u / (a * b)})
+            return pd.DataFrame({"area": u / (p * n)}).assign(**{c: rows[c].iloc[0] for c in by})[[*by, "area"]]
 
-    drawn = cells.repartitionByRange("s").sortWithinPartitions("s").select("a", "b").mapInPandas(draw, "block int, part int, a array<double>, b array<double>, u array<double>")
-    values = np.array([r[0] for r in drawn.groupBy("block").applyInPandas(join, "value double").collect()])
-    low, high = bca(values, estimate, acceleration, level)
-    return spark.createDataFrame([(int(n1 + n0), estimate, low, high)], schema)
+    named = ", ".join(f"`{c}` {kind}" for c, kind in kinds)
+    drawn = cells.repartitionByRange(*by, "s").sortWithinPartitions(*by, "s").select(*by, "a", "b").mapInPandas(draw, f"{named}, block int, part int, p array<double>, n array<double>, u array<double>")
+    return drawn.groupBy(*by, "block").applyInPandas(join, f"{named}, area double")
+
+
+def delta_interval(df: DataFrame, value: str, side: str, by: list[str], replicates: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, low, high: the percentile interval of Cliff's delta of side 1 against side 2; null without both sides."""
+    cells = df.filter(F.col(value).isNotNull() & F.col(side).isin(1, 2)).groupBy(*by, F.col(value).cast("double").alias("s"))
+    cells = cells.agg(F.count_if(F.col(side) == 1).alias("a"), F.count_if(F.col(side) == 2).alias("b"))
+    areas = replicated_areas(cells, list(by), replicates, seed)
+    tail = (1 - level) / 2
+    q = areas.groupBy(*by).agg(F.percentile(F.when(~F.isnan("area"), 2 * F.col("area") - 1), [tail, 1 - tail]).alias("q"))  # one value a replicate
+    return q.select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def kernel_density(df: DataFrame, value: str, by: str, points: int = 50, bins: int = 400, reach: float = 3.0) -> DataFrame:

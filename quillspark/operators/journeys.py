@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import cosine, squared_distance
-from .windows import shared_hash
+from ..sources.files import materialize
+from .windows import exact_quantiles, shared_hash
 
 
 #: Words whose distances to all words before are held at once.
@@ -234,8 +235,9 @@ def quarter_means(steps: DataFrame, key: str, value: str) -> DataFrame:
 
 def archetypes(quarters: DataFrame) -> DataFrame:
     """Quadrant of each series about the medians of start and finish; ties belong to none."""
-    med = quarters.agg(F.expr("percentile(start, 0.5)").alias("ms"), F.expr("percentile(finish, 0.5)").alias("mf"))
-    j = quarters.join(F.broadcast(med))
+    j = quarters = materialize(quarters)
+    for column, name in (("start", "ms"), ("finish", "mf")):
+        j = j.join(F.broadcast(exact_quantiles(quarters, column, [], (0.5,), "__q").select(F.col("__q")[0].alias(name))), how="left")  # one row
     s, f = F.col("start"), F.col("finish")
     kind = (
         F.when((s < F.col("ms")) & (f > F.col("mf")), "crescendo").when((s > F.col("ms")) & (f < F.col("mf")), "diminuendo")

@@ -14,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import shared_hash, stratified_folds, stratified_split
+from .windows import shared_hash, stratified_folds, stratified_split, upto
 
 
 def class_frame(metrics: DataFrame, key: str, positive: Sequence[str], negative: Sequence[str], excluded: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -124,8 +124,8 @@ def quality(scored: DataFrame) -> DataFrame:
     """n, auc, accuracy and macro_f1 of (label, score, predicted) in one row; the area is U over the pairs, from counts of distinct scores."""
     ones, zeros = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
     cells = scored.groupBy("score").agg(ones.alias("a"), zeros.alias("b"), F.count_if((F.col("label") == 1) & (F.col("predicted") == 1)).alias("tp"), F.count_if((F.col("label") == 0) & (F.col("predicted") == 1)).alias("fp"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = cells.withColumn("u", F.col("a") * (below + F.col("b") / 2)).agg(*[F.sum(c).cast("double").alias(c) for c in ("a", "b", "tp", "fp", "u")])
+    summed = upto(cells, [], ["score"], "upto", value="b")
+    s = summed.withColumn("u", F.col("a") * (F.col("upto") - F.col("b") / 2)).agg(*[F.sum(c).cast("double").alias(c) for c in ("a", "b", "tp", "fp", "u")])
     f1 = 2 * F.col("tp") / (F.col("a") + F.col("tp") + F.col("fp"))
     tn, fn = F.col("b") - F.col("fp"), F.col("a") - F.col("tp")
     f0 = 2 * tn / (F.col("b") + tn + fn)

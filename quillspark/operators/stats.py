@@ -1,4 +1,4 @@
-"""Group comparison by ranks, correlations, bootstrap intervals; every family is one grouped plan."""
+"""Group comparison by ranks, correlations, classifier quality; every family is one grouped plan."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .windows import average_ranks, shared_hash
+from .windows import average_ranks, upto
 
 
 @F.pandas_udf(T.DoubleType())
@@ -40,9 +40,8 @@ def mann_whitney(df: DataFrame, value: str, side: str, by: Sequence[str], altern
     """
     clean = df.filter(F.col(value).isNotNull() & F.col(side).isin(1, 2))
     cells = clean.groupBy(*by, value).agg(F.count_if(F.col(side) == 1).alias("a"), F.count_if(F.col(side) == 2).alias("b"))
-    before = F.sum(F.col("a") + F.col("b")).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     t = F.col("a") + F.col("b")
-    ranked = cells.withColumn("rank", before - (t - 1) / 2)
+    ranked = upto(cells.withColumn("both", t), by, [value], "upto", value="both").withColumn("rank", F.col("upto") - (t - 1) / 2)
     s = ranked.groupBy(*by).agg(
         F.sum("a").alias("n1"), F.sum("b").alias("n2"), (F.sum(F.col("a") * F.col(value)) / F.sum("a")).alias("mean1"),
         (F.sum(F.col("b") * F.col(value)) / F.sum("b")).alias("mean2"), F.sum(F.col("a") * F.col("rank")).alias("r1"),
@@ -93,35 +92,6 @@ def correlations(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
     return df.groupBy(*by).agg(F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 
 
-def poisson_weight(key: Column) -> Column:
-    """A Poisson(1) draw from the shared hash of a key."""
-    u = (shared_hash(key) + 1) / F.lit(4294967297.0)
-    # Cumulative probabilities of 0 to 6 events at rate 1.
-    cuts, p, total = [], math.exp(-1), 0.0
-    for k in range(7):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    out = F.lit(7)
-    for k in reversed(range(7)):
-        out = F.when(u <= cuts[k], k).otherwise(out)
-    return out
-
-
-def bootstrap_delta(df: DataFrame, value: str, side: str, key: str, by: Sequence[str], replicates: int = 200, level: float = 0.95) -> DataFrame:
-    """Percentile interval of Cliff's delta: each replicate weighs the rows by Poisson draws from a hash."""
-    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    drawn = df.filter(F.col(value).isNotNull()).withColumn("__rep", rep)
-    drawn = drawn.withColumn("__w", poisson_weight(F.concat_ws("#", F.col(key).cast("string"), F.col("__rep").cast("string")))).filter("__w > 0")
-    cells = drawn.groupBy(*by, "__rep", value).agg(F.sum(F.when(F.col(side) == 1, F.col("__w")).otherwise(0)).alias("a"), F.sum(F.when(F.col(side) == 2, F.col("__w")).otherwise(0)).alias("b"))
-    below = F.sum("b").over(Window.partitionBy(*by, "__rep").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")
-    wins = cells.withColumn("__win", F.col("a") * (below + F.col("b") / 2))
-    each = wins.groupBy(*by, "__rep").agg((2 * F.sum("__win") / (F.sum("a") * F.sum("b")) - 1).alias("delta"))
-    tail = (1 - level) / 2
-    q = each.groupBy(*by).agg(F.expr(f"percentile(delta, array({tail}, {1 - tail}))").alias("q"))
-    return q.select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-
-
 def binary_quality(df: DataFrame, label: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision and recall of class 1, macro F1."""
     is_ = lambda l, p: F.count_if((F.col(label) == l) & (F.col(predicted) == p)).cast("double")
@@ -137,9 +107,9 @@ def binary_quality(df: DataFrame, label: str, predicted: str, by: Sequence[str]
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """True and false positive rates at each distinct score, from the highest."""
     cells = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return cells.select(*by, score, (F.sum("p").over(down) / F.sum("p").over(w)).alias("tpr"), (F.sum("n").over(down) / F.sum("n").over(w)).alias("fpr"))
+    summed = upto(upto(cells, by, [score], "__p", value="p", total="__all_p"), by, [score], "__n", value="n", total="__all_n")
+    rate = lambda c: F.try_divide(F.col(f"__all_{c}") - F.col(f"__{c}") + F.col(c), F.col(f"__all_{c}"))  # noqa: E731  from the score up
+    return summed.select(*by, score, rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:

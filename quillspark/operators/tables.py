@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .windows import exact_quantiles
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Upper-case names, missing columns as null, columns in the order of ``schema``."""
@@ -65,8 +67,9 @@ def longest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls become the exact median of their column over the whole table."""
-    medians = df.agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(f"__m_{c}") for c in columns])
-    filled = df.join(F.broadcast(medians))  # one row
+    filled = df
+    for c in columns:
+        filled = filled.join(F.broadcast(exact_quantiles(df, c, [], (0.5,), "__q").select(F.col("__q")[0].alias(f"__m_{c}"))), how="left")  # one row, or none
     return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}).drop(*[f"__m_{c}" for c in columns])
 
 
@@ -106,7 +109,7 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def tukey_fence(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """Rows with columns low, high and inside: the fences from exact quartiles of each group."""
-    q = df.groupBy(*by).agg(F.expr(f"percentile(`{value}`, array(0.25, 0.75))").alias("__q"))
+    q = exact_quantiles(df, value, by, (0.25, 0.75), "__q")
     low, high = F.col("__q")[0], F.col("__q")[1]
     joined = df.join(q, list(by)) if by else df.join(F.broadcast(q))
     out = joined.withColumns({"low": low - k * (high - low), "high": high + k * (high - low)}).drop("__q")

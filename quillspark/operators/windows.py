@@ -15,10 +15,10 @@ def rolling_mean(df: DataFrame, value: str, order: Sequence[str | Column], size:
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Ranks from 1, ties share their mean: from counts of distinct values, so a family of any size needs one row per value."""
+    """Ranks from 1, ties share their mean: running sums of the counts of distinct values, over ranges of them."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(*by, value, (upto - (F.col("__n") - 1) / 2).alias(out))
+    summed = upto(counts, by, [value], "__upto", value="__n")
+    ranks = summed.select(*by, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 
@@ -93,6 +93,24 @@ def upto(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, value
     return joined.select(*df.columns, out, *([total] if total else []))
 
 
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float], out: str = "quantiles") -> DataFrame:
+    """by and an array of the linear quantiles of each group, exactly, nulls left out; distinct values lie in ranges, so no task holds a group's."""
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    placed = upto(cells, by, ["__v"], "__upto", value="__n", total="__all")
+    before, found = F.col("__upto") - F.col("__n"), []
+    for k, share in enumerate(shares):
+        place = (F.col("__all") - 1) * float(share)
+        for name, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found.append(F.max(F.when((before <= at) & (at < F.col("__upto")), F.col("__v"))).cast("double").alias(f"__{name}{k}"))
+    ends = placed.groupBy(*by).agg(F.max("__all").alias("__all"), *found)
+
+    def between(k: int, share: float) -> Column:
+        place, low, high = (F.col("__all") - 1) * float(share), F.col(f"__low{k}"), F.col(f"__high{k}")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return ends.select(*by, F.array(*[between(k, s) for k, s in enumerate(shares)]).alias(out))
+
+
 def shared_hash(column: str | Column, seed: int = 42) -> Column:
     """A 32-bit hash that other engines give too: the first 8 hex digits of md5(id|seed)."""
     c = F.col(column) if isinstance(column, str) else column

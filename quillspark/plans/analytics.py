@@ -14,6 +14,7 @@ from ..operators import matching as ma
 from ..operators import stats as st
 from ..operators import vectors as ve
 from ..operators import windows as wn
+from ..operators.intervals import delta_interval
 from ..sources import files as fi
 from .registry import PLANS, Tables, plan
 from .relational import h_sql
@@ -95,7 +96,7 @@ def cliffs_delta(spark, sf_dir):
 @plan("SI3")
 def bootstrap_interval(spark, sf_dir):
     d = _labelled(spark, sf_dir).withColumn("all", F.lit(1))
-    return st.bootstrap_delta(d, "n_chars", "side", "doc_id", ["all"], replicates=200).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return delta_interval(d, "n_chars", "side", ["all"], replicates=2000).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @plan("SI6 WN2", """WITH r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2 AS a,

@@ -304,3 +304,24 @@ def test_fuzzy_pairs_are_those_of_all_pairs(spark):
                     if score >= least:
                         want.add((k, l, score))
         assert {tuple(r) for r in fu.similar_rows(df, "id", ["brand"], "name", least).collect()} == want
+
+
+def test_quantiles_are_linear_and_exact(spark):
+    from quillspark.operators.windows import exact_quantiles
+
+    rng = np.random.default_rng(10)
+    rows = [(g, float(v)) for g in ("a", None) for v in np.round(rng.normal(0, 3, 101), 1)] + [("one", 5.0), ("a", None), ("none", None)]
+    got = {r.g: r.q for r in exact_quantiles(spark.createDataFrame(rows, "g string, x double"), "x", ["g"], (0, 0.25, 0.5, 0.9, 1), "q").collect()}
+    for g in ("a", None, "one"):
+        assert np.allclose(got[g], np.quantile([v for h, v in rows if h == g and v is not None], (0, 0.25, 0.5, 0.9, 1)))
+    assert "none" not in got
+
+
+def test_delta_interval_by_group(spark):
+    """Each group's replicates are its own, wherever its values lie; one side alone has no interval."""
+    from quillspark.operators.intervals import delta_interval
+
+    rng = np.random.default_rng(11)
+    rows = [(g, float(v) + shift * (s == 1), s) for g, shift in (("near", 0.0), ("far", 9.0)) for s in (1, 2) for v in rng.normal(0, 1, 60)] + [("alone", 1.0, 1)]
+    got = {r.g: r for r in delta_interval(spark.createDataFrame(rows, "g string, x double, side int"), "x", "side", ["g"], 500).collect()}
+    assert got["near"].low < 0 < got["near"].high and got["far"].low > 0.99 and got["alone"].low is None
