@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
 The page becomes a DOM tree (end tags that HTML lets one omit are supplied);
-scripts, styles, forms and hidden elements hold no article text and go. Every node
-gets its composite density, characters per tag adjusted by the shares of link
+scripts, styles, fields, buttons and hidden elements hold no article text and go, and forms that
+do not hold the subtree of largest density sum. Every node gets its composite density, characters per tag adjusted by the shares of link
 characters and link tags, and the sum of its parts' densities. The subtree with
 the largest sum is selected. The least density on the way from it up to the body
 is the threshold: beside that way, text blocks, and containers of several blocks,
@@ -10,8 +10,9 @@ which reach it and are not mostly links join the selection, and headings do.
 
 Labels help, but do not choose. Menus and reader comments, named by element, role
 or class, are taken out. What is named a footer, sidebar, notice, advert or the like
-goes only if it is short, mostly links, or less dense than the rest of the page, so
-an article in a wrongly named container stays. A class counts if each of its parts is
+goes, however long it is, if it is mostly links or less dense than the rest of the page, or if that rest
+has prose, a block with a sentence's end that is not mostly links; unless it alone holds an article, main or first heading.
+So an article in a wrongly named container stays. A class counts if each of its parts is
 a name of such a thing or of a place (``site-footer``, not ``content-with-sidebar``).
 A header goes with the page's, and stays inside the selected subtree.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 REMOVED = frozenset(
-    "script style noscript template head iframe object embed svg canvas audio video form button select textarea input option dialog".split()
+    "script style noscript template head iframe object embed svg canvas audio video button select textarea input option dialog".split()
 )
 #: Elements whose own text joins the article; other containers join by the blocks in them.
 TEXT_TAGS = frozenset("#text p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
@@ -55,7 +57,7 @@ PLACE_WORDS = frozenset(
     "left right top bottom main primary secondary site page global sticky fixed side box block bar panel slot unit area zone wrap wrapper container inner outer "
     "section list item items link links button buttons form thread reader user posts articles stories bottom".split()
 )
-SHORT = 400
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f]")
 #: What ends when an element of the first kind begins: the nearest open element of the second, not beyond the third.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -84,15 +86,23 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
+        self.open = Counter()  # open elements by tag: an end tag without one costs no walk
 
     def _pop(self, names, barrier=()) -> None:
+        if not any(self.open[n] for n in names):
+            return
         node = self.at
         while node is not self.root and node.tag not in barrier:
             if node.tag in names:
-                self.at = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
+    def _leave(self, node: Node) -> None:
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
@@ -104,11 +114,12 @@ class TreeBuilder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("script", "style", "iframe", "svg") and self.at.tag == tag:
-            self.at = self.at.parent
+            self._leave(self.at)
 
     def handle_endtag(self, tag):
         if tag in VOID or tag == "html":
@@ -237,8 +248,27 @@ def _link_heavy(node: Node) -> bool:
     return 3 * node.link_chars > node.chars
 
 
+def idle_forms(body: Node) -> set[Node]:
+    """Forms that do not hold the subtree with the largest density sum."""
+    order = measure(body)
+    forms = {n for n in order if n.tag == "form"}
+    if forms:
+        node = max((n for n in order if n.block or n is body), key=lambda n: n.total)
+        while node is not body:
+            forms.discard(node)
+            node = node.parent
+    return forms
+
+
+def _prose(node: Node) -> bool:
+    """A block without blocks in it that ends a sentence and is no heading and not mostly links."""
+    if not node.block or not node.chars or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or _link_heavy(node) or any(c.block for c in node.nodes()):
+        return False
+    return any(isinstance(c, str) and SENTENCE_END.search(c) for n in parents_first(node) for c in n.children)
+
+
 def vetoed(body: Node) -> set[Node]:
-    """Nodes to take out by their labels: menus and comments always, others if short, mostly links or less dense than the rest."""
+    """Nodes to take out by their labels: menus and comments always, others if mostly links, less dense than the rest, or beside prose that nothing labels."""
     order, labels, free = measure(body), {}, {body}
     for node in order:
         for c in node.nodes():
@@ -247,12 +277,17 @@ def vetoed(body: Node) -> set[Node]:
             elif node in free:
                 free.add(c)
     bare = {n: sum(c.density for c in n.nodes() if c.block and c in free) or (0.0 if any(c in labels for c in n.nodes()) else n.density) for n in order if n in free and n.block}
-    rest = max(bare.values(), default=0.0)
+    rest, prose = max(bare.values(), default=0.0), any(_prose(n) for n in order if n in free)
+    marks = ("article", "main", "h1")
+    marked = any(n.tag in marks for n in free)
     out = set()
     for node, kind in labels.items():
-        if kind in ("menu", "comments") or kind == "part" and (
-            node.chars <= SHORT or _link_heavy(node) or max(n.total for n in parents_first(node)) <= rest
-        ):
+        if kind == "part":
+            inside = parents_first(node)
+            alone = not marked and any(n.tag in marks for n in inside)
+            if _link_heavy(node) or not alone and (prose or max(n.total for n in inside) <= rest):
+                out.add(node)
+        elif kind in ("menu", "comments"):
             out.add(node)
     return out
 
@@ -323,13 +358,14 @@ def main_text(html: str | None) -> str:
     body = next((n for n in root.nodes() if n.tag == "body"), root)
     remove(body, _never_text)
     wrap_runs(body)
+    remove(body, idle_forms(body).__contains__)
     named = vetoed(body)
     remove(body, named.__contains__)
     chosen = select(body)
     for part in chosen:
         # A header belongs to the page if the page was chosen as a whole, else to what was chosen.
         if part is body:
-            remove(body, lambda n: n.parent is body and label(n) == "header" and (n.chars <= SHORT or _link_heavy(n)))
+            remove(body, lambda n: n.parent is body and label(n) == "header")
     return "\n".join(b for part in chosen for b in blocks_of(part))
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -598,6 +599,33 @@ def test_html_density_chooses(body):
     assert ("Head" in got) == ("<h1>Head" in body) and ("T" in got) == ("<h1>T" in body)
 
 
+LEGAL = "All rights reserved worldwide, and nothing on this page may be used, copied or sent on. " * 25
+SENTENCE = "A short article says what it has to say in one paragraph, and then it ends without further words."
+
+
+@pytest.mark.parametrize("named", ["footer", 'div class="site-footer"', 'div id="cookie-notice"', "aside", 'div class="sidebar"', "header", 'div role="contentinfo"'])
+@pytest.mark.parametrize("first", [True, False])
+def test_html_long_parts_go(named, first):
+    """However much longer and denser than the article they are."""
+    part = f"<{named}><p>{LEGAL}</p></{named.split()[0]}>"
+    article = f"<div><h1>Head</h1><p>{SENTENCE}</p><p>{SENTENCE}</p></div>"
+    got = html_ctd.main_text(f"<body>{part if first else article}{article if first else part}</body>")
+    assert got == f"Head\n{SENTENCE}\n{SENTENCE}"
+
+
+def test_html_page_in_a_form():
+    page = f'<body><form action="x"><input type=hidden><nav><a href=a>Home</a></nav><div><h1>Head</h1>{PROSE}{PROSE}</div><button>Go</button><footer>end.</footer></form></body>'
+    text = " ".join(re.sub("<.?p>", "", PROSE).split())
+    assert html_ctd.main_text(page) == f"Head\n{text}\n{text}"
+
+
+def test_html_stray_end_tags_cost_nothing():
+    n = 20_000
+    start = time.perf_counter()
+    assert html_ctd.main_text("<div>" * 2000 + "</span>" * n + "deep") == "deep"
+    assert time.perf_counter() - start < 3
+
+
 def test_composite_density_is_brute_force():
     """Counts and densities of every node of random trees against counting its markup anew."""
     rng = random.Random(4)
