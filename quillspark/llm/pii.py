@@ -214,7 +214,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     for kind, a, b in sorted(detect(r.text)) if r else ():
         if r.touched(a, b):
             a, b = r.source(a, False), r.source(b, True)
-            if not any(k == kind and x < b and a < y for k, x, y in base + more[-1:]):
+            # A disguised one may be wider than what the bare text shows of it; it is added beside that.
+            if not any(k == kind and x <= a and b <= y for k, x, y in base) and not any(k == kind and x < b and a < y for k, x, y in more[-1:]):
                 more.append((kind, a, b))
     return base, more
 
