@@ -132,16 +132,32 @@ def match_spans(text: Column, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, rule.pattern), lambda x: F.length(x).cast("long"))
     sizes = F.transform(hits, lambda x: F.length(x).cast("long"))
     walked = F.zip_with(gaps, F.zip_with(sizes, F.transform(fit, F.length), lambda s, f: F.struct(s.alias("size"), f.alias("fit"))), lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    none = F.expr("named_struct('at', 0L, 'out', CAST(array() AS array<struct<start:bigint,end:bigint,kind:string>>))")
+    out = "CAST(array() AS array<struct<start:bigint,end:bigint,kind:string>>)"
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.coalesce(x["m"]["size"], F.lit(0).cast("long"))
         own = F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        out = F.when(x["m"]["fit"] >= rule.least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        return F.struct(end.alias("at"), F.when(x["m"]["fit"] >= rule.least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(walked, none, step, lambda acc: acc["out"])
+    def spans(block: Column, before: Column) -> Column:
+        return F.aggregate(block, F.struct(before.alias("at"), F.expr(out).alias("out")), step, lambda acc: acc["out"])
+
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + F.coalesce(x["m"]["size"], F.lit(0).cast("long")))
+
+    def whole(steps: Column) -> Column:
+        """Block by block of about the root of the matches, so that no long array is copied for each match."""
+        size = F.ceil(F.sqrt(F.size(steps).cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(steps), size), lambda i: F.slice(steps, i, size))
+        return _let(blocks, lambda held: _let(F.aggregate(F.transform(held, length), F.array(F.lit(0).cast("long")), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))), lambda before: F.flatten(F.zip_with(held, F.slice(before, 1, F.size(held)), spans))))
+
+    return _let(walked, whole)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a variable of a lambda, where a column would be computed at each use."""
+    return F.transform(F.array(value), body)[0]
 
 
 EMPTY = "CAST(array() AS array<struct<start:bigint,end:bigint,kind:string>>)"
