@@ -26,6 +26,8 @@ from .common import bounded_sample
 UNKNOWN = "und"
 LETTERS = 128
 CHUNK = 2_000_000
+#: Trigram vectors that are kept, and that are bound and added at a time.
+KEPT, BLOCK = 65_536, 4096
 #: Random letters have cosines of 0.03 to 0.10 with the nearest of four prototypes, 0.12 in one of a hundred; of 10,000 documents with
 #: FEW trigrams or more none has under 0.128.
 LEAST, FEW = 0.12, 24
@@ -48,7 +50,7 @@ def letter_codes() -> np.ndarray:
 
 
 class TrigramSpace:
-    """Trigram vectors, made when first met and kept."""
+    """Trigram vectors, bound when they are met; those met first are kept, the others of a text are bound block by block."""
 
     def __init__(self, dim: int = 1024, seed: int = 7):
         self.dim = dim
@@ -57,47 +59,62 @@ class TrigramSpace:
         self.vectors = np.empty((0, dim), np.int8)
         self.size = 0
 
-    def rows(self, trigrams: np.ndarray) -> np.ndarray:
-        out = self.row[trigrams]
-        if (out < 0).any():
-            new = np.unique(trigrams[out < 0])
-            a, b, c = new // LETTERS**2, new // LETTERS % LETTERS, new % LETTERS
-            made = np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
+    def bound(self, trigrams: np.ndarray) -> np.ndarray:
+        a, b, c = trigrams // LETTERS**2, trigrams // LETTERS % LETTERS, trigrams % LETTERS
+        return np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
+
+    def keep(self, trigrams: np.ndarray) -> None:
+        """Keeps the vectors of different trigrams, while there is room."""
+        new = trigrams[self.row[trigrams] < 0][: KEPT - self.size]
+        if len(new):
             if self.size + len(new) > len(self.vectors):
-                grown = np.empty((max(4096, 2 * len(self.vectors), self.size + len(new)), self.dim), np.int8)
+                grown = np.empty((min(KEPT, max(4096, 2 * len(self.vectors), self.size + len(new))), self.dim), np.int8)
                 grown[: self.size] = self.vectors[: self.size]
                 self.vectors = grown
-            self.vectors[self.size : self.size + len(new)] = made
+            self.vectors[self.size : self.size + len(new)] = self.bound(new)
             self.row[new] = np.arange(self.size, self.size + len(new))
             self.size += len(new)
-            out = self.row[trigrams]
-        return out
-
-    def counts(self, text: str | None):
-        """(trigram rows, counts) of each slice of a text that has letters."""
-        codes = letter_codes()
-        for at in range(0, len(text or ""), CHUNK):
-            part = text[at : at + CHUNK + 2].lower()
-            c = codes[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            if not c.any():
-                continue
-            c = np.concatenate((np.zeros(1, np.uint8), c, np.zeros(1, np.uint8)))
+
+    def blocks(self, trigrams: np.ndarray):
+        """(slice, vectors) over blocks of different trigrams."""
+        self.keep(trigrams)
+        for at in range(0, len(trigrams), BLOCK):
+            part = trigrams[at : at + BLOCK]
+            rows = self.row[part]
+            yield slice(at, at + BLOCK), self.vectors[rows] if (rows >= 0).all() else self.bound(part)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The different trigrams of a whole text and their counts: runs of other characters count as one, so do the text's ends.
+
+        Long texts are read in slices that hand their last two letters on.
+        """
+        codes, carry, total, found = letter_codes(), np.zeros(1, np.uint8), None, []
+        text = text or ""
+        for at in range(0, len(text), CHUNK):
+            part = codes[np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+            last = [np.zeros(1, np.uint8)] if at + CHUNK >= len(text) else []
+            c = np.concatenate((carry, part, *last))
             keep = np.ones(len(c), bool)
             keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-            c = c[keep].astype(np.int32)
+            c = c[keep]
+            carry, c = c[-2:], c.astype(np.int32)
             if len(c) >= 3:
-                counts = np.bincount(self.rows((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:]))
-                seen = np.flatnonzero(counts)
-                yield seen, counts[seen].astype(np.float32)
+                found = (c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:]
+                if len(text) > CHUNK:
+                    total = np.bincount(found, minlength=LETTERS**3) + (0 if total is None else total)
+        if total is None:
+            return np.unique(np.asarray(found, np.int64), return_counts=True)
+        seen = np.flatnonzero(total)
+        return seen, total[seen]
 
     def document(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a whole text; None if it has no letter."""
-        total = None
-        for seen, counts in self.counts(text):
-            v = counts @ self.vectors[seen].astype(np.float32)
-            total = v if total is None else total + v
-        if total is None:
+        trigrams, counts = self.counts(text)
+        if not len(trigrams):
             return None
+        total = np.zeros(self.dim, np.float32)
+        for part, vectors in self.blocks(trigrams):
+            total += counts[part].astype(np.float32) @ vectors.astype(np.float32)
         norm = float(np.linalg.norm(total))
         return total / norm if norm else total
 
@@ -139,19 +156,23 @@ class Identifier:
         self.names = sorted(prototypes)
         self.matrix = np.stack([prototypes[k] for k in self.names]).astype(np.float32) if self.names else None
         self.space = TrigramSpace(self.matrix.shape[1]) if self.names else None
-        self.known, self.dots = 0, np.empty((0, len(self.names)), np.float32)
+        self.dots = np.zeros((0, len(self.names)), np.float32)
 
     def language(self, text: str | None) -> str:
-        """The prediction alone: trigrams are compared with the prototypes once, not each text."""
-        dots = None
-        for seen, counts in self.space.counts(text) if self.space else ():
-            while self.known < self.space.size:
-                to = min(self.space.size, self.known + 4096)
-                self.dots = np.concatenate((self.dots, self.space.vectors[self.known : to] @ self.matrix.T))
-                self.known = to
-            d = counts @ self.dots[seen]
-            dots = d if dots is None else dots + d
-        return UNKNOWN if dots is None else self.names[int(dots.argmax())]
+        """The prediction alone: trigrams are compared with the prototypes once while they are kept, not each text."""
+        trigrams, counts = self.space.counts(text) if self.space else ((), ())
+        if not len(trigrams):
+            return UNKNOWN
+        space = self.space
+        space.keep(trigrams)
+        if len(self.dots) < space.size:
+            self.dots = np.concatenate((self.dots, *[space.vectors[at : min(at + BLOCK, space.size)] @ self.matrix.T for at in range(len(self.dots), space.size, BLOCK)]))
+        rows = space.row[trigrams]
+        own = counts[rows >= 0].astype(np.float32) @ self.dots[rows[rows >= 0]]
+        rest, times = trigrams[rows < 0], counts[rows < 0].astype(np.float32)
+        for at in range(0, len(rest), BLOCK):
+            own += times[at : at + BLOCK] @ (space.bound(rest[at : at + BLOCK]) @ self.matrix.T)
+        return self.names[int(own.argmax())]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         v = self.space.document(text) if self.space else None
@@ -191,7 +212,7 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col
 
         def stays(text: str | None) -> bool:
             lang, score = guess(text)
-            return lang != UNKNOWN and (score >= least or sum(float(n.sum()) for _, n in guess.space.counts(text)) < few)
+            return lang != UNKNOWN and (score >= least or guess.space.counts(text)[1].sum() < few)
 
         for b in batches:
             yield b.filter(pa.array([stays(t) for t in b.column(at).to_pylist()], pa.bool_()))

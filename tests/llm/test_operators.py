@@ -134,9 +134,23 @@ def test_language_matches_brute_force():
 
 def test_long_text_counts_whole(monkeypatch):
     text = "alpha beta gamma " * 40
-    whole = hyperdim.TrigramSpace(32).document(text)
-    monkeypatch.setattr(hyperdim, "CHUNK", 50)
-    assert whole @ hyperdim.TrigramSpace(32).document(text) > 0.98
+    seen, counts = hyperdim.TrigramSpace(32).counts(text)
+    for size in (1, 2, 3, 50):
+        monkeypatch.setattr(hyperdim, "CHUNK", size)
+        again = hyperdim.TrigramSpace(32).counts(text)
+        assert (again[0] == seen).all() and (again[1] == counts).all()
+
+
+def test_vectors_beyond_the_kept_ones_are_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 20_000))) + " and some letters"
+    whole = hyperdim.TrigramSpace(64).document(text)
+    known = {"a": rng.normal(0, 1, 64), "b": rng.normal(0, 1, 64), "c": whole + rng.normal(0, 0.01, 64)}
+    said = hyperdim.Identifier(known).language(text)
+    monkeypatch.setattr(hyperdim, "KEPT", 500)
+    few = hyperdim.TrigramSpace(64)
+    assert np.allclose(whole, few.document(text), atol=1e-5) and few.size == 500 and len(few.vectors) == 500
+    assert hyperdim.Identifier(known).language(text) == said == "c"
 
 
 # --- 3 mixing ---
