@@ -19,7 +19,9 @@ from .windows import upto
 
 #: Distances below count as this one, so that densities stay finite.
 LEAST = 1e-9
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 8000
+#: Rows of a block that are multiplied at a time.
+ROWS = 500
 #: Tree edges that one task unites.
 RANGE_EDGES = 200_000
 
@@ -54,22 +56,26 @@ def nearest_points(left: DataFrame, right: DataFrame, k: int, block_rows: int =
     """(u, v, w): of each left point its k nearest others on the right by Euclidean distance, exactly; of equal ones the smallest ids."""
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"u": [], "v": [], "w": []})
-        p, q, ids, others = np.array(x["v"].tolist()), np.array(y["v"].tolist()), x["id"].to_numpy(), y["id"].to_numpy()
-        d = _squares(p, q)
-        d[ids[:, None] == others[None, :]] = np.inf
-        at = min(k, d.shape[1]) - 1
-        i, j = np.nonzero((d <= np.partition(d, at, axis=1)[:, at][:, None] * (1 + 1e-9) + 1e-12) & np.isfinite(d))
-        w = _distance(p[i], q[j])
-        order = np.lexsort((others[j], w, i))
-        i, j, w = i[order], j[order], w[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        return pd.DataFrame({"u": ids[i[first]], "v": others[j[first]], "w": w[first]})
-
-    out = _pairs_of_blocks(left.select("id", "v"), right.select("id", "v"), block_rows).applyInPandas(product, _EDGE)
-    place = F.row_number().over(Window.partitionBy("u").orderBy("w", "v"))
-    return out.withColumn("place", place).filter(F.col("place") <= k)
+        near: list = []
+        if len(x) and len(y):
+            q, others = np.array(y["v"].tolist()), y["id"].to_numpy()
+            for at in range(0, len(x), ROWS):
+                p, ids = np.array(x["v"].iloc[at : at + ROWS].tolist()), x["id"].to_numpy()[at : at + ROWS]
+                d = _squares(p, q)
+                d[ids[:, None] == others[None, :]] = np.inf
+                most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                i, j = np.nonzero((d <= most[:, None] * (1 + 1e-9) + 1e-12) & np.isfinite(d))
+                w = _distance(p[i], q[j])
+                order = np.lexsort((others[j], w, i))
+                i, j, w = i[order], j[order], w[order]
+                cuts = np.searchsorted(i, np.arange(len(ids) + 1))
+                near += [[{"w": a, "v": b} for a, b in zip(w[s:e].tolist(), others[j[s:e]].tolist())] for s, e in zip(cuts[:-1], np.minimum(cuts[1:], cuts[:-1] + k))]
+        return pd.DataFrame({"u": x["id"] if near else [], "near": near})
+
+    # One row for each point and block of others.
+    out = _pairs_of_blocks(left.select("id", "v"), right.select("id", "v"), block_rows).applyInPandas(product, "u long, near array<struct<w:double,v:long>>")
+    best = out.groupBy("u").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return best.select("u", F.posexplode("near").alias("at", "x")).select("u", "x.v", "x.w", (F.col("at") + 1).alias("place"))
 
 
 def core_distances(own: DataFrame, lists: DataFrame, least: int) -> DataFrame:
@@ -146,14 +152,18 @@ def _nearest_outside(asked: DataFrame, all_: DataFrame, block_rows: int) -> Data
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"u": [], "v": [], "w": []})
-        p, q = np.array(x["v"].tolist()), np.array(y["v"].tolist())
-        w = np.maximum(np.maximum(np.sqrt(_squares(p, q)), x["core"].to_numpy()[:, None]), y["core"].to_numpy()[None, :])
-        w[x["comp"].to_numpy()[:, None] == y["comp"].to_numpy()[None, :]] = np.inf
-        j = w.argmin(1)
-        i = np.flatnonzero(np.isfinite(w[np.arange(len(j)), j]))
-        j = j[i]
-        exact = np.maximum(np.maximum(_distance(p[i], q[j]), x["core"].to_numpy()[i]), y["core"].to_numpy()[j])
-        return pd.DataFrame({"u": x["id"].to_numpy()[i], "v": y["id"].to_numpy()[j], "w": exact})
+        q, core, comp, found = np.array(y["v"].tolist()), y["core"].to_numpy(), y["comp"].to_numpy(), []
+        for at in range(0, len(x), ROWS):
+            own = x.iloc[at : at + ROWS]
+            p, mine = np.array(own["v"].tolist()), own["core"].to_numpy()
+            w = np.maximum(np.maximum(np.sqrt(_squares(p, q)), mine[:, None]), core[None, :])
+            w[own["comp"].to_numpy()[:, None] == comp[None, :]] = np.inf
+            j = w.argmin(1)
+            i = np.flatnonzero(np.isfinite(w[np.arange(len(j)), j]))
+            j = j[i]
+            exact = np.maximum(np.maximum(_distance(p[i], q[j]), mine[i]), core[j])
+            found.append(pd.DataFrame({"u": own["id"].to_numpy()[i], "v": y["id"].to_numpy()[j], "w": exact}))
+        return pd.concat(found)
 
     columns = ["id", "v", "core", "comp"]
     out = _pairs_of_blocks(asked.select(*columns), all_.select(*columns), block_rows).applyInPandas(product, _EDGE)

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .vectors import _kept, unit
 
 #: Rows drawn to place the centroids, and the most centroids, which are broadcast.
-SAMPLE, MOST_CELLS = 40_000, 4096
-BLOCK_ROWS = 3000
+SAMPLE, MOST_CELLS = 20_000, 4096
+BLOCK_ROWS = 8000
+#: Queries that are compared at a time.
+ROWS = 1000
 #: Queries on which the number of probed cells is measured.
 TRIALS = 200
 _PAIR = "id long, other long, similarity double"
@@ -59,9 +61,14 @@ def _matrix(values) -> np.ndarray:
 
 def fit(rows: DataFrame, cells: int | None = None, sample: int = SAMPLE, rounds: int = 10, seed: int = 7) -> Cells:
     """Spherical k-means on about ``sample`` rows; four times the root of the rows are cells, ``MOST_CELLS`` at most."""
-    drawn = _matrix(r[1] for r in sorted(_drawn(rows, sample, "cells").select("id", "v").collect()))
-    if not len(drawn):
+    def packed(batches):
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "v": [np.asarray(v, np.float32).tobytes() for v in b["v"]]})
+
+    got = sorted(_drawn(rows, sample, "cells").select("id", "v").mapInPandas(packed, "id long, v binary").collect())
+    if not got:
         return Cells(np.zeros((0, 0)))
+    drawn = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(len(got), -1).astype(np.float64)
     n = min(len(drawn), cells or min(MOST_CELLS, max(1, int(4 * rows.count() ** 0.5))))
     rng = np.random.default_rng(seed)
     c = drawn[rng.choice(len(drawn), n, replace=False)]
@@ -94,6 +101,14 @@ class _Blocks:
     def of(self, cell: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return self.first[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % self.parts[cell]
 
+    def reached(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block): the blocks of the cells that each row asks (rows x cells)."""
+        begins = np.flatnonzero(np.concatenate(([True], self.first[1:] != self.first[:-1])))
+        row, group = np.nonzero(np.logical_or.reduceat(asked, begins, axis=1)) if asked.size else (np.zeros(0, np.int64),) * 2
+        parts = self.parts[begins][group]  # a cell of several parts is alone in its group
+        row, block = np.repeat(row, parts), np.repeat(self.first[begins][group], parts)
+        return row, block + np.arange(len(block)) - np.repeat(np.cumsum(parts) - parts, parts)
+
 
 def _sizes(cells: DataFrame, n: int) -> np.ndarray:
     out = np.zeros(n, np.int64)
@@ -110,10 +125,10 @@ def _assigned(rows: DataFrame, index) -> DataFrame:
     return _kept(rows.select("id", "v", "copies").mapInPandas(run, "id long, v array<double>, copies long, cell long"))
 
 
-def _met(left: DataFrame, right: DataFrame, index, probed: Callable, compare: Callable, schema: str, block_rows: int) -> DataFrame:
-    """``compare`` on every cell of a block and the queries of a block that look into it; it gives the columns of ``schema``.
+def _met(left: DataFrame, right: DataFrame, index, probed: Callable, compare: Callable, fold: Callable, schema: str, block_rows: int) -> DataFrame:
+    """``compare`` on every cell of a block and the queries of a block that look into it, and ``fold`` on what it gives, the columns of ``schema``.
 
-    ``probed(vectors)`` gives for each query the cells that it looks into, as a list of arrays.
+    ``probed(vectors)`` says of each query and cell whether the query looks into it.
     """
     n = len(index.value.centroids)
     right = _assigned(right, index)
@@ -126,32 +141,30 @@ def _met(left: DataFrame, right: DataFrame, index, probed: Callable, compare: Ca
 
     def send(batches):
         for batch in batches:
-            cells = probed(_matrix(batch["v"])) if len(batch) else []
-            home = own.of(batch["cell"].to_numpy(), batch["id"].to_numpy())
-            to, row = [], []
-            for k, c in enumerate(cells):
-                reached = np.unique(np.concatenate([blocks.first[c] + p for p in range(int(blocks.parts[c].max()))]) if (blocks.parts[c] > 1).any() else blocks.first[c])
-                to.append(reached)
-                row.append(np.full(len(reached), k))
-            row = np.concatenate(row) if row else np.zeros(0, np.int64)
-            yield pd.DataFrame({"a": home[row], "b": np.concatenate(to) if to else row, "id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row], "cells": [cells[k] for k in row]})
-
-    sent = _kept(left.mapInPandas(send, "a long, b long, id long, v array<double>, cells array<long>"))
+            for k in range(0, len(batch), ROWS):
+                some = batch.iloc[k : k + ROWS]
+                row, block = blocks.reached(probed(_matrix(some["v"])))
+                home = own.of(some["cell"].to_numpy(), some["id"].to_numpy())
+                yield pd.DataFrame({"a": home[row], "b": block, "id": some["id"].to_numpy()[row], "v": some["v"].to_numpy()[row]})
+
+    sent = _kept(left.mapInPandas(send, "a long, b long, id long, v array<double>"))
     dealt = right.mapInPandas(deal, "b long, id long, v array<double>, copies long, cell long")
     copies = dealt.join(sent.select("a", "b").distinct().toDF("x", "b"), "b").select("x", "b", "id", "v", "copies", "cell")
-
     names = [c.split()[0] for c in schema.split(", ")]
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(x) and len(y):
-            q, v, asked = _matrix(x["v"]), _matrix(y["v"]), x["cells"].to_numpy()
-            row = np.repeat(np.arange(len(x)), [len(c) for c in asked])
-            cell, place = np.concatenate(asked), y["cell"].to_numpy()
-            for c in np.unique(place):
-                rows, columns = row[cell == c], np.flatnonzero(place == c)
-                if len(rows):
-                    out.append(compare(x["id"].to_numpy()[rows], q[rows], y["id"].to_numpy()[columns], v[columns], y["copies"].to_numpy()[columns]))
+            v, place, others, counted = _matrix(y["v"]), y["cell"].to_numpy(), y["id"].to_numpy(), y["copies"].to_numpy()
+            for k in range(0, len(x), ROWS):
+                ids, q = x["id"].to_numpy()[k : k + ROWS], _matrix(x["v"].iloc[k : k + ROWS])
+                asked, found = probed(q), []
+                for c in np.unique(place):
+                    rows, columns = np.flatnonzero(asked[:, c]), np.flatnonzero(place == c)
+                    if len(rows):
+                        found.append(compare(ids[rows], q[rows], others[columns], v[columns], counted[columns]))
+                if found:
+                    out.append(fold(*(np.concatenate(z) for z in zip(*found))))
         return pd.DataFrame({n: np.concatenate([o[k] for o in out]) if out else [] for k, n in enumerate(names)})
 
     return sent.groupBy("a", "b").cogroup(copies.groupBy("x", "b")).applyInPandas(meet, schema)
@@ -172,8 +185,20 @@ def _best(k: int, same: bool) -> Callable:
 def search(left: DataFrame | None, right: DataFrame, cells: Cells, probes: int, k: int = 1, same: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, other, similarity): of each query (id, v) the k best in its ``probes`` nearest cells; of equal ones the smallest ids. Without ``left`` all rows are queries."""
     index = right.sparkSession.sparkContext.broadcast(cells)
-    probed = lambda v: list(index.value.ranked(v, probes))
-    found = _met(left, right, index, probed, _best(k, same), _PAIR, block_rows)
+
+    def probed(v: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(v), len(index.value.centroids)), bool)
+        np.put_along_axis(out, index.value.ranked(v, probes), True, 1)
+        return out
+
+    def fold(ids, others, sims):
+        """The k best of each query so far."""
+        order = np.lexsort((others, -sims, ids))
+        ids, others, sims = ids[order], others[order], sims[order]
+        first = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
+        return ids[first], others[first], sims[first]
+
+    found = _met(left, right, index, probed, _best(k, same), fold, _PAIR, block_rows)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other"))
     return found.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
@@ -226,16 +251,22 @@ def near_rows(df: DataFrame, key: str, vector: str, least: float, block_rows: in
     index, angle = spark.sparkContext.broadcast(cells), float(np.arccos(np.clip(least, -1, 1)))
     reach = _radii(own, index, len(cells.centroids)) + angle + 1e-6
 
-    def probed(v: np.ndarray) -> list[np.ndarray]:
-        return [np.flatnonzero(x) for x in np.arccos(np.clip(v @ index.value.centroids.T, -1, 1)) <= reach]
+    def probed(v: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(v @ index.value.centroids.T, -1, 1)) <= reach
 
     def compare(ids, q, others, v, copies):
         near = (q @ v.T >= least) & (ids[:, None] != others[None, :])
         i = np.flatnonzero(near.any(1))
         return ids[i], np.where(near[i], others[None, :], np.iinfo(np.int64).max).min(1), near[i] @ copies
 
-    # One row for each row and cell, however many of the cell's rows are near it.
-    found = _met(None, own, index, probed, compare, "id long, low long, linked long", block_rows)
+    def fold(ids, low, linked):
+        """One row for each row and block, however many of the block's rows are near it."""
+        names, at = np.unique(ids, return_inverse=True)
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, low)
+        return names, least, np.bincount(at, linked, len(names)).astype(np.int64)
+
+    found = _met(None, own, index, probed, compare, fold, "id long, low long, linked long", block_rows)
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"), F.min("low").alias("low"))
     told = own.select("v", "id", "copies").join(linked, "id", "left")
     each = rows.withColumnRenamed("id", "row").join(told, "v")

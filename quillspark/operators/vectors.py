@@ -21,8 +21,8 @@ from .windows import top_per_group
 
 def unit(v: Column) -> Column:
     """The vector over its norm; null for a zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    # The norm is a variable of the outer lambda, or it would be computed for every element.
+    return F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))[0]
 
 
 def vector_sums(df: DataFrame, vector: str, by: Sequence[str], out: str = "total") -> DataFrame:
