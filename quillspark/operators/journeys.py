@@ -257,9 +257,12 @@ def prefixes(tokens: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, F.lit(1), i), " "))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _word_of_part(words: pd.Series, parts: pd.Series) -> pd.Series:
+    ends = lambda a: np.cumsum([len(x.replace(" ", "")) for x in a])
+    return pd.Series([None if w is None or p is None else np.searchsorted(ends(w), ends(p), side="left").astype(np.int32) for w, p in zip(words, parts)])
+
+
 def align_subwords(words: Column, parts: Column) -> Column:
     """Number of the word that each sub-word belongs to, by running lengths without spaces; both must spell the same."""
-    size = lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))
-    ends = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda t, x: F.concat(t, F.array(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0)) + size(x))))
-    word_ends = ends(words)
-    return F.transform(ends(parts), lambda e: F.size(F.filter(word_ends, lambda w: w < e)))
+    return _word_of_part(words, parts)

@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.similarity import token_jaccard, token_sort_ratio
+from ..functions.similarity import partial_ratio, token_jaccard, token_set_ratio, token_sort_ratio
 from ..functions.tokens import n_words
 from .windows import keep_first
 
@@ -66,6 +67,21 @@ def near_sentences(df: DataFrame, sentences: str, key: str, quotes: DataFrame, q
     return hits.filter(fits).filter(token_jaccard(F.col("u"), F.col("v")) >= least).select(key, "i").distinct().groupBy(key).agg(F.count("*").alias("dropped"))
 
 
+def without_quote(sentences: Column, text: Column, quote: Column, least: float = 65, least_set: float = 70) -> Column:
+    """The sentences that stay: where the text has the quote, by its partial ratio, those whose token-set ratio to the quote is ``least_set`` or more go. Without a quote all stay."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keep(sentences: pd.Series, text: pd.Series, quote: pd.Series) -> pd.Series:
+        def one(own, t, q):
+            if own is None or not t or not q or int(partial_ratio(t, q) + 0.5) < least:
+                return own
+            return [x for x in own if int(token_set_ratio(x, q) + 0.5) < least_set]
+
+        return pd.Series([one(s, t, q) for s, t, q in zip(sentences, text, quote)])
+
+    return keep(sentences, text, quote)
+
+
 def greedy_matches(words: list[str], targets: list[int], tolerance: float = 0.1, reach: int = 500) -> list[tuple[int, int, int]]:
     """(target number, start, end) runs of words: a capital first, a stop last, lengths near the target, no word used twice."""
     out, at = [], 0

@@ -10,6 +10,7 @@ from ..operators import density as de
 from ..operators import fuzzy as fu
 from ..operators import intervals as it
 from ..operators import layout as la
+from ..operators import matching as ma
 from ..operators import neighbours as ne
 from ..operators import subwords as sw
 from ..operators import topics as to
@@ -199,3 +200,13 @@ def umap_layout(spark, sf_dir):
 def indexed_fuzzy_match(spark, sf_dir):
     """Pairs of parts of one brand whose names have a token-set ratio of 90 or more, only candidates scored; a test holds them against all pairs."""
     return fu.similar_rows(Tables(spark, sf_dir).part, "p_partkey", ["p_brand"], "p_name", 90)
+
+
+@plan("TX21")
+def quote_sentences_removed(spark, sf_dir):
+    """Every document without the sentences that repeat its quote, here its first sentence, by the scores of the reference: 65 for the text, 70 for a sentence."""
+    s = tk.sentences(F.col("text"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text", s.alias("s"))
+    kept = ma.without_quote(F.col("s"), F.col("text"), F.try_element_at("s", F.lit(1)))
+    out = d.select("doc_id", F.size("s").cast("long").alias("n"), kept.alias("kept"))
+    return out.select("doc_id", "n", (F.col("n") - F.size("kept")).alias("dropped"), F.array_join("kept", " ").alias("cleaned"))

@@ -325,3 +325,23 @@ def test_delta_interval_by_group(spark):
     rows = [(g, float(v) + shift * (s == 1), s) for g, shift in (("near", 0.0), ("far", 9.0)) for s in (1, 2) for v in rng.normal(0, 1, 60)] + [("alone", 1.0, 1)]
     got = {r.g: r for r in delta_interval(spark.createDataFrame(rows, "g string, x double, side int"), "x", "side", ["g"], 500).collect()}
     assert got["near"].low < 0 < got["near"].high and got["far"].low > 0.99 and got["alone"].low is None
+
+
+def test_quote_sentences_go(spark):
+    from quillspark.operators.matching import without_quote
+
+    rows = [
+        (1, ["It was the best of times.", "We walked on.", "the best of Times it was"], "It was the best of times."),
+        (2, ["Nothing of it here.", "Other words."], "a wholly different saying about ships"), (3, ["A b c."], None), (4, None, "x"), (5, [], "x"), (6, ["", "Say it again, say it."], "Say it again, say it"),
+    ]
+    df = spark.createDataFrame([(i, s, " ".join(s) if s is not None else None, q) for i, s, q in rows], "id int, s array<string>, t string, q string")
+    got = {r.id: r.k for r in df.select("id", without_quote(F.col("s"), F.col("t"), F.col("q")).alias("k")).collect()}
+    assert got == {1: ["We walked on."], 2: rows[1][1], 3: ["A b c."], 4: None, 5: [], 6: [""]}
+
+
+def test_subwords_meet_their_words(spark):
+    from quillspark.operators.journeys import align_subwords
+
+    df = spark.createDataFrame([(["ab", "c", "defg"], ["a", "b", "c", "de", " fg"]), ([], []), (None, ["a"]), (["x"] * 30_000, ["x"] * 30_000)], "w array<string>, p array<string>")
+    got = [r[0] for r in df.select(align_subwords(F.col("w"), F.col("p"))).collect()]
+    assert got == [[0, 0, 1, 2, 2], [], None, list(range(30_000))]
