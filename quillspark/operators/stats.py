@@ -107,8 +107,8 @@ def binary_quality(df: DataFrame, label: str, predicted: str, by: Sequence[str]
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """True and false positive rates at each distinct score, from the highest."""
     cells = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    summed = upto(upto(cells, by, [score], "__p", value="p", total="__all_p"), by, [score], "__n", value="n", total="__all_n")
-    rate = lambda c: F.try_divide(F.col(f"__all_{c}") - F.col(f"__{c}") + F.col(c), F.col(f"__all_{c}"))  # noqa: E731  from the score up
+    summed = upto(upto(cells, by, [score], "__upto_p", value="p", total="__all_p"), by, [score], "__upto_n", value="n", total="__all_n")
+    rate = lambda c: F.try_divide(F.col(f"__all_{c}") - F.col(f"__upto_{c}") + F.col(c), F.col(f"__all_{c}"))  # noqa: E731  from the score up
     return summed.select(*by, score, rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
