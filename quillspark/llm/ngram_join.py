@@ -375,9 +375,9 @@ def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, pe
     slim = docs.select(*id_and_text)
     kinds = "".join(f", p{k} long" for k in range(len(place)))
     keys = [f"p{k}" for k in range(len(place))]
-    placed = docs.select(id_and_text[0], *[F.col(c).alias(k) for c, k in zip(place, keys)], id_and_text[1])
-    described = materialize(placed.mapInArrow(_describe(shingle, ["doc_id", *keys, "n_shingles", "sig", "half"]), f"doc_id long{kinds}, n_shingles long, sig binary, half long"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *keys)).alias("least")
+    placed = docs.select(id_and_text[0], *[F.col(c).alias(k) for c, k in zip(place, keys)], F.xxhash64(id_and_text[1]).alias("th"), id_and_text[1])
+    described = materialize(placed.mapInArrow(_describe(shingle, ["doc_id", *keys, "th", "n_shingles", "sig", "half"]), f"doc_id long{kinds}, th long, n_shingles long, sig binary, half long"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *keys, "th")).alias("least")
     classes = described.filter("sig IS NOT NULL").groupBy("sig").agg(least, F.first("n_shingles").alias("n"), F.first("half").alias("half"), F.count("*").alias("size"))
     whole = described.agg(F.sum("n_shingles"), F.count("*")).first()
     total, n_docs = whole[0] or 0, whole[1]
@@ -387,9 +387,10 @@ def _first_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, pe
     shared = counts.groupBy("bucket").applyInArrow(_sum_counts, "half long, shared long")
     floor = F.expr(f"greatest(1L, ({EXTENT}L * (({percent}L * n + 99) div 100)) div 100)")
     alive = classes.join(shared, "half").filter(F.col("shared") >= floor).select("sig", "least")
-    wanted = alive.select("sig", F.coalesce("least.doc_id", F.lit(-(2**63))).alias("key"))
-    keyed = slim.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "text")
-    texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("sig", "text")
+    # By id and text: rows whose id is null or repeats meet only the class of their own text.
+    wanted = alive.select("sig", F.coalesce("least.doc_id", F.lit(-(2**63))).alias("key"), "least.th")
+    keyed = slim.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("th"), "text")
+    texts = keyed.join(wanted.hint("shuffle_hash"), ["key", "th"]).select("sig", "text")
     sets = texts.mapInArrow(_full_sets(shingle), "sig binary, n long, tokens binary").dropDuplicates(["sig"])
     sets = materialize(sets.withColumn("cid", F.monotonically_increasing_id()))
     held = sets.agg(F.sum("n")).first()[0] or 0
