@@ -9,7 +9,9 @@ from ..operators import attribution as at
 from ..operators import density as de
 from ..operators import fuzzy as fu
 from ..operators import intervals as it
+from ..operators import journeys as jo
 from ..operators import layout as la
+from ..operators import lexicons as lx
 from ..operators import matching as ma
 from ..operators import neighbours as ne
 from ..operators import subwords as sw
@@ -17,6 +19,7 @@ from ..operators import topics as to
 from ..operators import vectors as ve
 from ..sources import files as fi
 from .registry import Tables, plan
+from .relational import h_sql
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
@@ -210,3 +213,68 @@ def quote_sentences_removed(spark, sf_dir):
     kept = ma.without_quote(F.col("s"), F.col("text"), F.try_element_at("s", F.lit(1)))
     out = d.select("doc_id", F.size("s").cast("long").alias("n"), kept.alias("kept"))
     return out.select("doc_id", "n", (F.col("n") - F.size("kept")).alias("dropped"), F.array_join("kept", " ").alias("cleaned"))
+
+
+# --- lexicons learned from the texts ---
+
+_W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_LEXICON = f"""w AS (SELECT doc_id, toxic, {_W} AS w FROM documents LEFT JOIN labels USING (doc_id)), u AS (SELECT doc_id, toxic, unnest(w) AS word FROM w),
+  c AS (SELECT word, count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS q FROM u WHERE toxic IN (0, 1) GROUP BY 1), a AS (SELECT sum(p) AS ap, sum(q) AS aq, count(*) AS v FROM c),
+  l AS (SELECT word, CAST(sign(o) AS INT) AS polarity, p + q AS size FROM (SELECT *, ln((p + 1) / (ap + v)::DOUBLE) - ln((q + 1) / (aq + v)::DOUBLE) AS o FROM c, a WHERE p + q >= 5) WHERE abs(o) >= 1)"""
+
+
+def _toxic_lexicon(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return lx.polarity_lexicon(t.documents.join(t.labels, "doc_id"), tk.alnum(F.col("text")), "toxic")
+
+
+@plan("MT12", f"WITH {_LEXICON} SELECT word, polarity, size FROM l")
+def polarity_words(spark, sf_dir):
+    """Words that the labelled documents use far more often on one side."""
+    return _toxic_lexicon(spark, sf_dir)
+
+
+@plan("MT12", f"""WITH {_LEXICON}, h AS (SELECT doc_id, count(*) FILTER (polarity > 0) AS p, count(*) FILTER (polarity < 0) AS q FROM u JOIN l USING (word) GROUP BY 1),
+  s AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN coalesce(p, 0) / len(w)::DOUBLE END AS pos, CASE WHEN len(w) > 0 THEN coalesce(q, 0) / len(w)::DOUBLE END AS neg FROM w LEFT JOIN h USING (doc_id))
+  SELECT doc_id, round(pos, 6) AS pos, round(neg, 6) AS neg, round(1 - pos - neg, 6) AS neu, round(pos - neg, 6) AS polarity, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' WHEN pos IS NOT NULL THEN 'neutral' END AS label FROM s""")
+def learned_sentiment(spark, sf_dir):
+    """Polarity of every document by the lexicon of the labelled ones."""
+    out = lx.polarity_by_lexicon(Tables(spark, sf_dir).documents, tk.alnum(F.col("text")), "doc_id", _toxic_lexicon(spark, sf_dir))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "neu", "polarity")], "label")
+
+
+@plan("MT13 WN3", f"""WITH {_LEXICON}, t AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, {_W} AS w FROM benchmark)),
+  s AS (SELECT item_id, pos, sum(coalesce(polarity, 0)) OVER (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING) / (pos + 1)::DOUBLE AS p FROM t LEFT JOIN l ON word = token),
+  d AS (SELECT *, p - lag(p) OVER (PARTITION BY item_id ORDER BY pos) AS x FROM s)
+  SELECT item_id, round(max(abs(x)), 6) AS max_affective_shift, round(stddev_pop(p), 6) AS sentiment_volatility, round(arg_max(p, pos), 6) AS final_sentiment, count(*) AS word_count FROM d GROUP BY 1""")
+def learned_sentiment_journey(spark, sf_dir):
+    """How the polarity of the benchmark items moves word by word, by the same lexicon."""
+    b = Tables(spark, sf_dir).benchmark.select("item_id", "text")
+    s = jo.sentiment_summary(lx.polarity_journey(b, tk.alnum(F.col("text")), "item_id", _toxic_lexicon(spark, sf_dir)), "item_id")
+    return s.select("item_id", *[F.round(c, 6).alias(c) for c in ("max_affective_shift", "sentiment_volatility", "final_sentiment")], "word_count")
+
+
+DIM = 8
+_CONTEXT = f"""t AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, {_W} AS w FROM benchmark)),
+  p AS (SELECT a.token AS w1, b.token AS w2, count(*) AS n FROM t a JOIN t b ON a.item_id = b.item_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 5 GROUP BY ALL),
+  v AS (SELECT w1 AS word, CAST(sum(n) AS BIGINT) AS n, {', '.join(f"sum(n * ({h_sql('w2', k)} / 4294967296.0 - 0.5)) / sum(n) AS x{k}" for k in range(DIM))} FROM p GROUP BY 1)"""
+
+
+def _context_table(spark, sf_dir):
+    b = Tables(spark, sf_dir).benchmark.select("item_id", "text")
+    return lx.context_vectors(jo.background(b, tk.alnum(F.col("text")))[1], DIM)
+
+
+@plan("SRC5 MT14 MT19", f"WITH {_CONTEXT} SELECT word, n, {', '.join(f'round(x{k}, 6) AS x{k}' for k in range(DIM))} FROM v")
+def context_vectors(spark, sf_dir):
+    """Vectors of the benchmark's words, made from the words that stand within five places."""
+    return _context_table(spark, sf_dir).select("word", "n", *[F.round(F.col("vec")[k], 6).alias(f"x{k}") for k in range(DIM)])
+
+
+@plan("MT19 SRC5", f"""WITH {_CONTEXT}, m AS (SELECT item_id, {', '.join(f'avg(x{k}) AS x{k}' for k in range(DIM))} FROM t JOIN v ON word = token GROUP BY 1)
+  SELECT benchmark.item_id, {', '.join(f'round(coalesce(x{k}, 0), 6) AS x{k}' for k in range(DIM))} FROM benchmark LEFT JOIN m USING (item_id)""")
+def learned_text_vectors(spark, sf_dir):
+    """Mean vector of each benchmark item by the learned word vectors."""
+    b = Tables(spark, sf_dir).benchmark.select("item_id", "text")
+    v = jo.text_vectors(b, tk.alnum(F.col("text")), "item_id", _context_table(spark, sf_dir), DIM)
+    return v.select("item_id", *[F.round(F.col("vec")[k], 6).alias(f"x{k}") for k in range(DIM)])
