@@ -1,13 +1,15 @@
-"""Lexicons learned from the texts themselves: polarity words from labelled texts, word vectors from contexts."""
+"""Lexicons learned from the texts themselves: polarity words from labelled texts, word vectors and glosses from contexts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import cosine
 from ..sources.files import materialize
 from .joins import join_hot
-from .journeys import hash_vector, positions
+from .journeys import hash_vector, positions, text_vectors
+from .windows import top_per_group
 
 
 def polarity_lexicon(df: DataFrame, tokens: Column, label: str, least: int = 5, margin: float = 1.0) -> DataFrame:
@@ -53,3 +55,24 @@ def context_vectors(pairs: DataFrame, dim: int) -> DataFrame:
     sums = [F.sum(F.col("n") * F.col("x")[k]).alias(f"s{k}") for k in range(dim)]
     total = drawn.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n"), *sums)
     return total.select("word", "n", F.array(*[F.col(f"s{k}") / F.col("n") for k in range(dim)]).alias("vec"))
+
+
+def glosses(pairs: DataFrame, top: int = 5, least: int = 2) -> DataFrame:
+    """(word, gloss): the words that stand near a word most of all their own times, ``top`` of those that do so ``least`` times; ties by the word."""
+    all_ = pairs.groupBy("w2").agg(F.sum("n").alias("all"), F.count("*").alias("size"))
+    near = join_hot(pairs.filter(F.col("n") >= least), materialize(all_), ["w2"]).withColumn("share", F.col("n") / F.col("all"))
+    return top_per_group(near, ["w1"], [F.col("share").desc(), "w2"], top).select(F.col("w1").alias("word"), F.col("w2").alias("gloss"))
+
+
+def definition_table(glossed: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(word, vec): the mean vector of the words of each gloss."""
+    known = glossed.join(vectors.select(F.col("word").alias("gloss"), "vec"), "gloss")
+    return known.groupBy("word").agg(F.array(*[F.avg(F.col("vec")[k]) for k in range(dim)]).alias("vec"))
+
+
+def definition_shifts(df: DataFrame, tokens: Column, key: str, vectors: DataFrame, definitions: DataFrame, dim: int) -> DataFrame:
+    """(key, n, shift): how many different words of a text are defined, and 1 - cosine of the text's vector and the mean of their definitions; null without one."""
+    words = df.select(key, F.explode(F.array_distinct(tokens)).alias("word")).join(definitions, "word")
+    middle = words.groupBy(key).agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("vec")[k]) for k in range(dim)]).alias("centroid"))
+    texts = text_vectors(df, tokens, key, vectors.select("word", "vec"), dim).join(middle, key, "left")
+    return texts.select(key, F.coalesce("n", F.lit(0)).alias("n"), (1 - cosine(F.col("vec"), F.col("centroid"))).alias("shift"))

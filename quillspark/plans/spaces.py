@@ -278,3 +278,23 @@ def learned_text_vectors(spark, sf_dir):
     b = Tables(spark, sf_dir).benchmark.select("item_id", "text")
     v = jo.text_vectors(b, tk.alnum(F.col("text")), "item_id", _context_table(spark, sf_dir), DIM)
     return v.select("item_id", *[F.round(F.col("vec")[k], 6).alias(f"x{k}") for k in range(DIM)])
+
+
+_VEC = "[" + ", ".join(f"x{k}" for k in range(DIM)) + "]"
+_MEAN = lambda c, out: ", ".join(f"avg({c}[{k + 1}]) AS {out}{k}" for k in range(DIM))
+
+
+@plan("MT20 MT21 MT22", f"""WITH {_CONTEXT}, e AS (SELECT word, {_VEC} AS vec FROM v), c AS (SELECT w2, sum(n) AS a FROM p GROUP BY 1),
+  g AS (SELECT w1 AS word, w2 AS gloss FROM p JOIN c USING (w2) WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY w1 ORDER BY n::DOUBLE / a DESC, w2) <= 5),
+  d AS (SELECT word, {_VEC} AS vec FROM (SELECT g.word, {_MEAN('e.vec', 'x')} FROM g JOIN e ON e.word = g.gloss GROUP BY 1)),
+  m AS (SELECT item_id, count(*) AS n, {_MEAN('vec', 'x')} FROM (SELECT DISTINCT item_id, token FROM t) JOIN d ON word = token GROUP BY 1),
+  b AS (SELECT item_id, {_MEAN('vec', 'x')} FROM t JOIN e ON word = token GROUP BY 1)
+  SELECT benchmark.item_id, coalesce(m.n, 0) AS n, round(1 - list_cosine_similarity([{', '.join(f'b.x{k}' for k in range(DIM))}], [{', '.join(f'm.x{k}' for k in range(DIM))}]), 6) AS shift
+  FROM benchmark LEFT JOIN b USING (item_id) LEFT JOIN m USING (item_id)""")
+def learned_definition_shifts(spark, sf_dir):
+    """How far each benchmark item stands from the definitions of its words, a definition being the words that stand near a word most of their times."""
+    b = Tables(spark, sf_dir).benchmark.select("item_id", "text")
+    pairs = fi.materialize(jo.background(b, tk.alnum(F.col("text")))[1])
+    vectors = fi.materialize(lx.context_vectors(pairs, DIM))
+    out = lx.definition_shifts(b, tk.alnum(F.col("text")), "item_id", vectors, lx.definition_table(lx.glosses(pairs), vectors, DIM), DIM)
+    return out.withColumn("shift", F.round("shift", 6))
