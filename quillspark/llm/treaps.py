@@ -71,7 +71,7 @@ class _Shard:
         self.sizes.append(sizes)
         self.bytes += len(words.data)
 
-    def rows(self, number: int) -> tuple[list, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self) -> tuple[list, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and sizes in order of id, the terms, and for the postings by term and document: ends of terms, documents, occurrences."""
         order = sorted(range(len(self.ids)), key=lambda k: (self.ids[k] is None, self.ids[k]))
         place = np.empty(len(order), np.int64)
@@ -102,7 +102,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
         def out(shard: _Shard) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            ids, sizes, terms, ends, at, num = shard.rows(number)
+            ids, sizes, terms, ends, at, num = shard.rows()
             n = len(terms)
             name = pa.array(np.full(n + 1, (part << 24) + number, np.int64))
             shift = np.concatenate((ends, [ends[-1]])).astype(np.int32)
