@@ -743,6 +743,14 @@ def test_html_pages_are_their_articles(spark, sf_dir):
 # --- 10 toxicity ---
 
 
+def test_toxicity_ranks_held_out(spark):
+    """One row in nine is toxic: a model that says no to all has an area of 0.5 and no recall."""
+    rows = q.op10_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    toxic, clean = rows.score[rows.toxic == 1].to_numpy(), rows.score[rows.toxic == 0].to_numpy()
+    assert (toxic[:, None] > clean[None]).mean() + 0.5 * (toxic[:, None] == clean[None]).mean() > 0.95
+    assert rows.predicted[rows.toxic == 1].mean() > 0.8 and rows.toxic[rows.predicted == 1].mean() > 0.85
+
+
 def test_toxicity_held_out(spark):
     rows = q.op10_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert (rows.predicted == rows.toxic).mean() > 0.85
