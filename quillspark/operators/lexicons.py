@@ -28,7 +28,8 @@ def polarity_lexicon(df: DataFrame, tokens: Column, label: str, least: int = 5,
 
 def polarity_by_lexicon(df: DataFrame, tokens: Column, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, pos, neg, neu, polarity, label): shares of positive and negative words; null shares without words."""
-    words = df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("word")).groupBy(key, "n", "word").agg(F.count("*").alias("times"))
+    # Only words leave the generator: a size beside it would be taken from the whole text again for every word.
+    words = df.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("times"))
     hits = join_hot(words, lexicon, ["word"])
     counted = hits.groupBy(key).agg(F.sum(F.when(F.col("polarity") > 0, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("polarity") < 0, F.col("times")).otherwise(0)).alias("q"))
     out = df.select(key, F.size(tokens).alias("n")).join(counted, key, "left")
