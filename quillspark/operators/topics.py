@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
@@ -57,25 +58,50 @@ def similar_topics(weights: DataFrame) -> DataFrame:
     return scaled.select("x", "y", (F.col("dot") / (F.col("nx") * F.col("ny"))).alias("similarity"))
 
 
+def shared_mass(counts: DataFrame) -> DataFrame:
+    """(x, y, f, mass), written: of each pair of topics, x <= y, and each total count f of a term the sum of the products of the two topics' counts of such terms."""
+    of_term = counts.groupBy("term").agg(F.sum("c").alias("f"), F.collect_list(F.struct("topic", "c")).alias("own"))
+    first = of_term.select("f", "own", F.explode("own").alias("a"))
+    both = first.select("f", F.col("a.topic").alias("x"), F.col("a.c").cast("double").alias("cx"), F.explode(F.filter("own", lambda b: b["topic"] >= F.col("a.topic"))).alias("b"))
+    return materialize(both.groupBy("x", F.col("b.topic").alias("y"), "f").agg(F.sum(F.col("cx") * F.col("b.c")).alias("mass")))
+
+
 def merged_topics(counts: DataFrame, least: float, min_df: int = 1) -> DataFrame:
     """(topic, into): topics of nearly the same terms are united, the most alike pair first, until none is alike by ``least``; the smaller number stays.
 
-    Only pairs of topics come to the driver, as many as topics squared.
+    Only pairs of topics come to the driver, as many as topics squared. Where no term is left out (``min_df`` 1), a term's weight in a cosine hangs on its
+    total count and the number of topics alone, so that the terms are joined once, and united topics' products are sums of their parts'.
     """
     names = {r[0]: r[0] for r in counts.select("topic").distinct().collect()}
+    if min_df <= 1 and names:
+        mass, total = shared_mass(counts), counts.agg(F.sum("c")).first()[0]
     while True:
-        step = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None)
-        now = counts.withColumn("topic", step[F.col("topic")]).groupBy("topic", "term").agg(F.sum("c").alias("c")) if names else counts
-        alike = similar_topics(topic_terms(now, min_df)).filter(F.col("similarity") >= least).collect()
+        if min_df <= 1 and names:
+            weight = F.log(1 + F.lit(total / len(set(names.values()))) / F.col("f"))
+            alike = _alike(mass.groupBy("x", "y").agg(F.sum(F.col("mass") * weight * weight)).collect(), names, least)
+        else:
+            step = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None)
+            now = counts.withColumn("topic", step[F.col("topic")]).groupBy("topic", "term").agg(F.sum("c").alias("c")) if names else counts
+            alike = [tuple(r) for r in similar_topics(topic_terms(now, min_df)).filter(F.col("similarity") >= least).collect()]
         taken: set = set()
-        for r in sorted(alike, key=lambda r: (-r.similarity, r.x, r.y)):
-            if r.x not in taken and r.y not in taken:
-                taken |= {r.x, r.y}
-                names = {k: r.x if v == r.y else v for k, v in names.items()}
+        for x, y, _ in sorted(alike, key=lambda r: (-r[2], r[0], r[1])):
+            if x not in taken and y not in taken:
+                taken |= {x, y}
+                names = {k: x if v == y else v for k, v in names.items()}
         if not taken:
             return counts.sparkSession.createDataFrame(sorted(names.items()), "topic int, into int")
 
 
+def _alike(products: list, names: dict, least: float) -> list[tuple]:
+    """(x, y, cosine) of the pairs of united topics, x < y, that reach ``least``, from the products of their parts."""
+    dots: dict = defaultdict(float)
+    for x, y, dot in products:
+        for a, b in {(x, y), (y, x)}:
+            dots[names[a], names[b]] += dot
+    cosine = {(x, y): dot / (dots[x, x] * dots[y, y]) ** 0.5 for (x, y), dot in dots.items() if x < y and dots[x, x] * dots[y, y] > 0}
+    return [(x, y, c) for (x, y), c in cosine.items() if c >= least]
+
+
 def diverse_terms(weights: DataFrame, top: int = 10, candidates: int = 30, diversity: float = 0.3) -> DataFrame:
     """(topic, term, weight, place): of each topic's leading terms those that say it best and repeat each other least.
 

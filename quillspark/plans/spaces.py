@@ -149,7 +149,9 @@ def _topic_counts(spark, sf_dir):
     """Clusters of the documents, and of each topic its terms' counts, written."""
     d = Tables(spark, sf_dir).documents
     placed = fi.materialize(to.text_clusters(d, tk.alnum(F.col("text")), "doc_id", 20))
-    each = d.select("doc_id", F.explode(to.terms(tk.alnum(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
+    # Pairs are made from a column of words: an expression inside their function would cut the text anew for every word.
+    words = d.select("doc_id", tk.alnum(F.col("text")).alias("words"))
+    each = words.select("doc_id", F.explode(to.terms(F.col("words"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
     held = fi.materialize(each.join(placed, "doc_id"))
     return held, fi.materialize(held.groupBy("topic", "term").agg(F.sum("c").alias("c")))
 
