@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -70,12 +71,15 @@ def near_sentences(df: DataFrame, sentences: str, key: str, quotes: DataFrame, q
 def without_quote(sentences: Column, text: Column, quote: Column, least: float = 65, least_set: float = 70) -> Column:
     """The sentences that stay: where the text has the quote, by its partial ratio, those whose token-set ratio to the quote is ``least_set`` or more go. Without a quote all stay."""
 
+    # Scores are rounded: the least ones that round to what is asked.
+    low, low_set = max(math.ceil(least) - 0.5, 1e-9), math.ceil(least_set) - 0.5
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def keep(sentences: pd.Series, text: pd.Series, quote: pd.Series) -> pd.Series:
         def one(own, t, q):
-            if own is None or not t or not q or int(partial_ratio(t, q) + 0.5) < least:
+            if own is None or not t or not q or partial_ratio(t, q, low) < low:
                 return own
-            return [x for x in own if int(token_set_ratio(x, q) + 0.5) < least_set]
+            return [x for x in own if token_set_ratio(x, q, low_set) < low_set]
 
         return pd.Series([one(s, t, q) for s, t, q in zip(sentences, text, quote)])
 
