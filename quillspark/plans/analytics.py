@@ -11,6 +11,7 @@ from ..functions import tokens as tk
 from ..operators import entities as en
 from ..operators import journeys as jo
 from ..operators import matching as ma
+from ..operators import pairs as pr
 from ..operators import stats as st
 from ..operators import vectors as ve
 from ..operators import windows as wn
@@ -299,8 +300,7 @@ def background_pairs(spark, sf_dir, texts=_bench):
   FROM c JOIN sz USING (item_id) JOIN own x ON x.item_id = c.item_id AND x.token = w1 JOIN own y ON y.item_id = c.item_id AND y.token = w2 JOIN uni g ON g.token = w1 JOIN uni h ON h.token = w2 LEFT JOIN bi ON bi.w1 = c.w1 AND bi.w2 = c.w2, nb GROUP BY 1) q USING (item_id)""")
 def delta_pmi(spark, sf_dir, texts=_bench):
     b, w = texts(spark, sf_dir)
-    uni, bi = jo.background(b, w)
-    return jo.delta_pmi(b, w, "item_id", uni, bi).withColumn("delta_pmi", F.round("delta_pmi", 6))
+    return pr.own_delta_pmi(b, w, "item_id").withColumn("delta_pmi", F.round("delta_pmi", 6))
 
 
 _SURPRISAL = f"""WITH {_TOK}, s AS (SELECT item_id, pos, token, lag(token) OVER (PARTITION BY item_id ORDER BY pos) AS prev FROM t), q AS (SELECT * FROM s WHERE prev IS NOT NULL),
