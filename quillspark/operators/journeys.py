@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.metrics import cosine, squared_distance
 from ..sources.files import materialize
+from .pairs import pair_counts
 from .windows import exact_quantiles, shared_hash
 
 
@@ -84,8 +85,7 @@ def background(df: DataFrame, tokens: Column, width: int = 5) -> tuple[DataFrame
     """Word counts (word, n) and windowed pair counts (w1, w2, n)."""
     held = df.select(tokens.alias("t"))
     uni = held.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    bi = held.select(F.explode(word_pairs(F.col("t"), width)).alias("p")).groupBy("p.w1", "p.w2").agg(F.count("*").alias("n"))
-    return uni, bi
+    return uni, pair_counts(held, F.col("t"), width)
 
 
 def delta_pmi(df: DataFrame, tokens: Column, key: str, uni: DataFrame, bi: DataFrame, width: int = 5, alpha: float = 0.5) -> DataFrame:
