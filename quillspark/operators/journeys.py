@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.metrics import cosine, squared_distance
 from ..sources.files import materialize
-from .pairs import pair_counts
+from .pairs import own_surprisal, pair_counts
 from .windows import exact_quantiles, shared_hash
 
 
@@ -110,14 +110,21 @@ def delta_pmi(df: DataFrame, tokens: Column, key: str, uni: DataFrame, bi: DataF
 
 def bigram_surprisal(df: DataFrame, tokens: Column, key: str, alpha: float = 0.1) -> DataFrame:
     """(key, pos, token, surprisal) in nats under an add-alpha bigram model of the table itself; from the second word on."""
-    steps = positions(df, tokens, key)
-    w = Window.partitionBy(key).orderBy("pos")
-    seq = steps.withColumn("prev", F.lag("token").over(w)).filter("prev IS NOT NULL")
-    bi = seq.groupBy("prev", "token").agg(F.count("*").alias("c"))
-    first = bi.groupBy("prev").agg(F.sum("c").alias("c1"))
-    size = steps.agg(F.count_distinct("token").cast("double").alias("v"))
-    j = seq.join(bi, ["prev", "token"]).join(first, "prev").join(F.broadcast(size))
-    return j.select(key, "pos", "token", (-F.log((F.col("c") + alpha) / (F.col("c1") + alpha * F.col("v")))).alias("surprisal"))
+    told = own_surprisal(df, tokens, key, alpha)
+    after = F.slice("tokens", F.lit(2), F.size("surprisal"))
+    steps = told.select(key, F.posexplode(F.arrays_zip(after.alias("token"), F.col("surprisal"))).alias("p", "s"))
+    return steps.select(key, (F.col("p") + 1).alias("pos"), "s.token", "s.surprisal")
+
+
+def surprisal_series(df: DataFrame, tokens: Column, key: str, alpha: float = 0.1) -> DataFrame:
+    """(key, s): the surprisals of ``bigram_surprisal`` of each text with any, in order, in the row."""
+    return own_surprisal(df, tokens, key, alpha, named=False).filter(F.size("surprisal") > 0).select(key, F.col("surprisal").alias("s"))
+
+
+def summarize_series(series: DataFrame, key: str) -> DataFrame:
+    """Mean, maximum and length of each series (key, s)."""
+    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
+    return series.select(key, mean.alias("avg_value"), F.array_max("s").alias("max_value"), F.size("s").cast("long").alias("n"))
 
 
 def summarize(steps: DataFrame, key: str, value: str) -> DataFrame:
@@ -227,7 +234,13 @@ def adjacent_flow(df: DataFrame, tokens: Column, key: str, vector=hash_vector) -
 
 def quarter_means(steps: DataFrame, key: str, value: str) -> DataFrame:
     """Means of the first and the last max(1, n // 4) values of series with at least four."""
-    s = steps.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("__v")))), lambda x: x["__v"]).alias("s")).filter(F.size("s") >= 4)
+    s = steps.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("__v")))), lambda x: x["__v"]).alias("s"))
+    return series_quarters(s, key)
+
+
+def series_quarters(series: DataFrame, key: str) -> DataFrame:
+    """The same of series (key, s) that are in the row."""
+    s = series.filter(F.size("s") >= 4)
     q = F.greatest(F.lit(1), F.floor(F.size("s") / 4).cast("int"))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / q
     return s.select(key, mean(F.slice("s", F.lit(1), q)).alias("start"), mean(F.slice("s", F.size("s") - q + 1, q)).alias("finish"))

@@ -1,13 +1,13 @@
 """Counts of pairs of neighbouring words, made in runs of texts, so that what many texts of a run share moves once.
 
-``pair_counts`` returns the words. ``own_delta_pmi`` meets every pair of every text with its count in all texts: a run sends each of
+``pair_counts`` returns the words. ``own_delta_pmi`` and ``own_surprisal`` meet every pair of every text with its count in all texts: a run sends each of
 its different pairs once, as a 64-bit key, to the bucket of the key, and gets the counts back in the same order. Two pairs of equal keys would be
 counted together; among a thousand million different pairs there is one such in forty cases.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +108,34 @@ class _Text:
         return float(((here - there) * weight).sum() / weight.sum())
 
 
-def _texts_of(column, width: int) -> list[_Text]:
+class _Steps:
+    """Of one text, given by its words' hashes: the different steps from a word to the next and the words that they leave, their keys and numbers."""
+
+    def __init__(self, w: np.ndarray):
+        known, code = np.unique(w, return_inverse=True)
+        code = code.reshape(-1)
+        left, self.at_left, n_left = np.unique(code[:-1], return_inverse=True, return_counts=True)
+        step, self.at_step, n_step = np.unique(code[:-1] * max(1, len(known)) + code[1:], return_inverse=True, return_counts=True)
+        a, b = np.divmod(step, max(1, len(known)))
+        words = _mixed(known.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        steps = _mixed(words[a] * np.uint64(3) + _mixed(words[b] ^ np.uint64(0xD6E8FEB86659FD93)))
+        self.n_left = len(left)
+        self.keys, self.counts = np.concatenate((words[left], steps)), np.concatenate((n_left, n_step))
+
+    def score(self, among: np.ndarray, distinct: int, alpha: float) -> np.ndarray:
+        """Nats of each step."""
+        c1, c = among[: self.n_left].astype(float)[self.at_left], among[self.n_left :][self.at_step]
+        return -np.log((c + alpha) / (c1 + alpha * distinct))
+
+
+def _texts_of(column, make: Callable) -> list:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
-    return [_Text(flat[e - n : e].astype(np.int64), width) for n, e in zip(sizes, ends)]
+    return [make(flat[e - n : e].astype(np.int64)) for n, e in zip(sizes, ends)]
 
 
-def _run_keys(texts: list[_Text]) -> tuple[np.ndarray, np.ndarray]:
+def _run_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """The run's different keys, ascending, and of every key of every text its place among them."""
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *[t.keys for t in texts]]), return_inverse=True)
 
@@ -135,29 +155,33 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def own_delta_pmi(df: DataFrame, tokens: Column, key: str, width: int = 5, alpha: float = 0.5) -> DataFrame:
-    """(key, delta_pmi): ``journeys.delta_pmi`` of texts against the counts of these texts themselves."""
-    kind = df.schema[key].dataType.simpleString()
-    slim = df.select(F.col(key).alias("key"), F.coalesce(F.transform(tokens, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")).alias("w"))
+def _in_runs(df: DataFrame, tokens: Column, key: str, named: bool) -> DataFrame:
+    """(key, t, w, run), written: the words of each text (none unless ``named``), their hashes, and the run that the text belongs to."""
+    slim = df.select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t")).withColumn("w", F.transform("t", lambda w: F.xxhash64(w)))
+    slim = slim if named else slim.withColumn("t", F.lit(None).cast("array<string>"))
 
     def number(batches: Iterator) -> Iterator[pa.RecordBatch]:
         name, held = TaskContext.get().partitionId() << 24, 0
         for b in batches:
             names = []
-            for n in pc.list_value_length(b.column(1)).to_pylist():
+            for n in pc.list_value_length(b.column(2)).to_pylist():
                 if held and held + n > RUN_WORDS:
                     name, held = name + 1, 0
                 held += n
                 names.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *b.columns], ["run", "key", "w"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], ["key", "t", "w", "run"])
 
     # Written once: a second evaluation could put texts into other runs.
-    texts = materialize(slim.mapInArrow(number, f"run bigint, key {kind}, w array<bigint>"))
-    total = float(texts.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0])
-    bits = max(3, int(total * (width + 1) / BUCKET_KEYS).bit_length())
+    return materialize(slim.mapInArrow(number, f"key {slim.schema['key'].dataType.simpleString()}, t array<string>, w array<bigint>, run bigint"))
+
+
+def _met(texts: DataFrame, n_keys: float, make: Callable, score: Callable, kind: str) -> DataFrame:
+    """``texts`` without run and hashes, with ``score(text, counts in all texts of the text's keys)`` as ``value``, where ``make(hashes)`` tells a text's keys and their counts."""
+    bits = max(3, int(n_keys / BUCKET_KEYS).bit_length())
+    carried = [c for c in texts.columns if c not in ("run", "w")]
 
     def send(run: pa.Table) -> pa.Table:
-        own = _texts_of(run.column("w"), width)
+        own = _texts_of(run.column("w"), make)
         keys, place = _run_keys(own)
         n = np.bincount(place, np.concatenate([np.zeros(0), *[t.counts for t in own]]), len(keys)).astype("<u4")
         at = np.concatenate(([0], np.flatnonzero(np.diff(keys >> np.uint64(64 - bits))) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
@@ -174,12 +198,31 @@ def own_delta_pmi(df: DataFrame, tokens: Column, key: str, width: int = 5, alpha
         return pa.table([bucket.column("run"), bucket.column("bucket"), pa.array([told[e - len(k) : e].tobytes() for k, e in zip(keys, ends)], pa.binary())], ["run", "bucket", "n"])
 
     def meet(run: pa.Table, counts: pa.Table) -> pa.Table:
-        own = _texts_of(run.column("w"), width)
+        own = _texts_of(run.column("w"), make)
         _, place = _run_keys(own)
         among = np.concatenate([np.zeros(0), *[np.frombuffer(x, "<u8") for x in counts.sort_by("bucket").column("n").to_pylist()]])[place]
         ends = np.cumsum([len(t.keys) for t in own])
-        return pa.table([run.column("key"), pa.array([t.score(among[e - len(t.keys) : e], total, alpha) for t, e in zip(own, ends)], pa.float64())], ["key", "delta_pmi"])
+        return run.select(carried).append_column("value", pa.array([score(t, among[e - len(t.keys) : e]) for t, e in zip(own, ends)], pa.float64() if kind == "double" else pa.list_(pa.float64())))
 
-    sent = texts.groupBy("run").applyInArrow(send, "bucket int, run bigint, keys binary, n binary")
+    sent = texts.select("run", "w").groupBy("run").applyInArrow(send, "bucket int, run bigint, keys binary, n binary")
     told = sent.groupBy("bucket").applyInArrow(add, "run bigint, bucket int, n binary")
-    return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(meet, f"key {kind}, delta_pmi double").withColumnRenamed("key", key)
+    out = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in carried)
+    return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(meet, f"{out}, value {kind}")
+
+
+def own_delta_pmi(df: DataFrame, tokens: Column, key: str, width: int = 5, alpha: float = 0.5) -> DataFrame:
+    """(key, delta_pmi): ``journeys.delta_pmi`` of texts against the counts of these texts themselves."""
+    texts = _in_runs(df, tokens, key, False).drop("t")
+    total = float(texts.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0])
+    told = _met(texts, total * (width + 1), lambda w: _Text(w, width), lambda t, among: t.score(among, total, alpha), "double")
+    return told.select(F.col("key").alias(key), F.col("value").alias("delta_pmi"))
+
+
+def own_surprisal(df: DataFrame, tokens: Column, key: str, alpha: float = 0.1, named: bool = True) -> DataFrame:
+    """(key, tokens, surprisal): nats of every word after the first under an add-alpha model of the steps from word to word in these texts. Tokens only if ``named``."""
+    texts = _in_runs(df, tokens, key, named)
+    texts = texts if named else texts.drop("t")
+    words = texts.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    told = _met(texts, total * 2.0, _Steps, lambda t, among: t.score(among, distinct, alpha), "array<double>")
+    return told.select(F.col("key").alias(key), *[F.col("t").alias("tokens")] * named, F.col("value").alias("surprisal"))
