@@ -318,7 +318,7 @@ def surprisal_journey(spark, sf_dir, texts=_bench):
 @plan("MT6 MT24 TK4", _SURPRISAL + " SELECT item_id, round(avg(x), 6) AS avg_value, round(max(x), 6) AS max_value, count(*) AS n FROM j GROUP BY 1")
 def journey_summary(spark, sf_dir, texts=_bench):
     b, w = texts(spark, sf_dir)
-    s = jo.summarize(jo.bigram_surprisal(b, w, "item_id"), "item_id", "surprisal")
+    s = jo.summarize_series(jo.surprisal_series(b, w, "item_id"), "item_id")
     return s.select("item_id", F.round("avg_value", 6).alias("avg_value"), F.round("max_value", 6).alias("max_value"), "n")
 
 
