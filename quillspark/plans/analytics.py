@@ -326,7 +326,7 @@ def journey_summary(spark, sf_dir, texts=_bench):
   m AS (SELECT median(a) AS ma, median(z) AS mz FROM e) SELECT item_id, round(a, 6) AS start, round(z, 6) AS finish, CASE WHEN a < ma AND z > mz THEN 'crescendo' WHEN a > ma AND z < mz THEN 'diminuendo' WHEN a > ma AND z > mz THEN 'sustained high' WHEN a < ma AND z < mz THEN 'sustained low' END AS archetype FROM e, m""")
 def journey_archetypes(spark, sf_dir, texts=_bench):
     b, w = texts(spark, sf_dir)
-    a = jo.archetypes(jo.quarter_means(jo.bigram_surprisal(b, w, "item_id"), "item_id", "surprisal"))
+    a = jo.archetypes(jo.series_quarters(jo.surprisal_series(b, w, "item_id"), "item_id"))
     return a.select("item_id", F.round("start", 6).alias("start"), F.round("finish", 6).alias("finish"), "archetype")
 
 
