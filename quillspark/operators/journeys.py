@@ -265,6 +265,13 @@ def normalized_positions(steps: DataFrame, key: str) -> DataFrame:
     return steps.withColumn("percent", F.when(n > 1, F.col("pos") / (n - 1) * 100).otherwise(0.0))
 
 
+def text_positions(df: DataFrame, tokens: Column, key: str) -> DataFrame:
+    """(key, pos, percent): the places of ``normalized_positions`` of the words of each text, from their number alone, in the row."""
+    sized = df.select(key, F.size(tokens).alias("n")).filter("n > 0")
+    each = sized.select(key, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    return each.select(key, "pos", F.when(F.col("n") > 1, F.col("pos") / (F.col("n") - 1) * 100).otherwise(0.0).alias("percent"))
+
+
 def prefixes(tokens: Column) -> Column:
     """The text up to each word."""
     return F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, F.lit(1), i), " "))

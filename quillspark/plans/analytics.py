@@ -336,7 +336,7 @@ def position_bins(spark, sf_dir, texts=_bench):
     from ..operators.aggregates import equal_width_bins
 
     b, w = texts(spark, sf_dir)
-    return equal_width_bins(jo.normalized_positions(jo.positions(b, w, "item_id"), "item_id"), "percent", 10, 0, 100)
+    return equal_width_bins(jo.text_positions(b, w, "item_id"), "percent", 10, 0, 100)
 
 
 @plan("WN4", r"""SELECT item_id, i, array_to_string(w[1:i], ' ') AS prefix FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark))""")
