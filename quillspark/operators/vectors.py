@@ -78,12 +78,21 @@ def cluster_quality(df: DataFrame, vector: str, label: str) -> DataFrame:
     return ch.join(worst.agg(F.avg("r").alias("davies_bouldin")))
 
 
+#: Rows of a block, and the cosines that a task holds at a time.
+BLOCK_ROWS, HELD = 16_000, 1 << 21
+#: A table of few blocks is cut finer, so that several tasks share it.
+LEAST_BLOCKS, LEAST_ROWS = 6, 1000
+
+
 def _blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, -(-df.count() // block_rows))
+    n = df.count()
+    return max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // LEAST_ROWS))
 
 
 def _dealt(df: DataFrame, key: str, vector: str, n: int, own: str) -> DataFrame:
-    return df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias(own))
+    narrow = df.schema[vector].dataType.elementType.typeName() in ("float", "double")
+    v = F.col(vector) if narrow else F.transform(vector, lambda x: x.cast("double"))
+    return df.select(F.col(key).alias("id"), v.alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias(own))
 
 
 def _spread(df: DataFrame, to: str, first: Column | int, last: Column | int) -> DataFrame:
@@ -92,27 +101,41 @@ def _spread(df: DataFrame, to: str, first: Column | int, last: Column | int) ->
     return df.withColumn(to, F.explode(F.sequence(*ends)))
 
 
-def _cosines(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    """Cosines of all vectors of two blocks; -2 where one is zero."""
-    m, w = np.array(x["v"].tolist()), np.array(y["v"].tolist())
-    with np.errstate(invalid="ignore", divide="ignore"):
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        w /= np.linalg.norm(w, axis=1, keepdims=True)
-    return np.nan_to_num(m @ w.T, nan=-2.0)
+def _units(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block; rows without a direction are left out."""
+    v = np.array(rows["v"].tolist()).astype(np.float64, copy=False)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    held = np.isfinite(v).all(1)
+    return rows["id"].to_numpy()[held], v[held]
+
+
+def _rough(m: np.ndarray, w: np.ndarray):
+    """(first row, cosines in single precision) of a few rows of ``m`` at a time, and how far two of them may be off together."""
+    few, wide, step = m.astype(np.float32), w.astype(np.float32).T, max(1, HELD // max(1, len(w)))
+    slack = np.float32((m.shape[1] + 8) * 2.0**-22)
+    for at in range(0, len(m), step):
+        yield at, few[at : at + step] @ wide, slack
+
+
+def _cosines(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Cosine of each pair of unit vectors, the same for equal pairs wherever they stand."""
+    return np.einsum("ij,ij->i", m, w)
 
 
 _PAIRS = "id long, other long, similarity double"
 
 
-def _pairs(ids, others, sims) -> pd.DataFrame:
+def _pairs(parts: list[tuple]) -> pd.DataFrame:
+    ids, others, sims = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
     return pd.DataFrame({"id": np.asarray(ids, np.int64), "other": np.asarray(others, np.int64), "similarity": np.asarray(sims, np.float64)})
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, same: bool = False, block_rows: int = 4000) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, same: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, other, similarity): of each left vector its k best right ones by cosine, exactly; of equal ones the smallest keys.
 
-    With ``same`` a row is not its own neighbour. Both sides are dealt to blocks, each pair of
-    blocks is one matrix product, and k of each row leave it.
+    With ``same`` a row is not its own neighbour. Both sides are dealt to blocks, each pair of blocks is multiplied, some
+    rows at a time, in single precision; what may be among the k best by that is computed in double, and k of each row leave.
     """
     n_left, n_right = _blocks(left, block_rows), _blocks(right, block_rows)
     a = _spread(_dealt(left, key, vector, n_left, "a"), "b", 0, n_right - 1)
@@ -120,24 +143,31 @@ def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return _pairs([], [], [])
-        sims, ids, others = _cosines(x, y), x["id"].to_numpy(), y["id"].to_numpy()
-        if same:
-            sims[ids[:, None] == others[None, :]] = -2.0
-        at = max(0, sims.shape[1] - k)
-        least = np.partition(sims, at, axis=1)[:, at]
-        i, j = np.nonzero((sims >= least[:, None]) & (sims > -2.0))
-        order = np.lexsort((others[j], -sims[i, j], i))
-        i, j = i[order], j[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[keep], j[keep]
-        return _pairs(ids[i], others[j], sims[i, j])
+            return _pairs([])
+        (ids, m), (others, w), out = _units(x), _units(y), []
+        if not len(ids) or not len(others):
+            return _pairs([])
+        order, place = np.argsort(others, kind="stable"), max(0, len(others) - k)
+        low, high = (np.searchsorted(others[order], ids, side) for side in ("left", "right"))
+        for at, rough, slack in _rough(m, w):
+            if same:
+                for i in np.flatnonzero(low[at : at + len(rough)] < high[at : at + len(rough)]):
+                    rough[i, order[low[at + i] : high[at + i]]] = -2
+            least = rough.max(1) if k == 1 else np.partition(rough, place, axis=1)[:, place]
+            i, j = np.nonzero(rough >= np.maximum(least - slack, np.float32(-1.5))[:, None])
+            i += at
+            sims = _cosines(m[i], w[j])
+            order_ = np.lexsort((others[j], -sims, i))
+            i, j, sims = i[order_], j[order_], sims[order_]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((ids[i[keep]], others[j[keep]], sims[keep]))
+        return _pairs(out)
 
     out = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(product, _PAIRS)
     return top_per_group(out, ["id"], [F.col("similarity").desc(), "other"], k).drop("rn")
 
 
-def near_pairs(df: DataFrame, key: str, vector: str, least: float, block_rows: int = 4000) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, vector: str, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, other, similarity): every pair of rows, id < other, from cosine ``least`` on, exactly; each pair of blocks is multiplied once."""
     n = _blocks(df, block_rows)
     a = _spread(_dealt(df, key, vector, n, "a"), "b", F.col("a"), n - 1)
@@ -145,12 +175,14 @@ def near_pairs(df: DataFrame, key: str, vector: str, least: float, block_rows: i
 
     def product(block: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return _pairs([], [], [])
-        sims, ids, others = _cosines(x, y), x["id"].to_numpy(), y["id"].to_numpy()
-        i, j = np.nonzero(sims >= least)
-        u, v = ids[i], others[j]
-        keep = u < v if block[0] == block[1] else u != v
-        return _pairs(np.minimum(u, v)[keep], np.maximum(u, v)[keep], sims[i, j][keep])
+            return _pairs([])
+        (ids, m), (others, w), out = _units(x), _units(y), []
+        for at, rough, slack in _rough(m, w):
+            i, j = np.nonzero(rough >= np.float32(least) - slack)
+            u, v, sims = ids[i + at], others[j], _cosines(m[i + at], w[j])
+            keep = (u < v if block[0] == block[1] else u != v) & (sims >= least)
+            out.append((np.minimum(u, v)[keep], np.maximum(u, v)[keep], sims[keep]))
+        return _pairs(out)
 
     return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(product, _PAIRS)
 
