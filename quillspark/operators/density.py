@@ -20,8 +20,8 @@ from .windows import upto
 #: Distances below count as this one, so that densities stay finite.
 LEAST = 1e-9
 BLOCK_ROWS = 8000
-#: Rows of a block that are multiplied at a time.
-ROWS = 500
+#: Distances that a task holds at a time.
+HELD = 1 << 20
 #: Tree edges that one task unites.
 RANGE_EDGES = 200_000
 
@@ -56,11 +56,12 @@ def nearest_points(left: DataFrame, right: DataFrame, k: int, block_rows: int =
     """(u, v, w): of each left point its k nearest others on the right by Euclidean distance, exactly; of equal ones the smallest ids."""
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        near: list = []
+        near_w, near_v = [], []
         if len(x) and len(y):
-            q, others = np.array(y["v"].tolist()), y["id"].to_numpy()
-            for at in range(0, len(x), ROWS):
-                p, ids = np.array(x["v"].iloc[at : at + ROWS].tolist()), x["id"].to_numpy()[at : at + ROWS]
+            q, others, all_ids = np.array(y["v"].tolist()), y["id"].to_numpy(), x["id"].to_numpy()
+            step = max(1, HELD // len(q))
+            for at in range(0, len(x), step):
+                p, ids = np.array(x["v"].iloc[at : at + step].tolist()), all_ids[at : at + step]
                 d = _squares(p, q)
                 d[ids[:, None] == others[None, :]] = np.inf
                 most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
@@ -69,11 +70,14 @@ def nearest_points(left: DataFrame, right: DataFrame, k: int, block_rows: int =
                 order = np.lexsort((others[j], w, i))
                 i, j, w = i[order], j[order], w[order]
                 cuts = np.searchsorted(i, np.arange(len(ids) + 1))
-                near += [[{"w": a, "v": b} for a, b in zip(w[s:e].tolist(), others[j[s:e]].tolist())] for s, e in zip(cuts[:-1], np.minimum(cuts[1:], cuts[:-1] + k))]
-        return pd.DataFrame({"u": x["id"] if near else [], "near": near})
+                for s, e in zip(cuts[:-1], np.minimum(cuts[1:], cuts[:-1] + k)):
+                    near_w.append(w[s:e])
+                    near_v.append(others[j[s:e]])
+        return pd.DataFrame({"u": x["id"] if near_w else [], "w": near_w, "v": near_v})
 
     # One row for each point and block of others.
-    out = _pairs_of_blocks(left.select("id", "v"), right.select("id", "v"), block_rows).applyInPandas(product, "u long, near array<struct<w:double,v:long>>")
+    out = _pairs_of_blocks(left.select("id", "v"), right.select("id", "v"), block_rows).applyInPandas(product, "u long, w array<double>, v array<long>")
+    out = out.select("u", F.arrays_zip("w", "v").alias("near"))
     best = out.groupBy("u").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select("u", F.posexplode("near").alias("at", "x")).select("u", "x.v", "x.w", (F.col("at") + 1).alias("place"))
 
@@ -153,8 +157,9 @@ def _nearest_outside(asked: DataFrame, all_: DataFrame, block_rows: int) -> Data
         if x.empty or y.empty:
             return pd.DataFrame({"u": [], "v": [], "w": []})
         q, core, comp, found = np.array(y["v"].tolist()), y["core"].to_numpy(), y["comp"].to_numpy(), []
-        for at in range(0, len(x), ROWS):
-            own = x.iloc[at : at + ROWS]
+        step = max(1, HELD // len(q))
+        for at in range(0, len(x), step):
+            own = x.iloc[at : at + step]
             p, mine = np.array(own["v"].tolist()), own["core"].to_numpy()
             w = np.maximum(np.maximum(np.sqrt(_squares(p, q)), mine[:, None]), core[None, :])
             w[own["comp"].to_numpy()[:, None] == comp[None, :]] = np.inf

@@ -19,6 +19,8 @@ from .vectors import _kept, principal_components, unit
 
 #: Points drawn in a round to push all others, and how many pushes each pull brings.
 DRAWN, PUSHES = 48, 5.0
+#: Neighbour lists that are weighed at a time.
+LISTS = 1000
 
 
 def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
@@ -39,22 +41,26 @@ def memberships(lists: DataFrame, k: int) -> DataFrame:
     """(u, v, w) of each list (u, v, w: distance): 1 for the nearest, then falling, so that a list's sum is log2(k)."""
 
     def weigh(batches):
-        for b in batches:
-            d = np.array([[x["w"] for x in own] + [np.inf] * (k - len(own)) for own in b["near"]]).reshape(len(b), k)
-            rest = np.maximum(d - np.where(d > 0, d, np.inf).min(1, initial=np.inf)[:, None], 0) if len(b) else d
-            rest = np.where(np.isnan(rest), 0, rest)
-            low, high = np.full(len(b), 1e-9), np.full(len(b), 1e9)
-            for _ in range(80):
-                middle = np.sqrt(low * high)
-                total = np.exp(-rest / middle[:, None]).sum(1)
-                over = total > math.log2(k)
-                high, low = np.where(over, middle, high), np.where(over, low, middle)
-            w = np.exp(-rest / np.sqrt(low * high)[:, None])
-            rows = [(u, x["v"], float(w[i, j])) for i, (u, own) in enumerate(zip(b["u"], b["near"])) for j, x in enumerate(own)]
-            yield pd.DataFrame(rows, columns=["u", "v", "w"])
+        for batch in batches:
+            for at in range(0, len(batch), LISTS):
+                b = batch.iloc[at : at + LISTS]
+                sizes = b["v"].map(len).to_numpy()
+                d = np.full((len(b), k), np.inf)
+                d[np.arange(k)[None, :] < sizes[:, None]] = np.concatenate(b["w"].to_list())
+                rest = np.maximum(d - np.where(d > 0, d, np.inf).min(1, initial=np.inf)[:, None], 0)
+                rest = np.where(np.isnan(rest), 0, rest)
+                low, high = np.full(len(b), 1e-9), np.full(len(b), 1e9)
+                for _ in range(80):
+                    middle = np.sqrt(low * high)
+                    total = np.exp(-rest / middle[:, None]).sum(1)
+                    over = total > math.log2(k)
+                    high, low = np.where(over, middle, high), np.where(over, low, middle)
+                w = np.exp(-rest / np.sqrt(low * high)[:, None])
+                yield pd.DataFrame({"u": np.repeat(b["u"].to_numpy(), sizes), "v": np.concatenate(b["v"].to_list()), "w": w[np.arange(k)[None, :] < sizes[:, None]]})
 
     near = F.array_sort(F.collect_list(F.struct("w", "v")))  # k of each point
-    return lists.groupBy("u").agg(near.alias("near")).mapInPandas(weigh, "u long, v long, w double")
+    own = lists.groupBy("u").agg(near.alias("near")).select("u", F.col("near.v").alias("v"), F.col("near.w").alias("w"))
+    return own.mapInPandas(weigh, "u long, v long, w double")
 
 
 def fuzzy_graph(lists: DataFrame, k: int) -> DataFrame:
