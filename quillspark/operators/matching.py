@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 from ..functions.similarity import partial_ratio, token_jaccard, token_set_ratio, token_sort_ratio
 from ..functions.tokens import n_words
+from .slices import map_slices
 from .windows import keep_first
 
+#: Words that a task turns into Python's at a time; a longer text stands alone.
+WORDS = 50_000
+
 
 def sentence_table(df: DataFrame, sentences: Column, key: str) -> DataFrame:
     """(key, i, sentence, len, upto): word counts and their running sum per text."""
@@ -108,13 +112,12 @@ def greedy_matches(words: list[str], targets: list[int], tolerance: float = 0.1,
 def match_lengths(df: DataFrame, words: str, targets: str, key: str) -> DataFrame:
     """Greedy matches of each source row: (key, target_no, start, end). Order-dependent within a row, so one row is one fold."""
 
-    def run(batches):
-        for b in batches:
-            rows = [(k, *m) for k, w, t in zip(b[key], b[words], b[targets]) for m in greedy_matches(list(w), list(t))]
-            yield pd.DataFrame(rows, columns=[key, "target_no", "start", "end"])
+    def matched(b: pd.DataFrame) -> pd.DataFrame:
+        rows = [(k, *m) for k, w, t in zip(b[key], b[words], b[targets]) for m in greedy_matches(list(w), list(t))]
+        return pd.DataFrame(rows, columns=[key, "target_no", "start", "end"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, words, targets).mapInPandas(run, f"{key} {kind}, target_no int, start int, end int")
+    return map_slices(df.select(key, words, targets), words, lambda: matched, f"{key} {kind}, target_no int, start int, end int", WORDS)
 
 
 def sorted_neighbour_dedupe(df: DataFrame, text: str, order: Sequence[str], key: str, block: Sequence[str], least: float = 95) -> DataFrame:
