@@ -94,22 +94,32 @@ def ocr_lines(c: Column) -> Column:
     return F.array_join(F.filter(F.split(c, "\n"), keep), "\n")
 
 
-@F.pandas_udf(T.StringType())
-def without_credit_lines(text: pd.Series, title: pd.Series, author: pd.Series) -> pd.Series:
-    """Lines much like the author or the title (similarity over 0.8, not much longer) go."""
-
-    def one(t, *names):
-        if t is None:
-            return None
-        kept = []
-        for line in t.split("\n"):
-            low = line.strip().lower()
-            names_ = [n.lower() for n in names if n]
-            if not any(len(low) < 1.5 * len(n) and difflib.SequenceMatcher(None, low, n).ratio() > 0.8 for n in names_):
-                kept.append(line)
-        return "\n".join(kept)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _credits(lines: pd.Series, title: pd.Series, author: pd.Series) -> pd.Series:
+    """The lines much like the author or the title: similarity over 0.8, not much longer."""
 
-    return pd.Series([one(*r) for r in zip(text, title, author)])
+    def one(own, *names):
+        held, names_ = [], [n.lower() for n in names if n]
+        for line in () if own is None else own:
+            low = line.strip().lower()
+            if any(len(low) < 1.5 * len(n) and difflib.SequenceMatcher(None, low, n).ratio() > 0.8 for n in names_):
+                held.append(line)
+        return held
+
+    return pd.Series([one(*r) for r in zip(lines, title, author)], dtype=object)
+
+
+def without_credit_lines(text: Column | str, title: Column | str, author: Column | str) -> Column:
+    """Lines much like the author or the title go. Only short lines, each once, leave the engine to be compared."""
+    text, *names = (F.col(c) if isinstance(c, str) else c for c in (text, title, author))
+    longest = F.greatest(*[F.coalesce(F.length(n), F.lit(0)) for n in names])
+    # Lower case at most doubles a name; white space at a line's ends does not count.
+    short = lambda x: F.length(F.regexp_replace(x, r"[\s\p{Z}\x1C-\x1F\x{85}]+", "")) < 3 * longest
+    lines = F.split(text, "\n")
+    found = _credits(F.array_distinct(F.filter(lines, short)), *names)
+    # The found lines are a variable of the outer lambda, or they would be looked up anew for every line.
+    kept = F.transform(F.array(found), lambda held: F.filter(lines, lambda x: ~F.array_contains(held, x)))[0]
+    return F.array_join(kept, "\n")
 
 
 def merge_dialogue(sentences: Column) -> Column:
