@@ -21,8 +21,8 @@ from .pairs import own_surprisal, pair_counts
 from .windows import exact_quantiles, shared_hash
 
 
-#: Words whose distances to all words before are held at once.
-FLOW_BLOCK = 256
+#: Words whose distances to all words before are told at once, and the distances of different words that are held.
+FLOW_BLOCK, FLOW_HELD = 256, 1 << 21
 
 
 def positions(df: DataFrame, tokens: Column, key: str) -> DataFrame:
@@ -190,23 +190,35 @@ def stepwise_distance(df: DataFrame, sentences: Column, key: str, embed) -> Data
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _mean_distances(flat: pd.Series, size: pd.Series) -> pd.Series:
-    """For each vector from the second on the mean distance to all before it; equal vectors are compared once a block."""
+    """For each vector from the second on the mean distance to all before it; equal vectors are compared once."""
+
+    def apart(x, y):
+        out = np.zeros((len(x), len(y)))
+        for c, d in zip(x.T, y.T):
+            out += (c[:, None] - d[None, :]) ** 2
+        return np.sqrt(out, out=out)
 
     def journey(v, n):
         if v is None or n < 2:
             return None
         known, word = np.unique(np.asarray(v, float).reshape(int(n), -1), axis=0, return_inverse=True)
         word = word.reshape(-1)
-        out, seen = np.empty(len(word)), np.zeros(len(known))
+        out, blocks = np.zeros(len(word)), []
         for at in range(0, len(word), FLOW_BLOCK):
             here = word[at : at + FLOW_BLOCK]
             own, row = np.unique(here, return_inverse=True)
-            distance = np.zeros((len(own), len(known)))
-            for c in known.T:
-                distance += (c[own, None] - c[None, :]) ** 2
-            np.sqrt(distance, out=distance)
-            out[at : at + len(here)] = (distance @ seen)[row] + np.tril(distance[row[:, None], here[None, :]], -1).sum(axis=1)
-            seen += np.bincount(here, minlength=len(known))
+            blocks.append((at, here, own, row))
+            near = apart(known[own], known[own])
+            out[at : at + len(here)] = np.tril(near[row[:, None], row[None, :]], -1).sum(axis=1)
+        # The distances of each two words are computed once for the text, some columns at a time, not once for every block.
+        wide = max(1, FLOW_HELD // len(known))
+        for low in range(0, len(known) if len(blocks) > 1 else 0, wide):
+            distance = apart(known, known[low : low + wide])
+            seen = np.zeros(distance.shape[1])
+            for at, here, own, row in blocks:
+                out[at : at + len(here)] += (distance[own] @ seen)[row]
+                inside = here[(here >= low) & (here < low + wide)] - low
+                seen += np.bincount(inside, minlength=len(seen))
         return out[1:] / np.arange(1, len(word))
 
     return pd.Series([journey(v, n) for v, n in zip(flat, size)], dtype=object)
