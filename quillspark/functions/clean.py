@@ -191,6 +191,8 @@ CHAPTER = [
     (rf"([,.;:!?])({W})", r"\1 \2"),
     *STRIP,
 ]
+# The same for Spark: a c is sought first, and only behind it whether a word begins there.
+CHAPTER_STEPS = [(p.replace(r"(?i)\bCHAPTER", r"[cC](?<=\b.)(?i)HAPTER"), new) for p, new in CHAPTER]
 CHAPTER_PATTERNS = {
     "with_roman": rf"(?i)\bCHAPTER{S}+[IVXLCDM]+\b", "with_number": rf"(?i)\bCHAPTER{S}+\d+\b", "total": r"(?i)\bCHAPTER\b",
 }
@@ -198,7 +200,7 @@ CHAPTER_PATTERNS = {
 
 def clean_chapters(c: Column) -> Column:
     """Chapter marks go, spaces about punctuation are mended, sentences start with a capital."""
-    parts = F.regexp_extract_all(apply_rules(c, CHAPTER), F.lit(r"[^.!?]+|[.!?]+[ \t\n\r]*"), F.lit(0))
+    parts = F.regexp_extract_all(apply_rules(c, CHAPTER_STEPS), F.lit(r"[^.!?]+|[.!?]+[ \t\n\r]*"), F.lit(0))
     raised = F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(r"^[ \t\n\r]*\p{Ll}")), F.concat(F.upper(F.substring(F.ltrim(x), 1, 1)), F.substring(F.ltrim(x), F.lit(2), F.length(x)))).otherwise(x))
     return apply_rules(F.array_join(raised, ""), COLLAPSE)
 
@@ -233,6 +235,14 @@ CLEAN_TEXT = [
     (r"\x{00AD}", ""), (r"[\x00-\x1F\x7F-\x{9F}]", ""), (ELLIPSES, " \u2026 "), (DASHES, " \u2014 "), (r"\^\d+", ""), (r"\[\d+\]", ""),
     (rf"{S}+", " "), (rf"{S}+([.,?!;:])", r"\1"), (rf"{UNICODE_SPACES}+", " "), (r" +", " "), (r"\.{2,}", " \u2026 "), (r" +", " "), *STRIP,
 ]
+# The same for Spark: signs and runs of dots apart, dashes without the spaces about them, which a later rule makes one.
+_SIGN = ELLIPSES.split("|", 1)[1]
+_DASH = r"[\x{2014}\x{2013}\x{2212}\x{2E3A}\x{2E3B}]"
+_APART = {
+    ELLIPSES: [(_SIGN, " \u2026 "), (r"\.{2,}", " \u2026 ")],
+    DASHES: [(rf"({_DASH})\1*", " \u2014 "), (r"--+", " \u2014 ")],
+}
+CLEAN_STEPS = [step for rule in CLEAN_TEXT for step in _APART.get(rule[0], [rule])]
 RESIDUE = {
     "smart_quotes": r"[\x{201c}\x{201d}\x{2018}\x{2019}\x{201a}\x{201e}\x{2039}\x{203a}\x{00ab}\x{00bb}\x{02ba}\x{02ee}\x{201f}]",
     "superscripts": r"[\x{2070}\x{00b9}\x{00b2}\x{00b3}\x{2074}-\x{2079}]", "soft_hyphens": r"\x{00AD}", "control_chars": r"[\x00-\x1F]",
@@ -249,7 +259,7 @@ def nfc(text: pd.Series) -> pd.Series:
 def clean_text(c: Column, normalize: bool = True) -> Column:
     """Signs in one form each: quotes, digits, ellipses, dashes, spaces; footnote marks and controls go. Null is empty."""
     c = F.coalesce(nfc(c) if normalize else c, F.lit(""))
-    return apply_rules(F.translate(c, *TRANSLATE), CLEAN_TEXT)
+    return apply_rules(F.translate(c, *TRANSLATE), CLEAN_STEPS)
 
 
 def _inner(a: str, b: str) -> tuple[str, str]:

@@ -6,6 +6,7 @@ Java and RE2 know: no look-around, and classes written out instead of ``\\w`` an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -18,12 +19,25 @@ STRIP: list[Rule] = [(rf"^{S}+", ""), (rf"{S}+$", "")]
 COLLAPSE: list[Rule] = [(rf"{S}+", " "), *STRIP]
 
 
+_FAR = re.compile(r"\[((?:\\x\{[0-9A-Fa-f]{4}\}-?)+)\]")
+
+
+def for_java(pattern: str) -> str:
+    """The same pattern, whose classes of listed signs ask first whether a sign lies between the least and the greatest of them."""
+
+    def ranged(m: re.Match) -> str:
+        codes = sorted(int(x, 16) for x in re.findall(r"\{(\w+)\}", m[1]))
+        return rf"[\x{{{codes[0]:04X}}}-\x{{{codes[-1]:04X}}}&&[{m[1]}]]"
+
+    return _FAR.sub(ranged, pattern)
+
+
 def apply_rules(c: Column, rules: Sequence[Rule]) -> Column:
     for pattern, new in rules:
         new = new.replace("$", r"\$")
         for k in range(1, 5):
             new = new.replace(f"\\{k}", f"${k}")
-        c = F.regexp_replace(c, pattern, new)
+        c = F.regexp_replace(c, for_java(pattern), new)
     return c
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import for_java
+
 from ..sources.files import materialize
 from .windows import exact_quantiles
 
@@ -93,7 +95,7 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "
 
 
 def regex_totals(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    return df.agg(*[F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(p))), F.lit(0)).cast("bigint").alias(n) for n, p in patterns.items()])
+    return df.agg(*[F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(for_java(p)))), F.lit(0)).cast("bigint").alias(n) for n, p in patterns.items()])
 
 
 def running_share(df: DataFrame, value: str, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
