@@ -23,8 +23,13 @@ def n_words(c: Column) -> Column:
     return F.when(c.isNull(), 0).otherwise(F.size(split_words(c)))
 
 
+def _lower(c: Column) -> Column:
+    """Every letter by itself: Java makes two letters of a dotted I, and a sigma at the end of a word another letter."""
+    return F.lower(F.replace(F.replace(c, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def alnum(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(WORD_OR_NUMBER), F.lit(0))
+    return F.regexp_extract_all(_lower(c), F.lit(WORD_OR_NUMBER), F.lit(0))
 
 
 def alphabetic(c: Column) -> Column:

@@ -234,11 +234,13 @@ def forward_flow(df: DataFrame, tokens: Column, key: str, vector=hash_vector) ->
 
 
 def adjacent_flow(df: DataFrame, tokens: Column, key: str, vector=hash_vector) -> DataFrame:
-    """Mean cosine distance of neighbouring words; 0 under two words."""
+    """Mean cosine distance of neighbouring words; 0 for one word, no row for a text without any."""
     held = df.select(key, F.transform(tokens, lambda w: vector(w)).alias("v"))
     n = F.size("v")
     steps = F.zip_with(F.slice("v", 1, F.greatest(n - 1, F.lit(0))), F.slice("v", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: 1 - cosine(a, b))
-    return held.select(key, F.when(n >= 2, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (n - 1)).otherwise(0.0).alias("volatility"))
+    mean = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (n - 1)
+    # A filter would be pushed below the vectors and make them twice.
+    return held.select(key, F.explode(F.when(n >= 2, F.array(mean)).when(n == 1, F.array(F.lit(0.0)))).alias("volatility"))
 
 
 # --- shapes ---
