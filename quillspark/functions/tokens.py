@@ -10,6 +10,8 @@ ALPHABETIC = r"[a-z']*[a-z][a-z']*"
 WORD_OR_MARK = r"[\p{L}\p{N}_']+|[.,!?;]"
 #: Words with their contractions split off, numbers with inner points, and single marks.
 TREEBANK = r"(?i)n't\b|'(?:s|m|re|ve|ll|d)\b|\p{N}+(?:[.,]\p{N}+)*|\p{L}+?(?=n't\b)|[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*|\.\.\.|[^\p{L}\p{N}_\s]"
+#: Spaces that SQL trims.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 #: Parts sentences: a line break, which no text holds once its white space is single spaces.
 SENTENCE_MARK = "\n"
 
@@ -48,7 +50,7 @@ def sentences(c: Column) -> Column:
     """Cut after . ! or ? (and closing quotes) before white space; line breaks are spaces; blanks are left out."""
     flat = F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " ")
     marked = F.regexp_replace(flat, r"([.!?][\"'\x{201d}\x{2019}]*) ", "$1" + SENTENCE_MARK)
-    return F.filter(F.transform(F.split(marked, SENTENCE_MARK), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(marked, SENTENCE_MARK), lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
 
 
 def sentences_sql(c: str) -> str:

@@ -180,12 +180,14 @@ def prefix_shift(df: DataFrame, tokens: Column, key: str, dim: int = 4) -> DataF
 
 
 def stepwise_distance(df: DataFrame, sentences: Column, key: str, embed) -> DataFrame:
-    """Mean squared distance of successive sentence vectors; null under two sentences."""
+    """Mean squared distance of successive sentence vectors; null for one sentence, no row for a text without any."""
     v = F.transform(sentences, embed)
     held = df.select(key, v.alias("v"))
     n = F.size("v")
     steps = F.zip_with(F.slice("v", 1, n - 1), F.slice("v", 2, n - 1), squared_distance)
-    return held.select(key, F.when(n >= 2, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (n - 1)).alias("swd"))
+    mean = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (n - 1)
+    # A filter would be pushed below the vectors and make them twice.
+    return held.select(key, F.explode(F.when(n >= 2, F.array(mean)).when(n == 1, F.array(F.lit(None).cast("double")))).alias("swd"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
