@@ -8,6 +8,7 @@ counted together; among a thousand million different pairs there is one such in
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ def pair_counts(df: DataFrame, tokens: Column, width: int = 5) -> DataFrame:
 
     def count(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for run in _chunks(batches, RUN_WORDS):
+            run = [x.column(0) for x in run]
             words = pa.concat_arrays([x.flatten() for x in run]).dictionary_encode()
             if not len(words):
                 continue
@@ -59,7 +61,7 @@ def pair_counts(df: DataFrame, tokens: Column, width: int = 5) -> DataFrame:
 
 
 def _chunks(batches: Iterator, most: int) -> Iterator[list]:
-    """Lists of slices of the batches' first columns that hold about ``most`` words together."""
+    """Lists of slices of the batches whose first columns hold about ``most`` words together."""
     held, n = [], 0
     for b in batches:
         column = b.column(0)
@@ -67,7 +69,7 @@ def _chunks(batches: Iterator, most: int) -> Iterator[list]:
         start, before = 0, 0
         while start < len(column):
             stop = max(start + 1, int(np.searchsorted(ends, before + most - n, side="right")))
-            held.append(column.slice(start, stop - start))
+            held.append(b.slice(start, stop - start))
             n, start, before = n + int(ends[stop - 1]) - before, stop, int(ends[stop - 1])
             if n >= most or start < len(column):
                 yield held
@@ -128,11 +130,28 @@ class _Steps:
         return -np.log((c + alpha) / (c1 + alpha * distinct))
 
 
-def _texts_of(column, make: Callable) -> list:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
-    return [make(flat[e - n : e].astype(np.int64)) for n, e in zip(sizes, ends)]
+class _Run:
+    """One row of ``_in_runs``: the keys of its texts, the words' names or hashes, and each text's hashes."""
+
+    def __init__(self, row: pa.Table | pa.RecordBatch):
+        self.keys, self.name = row.column("keys")[0], row.column("run")[0].as_py()
+        self.sizes = np.frombuffer(row.column("sizes")[0].as_py(), "<u4").astype(np.int64)
+        self.codes = _unplaned(pa.decompress(row.column("codes")[0].as_py(), row.column("size")[0].as_py(), "zstd", asbytes=True)).astype(np.int64)
+        names = row.column("names")[0]
+        self.names = names.values if names.is_valid else None
+        self.hashes = np.frombuffer(row.column("hashes")[0].as_py(), "<i8") if self.names is None else _hashes(self.names)
+
+    def texts(self, make: Callable) -> list:
+        flat, ends = self.hashes[self.codes], np.cumsum(self.sizes)
+        return [make(flat[e - n : e]) for n, e in zip(self.sizes, ends)]
+
+    def words(self) -> pa.ListArray:
+        """The words of each text."""
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.sizes))), pa.int32()), self.names.take(pa.array(self.codes)))
+
+
+def _hashes(names: pa.Array) -> np.ndarray:
+    return np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in names.to_pylist()], np.int64)
 
 
 def _run_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -140,89 +159,146 @@ def _run_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *[t.keys for t in texts]]), return_inverse=True)
 
 
+def _planed(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, all first bytes, then all second ones and so on, so that rarely used bytes compress away; the first byte tells how many."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, -1, 1) if len(data) > 1 else np.zeros(0, np.uint8)
+    planes = planes.reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
 def _packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as their steps, in as few bytes each as the widest needs; the first byte tells how many."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending keys: the first, and the steps to the others."""
+    return keys[:1].astype("<u8").tobytes() + _planed(np.diff(keys))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :width] = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, width)
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(data, "<u8", 1), _unplaned(data[8:]))), dtype=np.uint64)
 
 
 def _in_runs(df: DataFrame, tokens: Column, key: str, named: bool) -> DataFrame:
-    """(key, t, w, run), written: the words of each text (none unless ``named``), their hashes, and the run that the text belongs to."""
-    slim = df.select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t")).withColumn("w", F.transform("t", lambda w: F.xxhash64(w)))
-    slim = slim if named else slim.withColumn("t", F.lit(None).cast("array<string>"))
+    """Runs of texts of about ``RUN_WORDS`` words, a row each, written: the texts' keys and sizes, and their words as numbers into the run's different words,
+    of which the names are kept if ``named``, else their hashes."""
+    slim = df.select(F.coalesce(tokens, F.array().cast("array<string>")).alias("t"), F.col(key).alias("key"))
+
+    def pack(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 24
+        for n, run in enumerate(_chunks(batches, RUN_WORDS)):
+            words = pa.concat_arrays([x.column(0).flatten() for x in run]).dictionary_encode()
+            at = words.indices.to_numpy()
+            order = np.argsort(-np.bincount(at, minlength=len(words.dictionary)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            codes, names = _planed(rank[at]), words.dictionary.take(pa.array(order))
+            sizes = np.concatenate([pc.list_value_length(x.column(0)).to_numpy(zero_copy_only=False) for x in run]).astype("<u4")
+            keys = pa.concat_arrays([x.column(1) for x in run])
+            told = {
+                "run": pa.array([name + n], pa.int64()), "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), "sizes": pa.array([sizes.tobytes()], pa.binary()),
+                "codes": pa.array([pa.compress(codes, "zstd", asbytes=True)], pa.binary()), "size": pa.array([len(codes)], pa.int64()),
+                "names": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names) if named else pa.nulls(1, pa.list_(pa.string())),
+                "hashes": pa.nulls(1, pa.binary()) if named else pa.array([_hashes(names).astype("<i8").tobytes()], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(told)
+
+    # Written once: a second evaluation could put texts into other runs.
+    return materialize(slim.mapInArrow(pack, f"run bigint, keys array<{slim.schema['key'].dataType.simpleString()}>, sizes binary, codes binary, size bigint, names array<string>, hashes binary"))
+
 
-    def number(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        name, held = TaskContext.get().partitionId() << 24, 0
+def _each_run(make: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives each run to ``make``."""
+
+    def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = []
-            for n in pc.list_value_length(b.column(2)).to_pylist():
-                if held and held + n > RUN_WORDS:
-                    name, held = name + 1, 0
-                held += n
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], ["key", "t", "w", "run"])
+            for i in range(b.num_rows):
+                yield make(_Run(b.slice(i, 1)))
 
-    # Written once: a second evaluation could put texts into other runs.
-    return materialize(slim.mapInArrow(number, f"key {slim.schema['key'].dataType.simpleString()}, t array<string>, w array<bigint>, run bigint"))
+    return run
+
+
+def _parts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of ascending keys by their leading bits."""
+    at = np.concatenate(([0], np.flatnonzero(np.diff(keys >> np.uint64(64 - bits))) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
+    return [(int(keys[a] >> np.uint64(64 - bits)), a, b) for a, b in zip(at, at[1:])]
+
+
+def _buckets(n_keys: float) -> int:
+    """Leading bits that tell buckets of about ``BUCKET_KEYS`` keys apart."""
+    return max(3, int(n_keys / BUCKET_KEYS).bit_length())
+
+
+def _sizes(runs: DataFrame) -> tuple[int, int]:
+    """How many words the runs have, and how many different ones."""
+
+    def send(run: _Run) -> pa.RecordBatch:
+        parts = [(bucket, _packed(keys[a:b])) for keys in [np.sort(run.hashes.view(np.uint64))] for bucket, a, b in _parts(keys, bits)]
+        columns = list(zip(*parts)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["bucket", "keys"])
+
+    def count(bucket: pa.Table) -> pa.Table:
+        return pa.table({"n": [len(np.unique(np.concatenate([_unpacked(x) for x in bucket.column("keys").to_pylist()])))]})
+
+    total = runs.select("sizes").mapInArrow(_total, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = _buckets(total)
+    return total, runs.mapInArrow(_each_run(send), "bucket int, keys binary").groupBy("bucket").applyInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _total(batches: Iterator) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([int(np.frombuffer(x, "<u4").sum(dtype=np.int64)) for x in b.column(0).to_pylist()], pa.int64())})
 
 
-def _met(texts: DataFrame, n_keys: float, make: Callable, score: Callable, kind: str) -> DataFrame:
-    """``texts`` without run and hashes, with ``score(text, counts in all texts of the text's keys)`` as ``value``, where ``make(hashes)`` tells a text's keys and their counts."""
-    bits = max(3, int(n_keys / BUCKET_KEYS).bit_length())
-    carried = [c for c in texts.columns if c not in ("run", "w")]
+def _met(runs: DataFrame, n_keys: float, make: Callable, score: Callable, kind: str, named: bool) -> DataFrame:
+    """(key, t, value): of every text ``score(text, counts in all texts of the text's keys)``, where ``make(hashes)`` tells a text's keys and their counts; ``t`` are its words, if ``named``."""
+    bits = _buckets(n_keys)
 
-    def send(run: pa.Table) -> pa.Table:
-        own = _texts_of(run.column("w"), make)
+    def send(run: _Run) -> pa.RecordBatch:
+        own = run.texts(make)
         keys, place = _run_keys(own)
-        n = np.bincount(place, np.concatenate([np.zeros(0), *[t.counts for t in own]]), len(keys)).astype("<u4")
-        at = np.concatenate(([0], np.flatnonzero(np.diff(keys >> np.uint64(64 - bits))) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
-        parts = [(int(keys[a] >> np.uint64(64 - bits)), run.column("run")[0].as_py(), _packed(keys[a:b]), n[a:b].tobytes()) for a, b in zip(at, at[1:])]
+        n = np.bincount(place, np.concatenate([np.zeros(0), *[t.counts for t in own]]), len(keys)).astype("<u8")
+        parts = [(bucket, run.name, _packed(keys[a:b]), _planed(n[a:b])) for bucket, a, b in _parts(keys, bits)]
         columns = list(zip(*parts)) or [(), (), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "run", "keys", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "run", "keys", "n"])
 
     def add(bucket: pa.Table) -> pa.Table:
         keys = [_unpacked(x) for x in bucket.column("keys").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in bucket.column("n").to_pylist()])
+        n = np.concatenate([_unplaned(x) for x in bucket.column("n").to_pylist()])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         told = np.bincount(place, n)[place].astype("<u8")
         ends = np.cumsum([len(k) for k in keys])
-        return pa.table([bucket.column("run"), bucket.column("bucket"), pa.array([told[e - len(k) : e].tobytes() for k, e in zip(keys, ends)], pa.binary())], ["run", "bucket", "n"])
+        return pa.table([bucket.column("run"), bucket.column("bucket"), pa.array([_planed(told[e - len(k) : e]) for k, e in zip(keys, ends)], pa.binary())], ["run", "bucket", "n"])
 
     def meet(run: pa.Table, counts: pa.Table) -> pa.Table:
-        own = _texts_of(run.column("w"), make)
+        told = _Run(run)
+        own = told.texts(make)
         _, place = _run_keys(own)
-        among = np.concatenate([np.zeros(0), *[np.frombuffer(x, "<u8") for x in counts.sort_by("bucket").column("n").to_pylist()]])[place]
+        among = np.concatenate([np.zeros(0), *[_unplaned(x) for x in counts.sort_by("bucket").column("n").to_pylist()]])[place]
         ends = np.cumsum([len(t.keys) for t in own])
-        return run.select(carried).append_column("value", pa.array([score(t, among[e - len(t.keys) : e]) for t, e in zip(own, ends)], pa.float64() if kind == "double" else pa.list_(pa.float64())))
+        value = pa.array([score(t, among[e - len(t.keys) : e]) for t, e in zip(own, ends)], pa.float64() if kind == "double" else pa.list_(pa.float64()))
+        return pa.table({"key": told.keys.values, **({"t": told.words()} if named else {}), "value": value})
 
-    sent = texts.select("run", "w").groupBy("run").applyInArrow(send, "bucket int, run bigint, keys binary, n binary")
+    sent = runs.mapInArrow(_each_run(send), "bucket int, run bigint, keys binary, n binary")
     told = sent.groupBy("bucket").applyInArrow(add, "run bigint, bucket int, n binary")
-    out = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in carried)
-    return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(meet, f"{out}, value {kind}")
+    of_key = runs.schema["keys"].dataType.elementType.simpleString()
+    return runs.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(meet, f"key {of_key}, {'t array<string>, ' * named}value {kind}")
 
 
 def own_delta_pmi(df: DataFrame, tokens: Column, key: str, width: int = 5, alpha: float = 0.5) -> DataFrame:
     """(key, delta_pmi): ``journeys.delta_pmi`` of texts against the counts of these texts themselves."""
-    texts = _in_runs(df, tokens, key, False).drop("t")
-    total = float(texts.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0])
-    told = _met(texts, total * (width + 1), lambda w: _Text(w, width), lambda t, among: t.score(among, total, alpha), "double")
+    runs = _in_runs(df, tokens, key, False)
+    total = float(_sizes(runs)[0])
+    told = _met(runs, total * (width + 1), lambda w: _Text(w, width), lambda t, among: t.score(among, total, alpha), "double", False)
     return told.select(F.col("key").alias(key), F.col("value").alias("delta_pmi"))
 
 
 def own_surprisal(df: DataFrame, tokens: Column, key: str, alpha: float = 0.1, named: bool = True) -> DataFrame:
     """(key, tokens, surprisal): nats of every word after the first under an add-alpha model of the steps from word to word in these texts. Tokens only if ``named``."""
-    texts = _in_runs(df, tokens, key, named)
-    texts = texts if named else texts.drop("t")
-    words = texts.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    told = _met(texts, total * 2.0, _Steps, lambda t, among: t.score(among, distinct, alpha), "array<double>")
+    runs = _in_runs(df, tokens, key, named)
+    total, distinct = _sizes(runs)
+    told = _met(runs, total * 2.0, _Steps, lambda t, among: t.score(among, distinct, alpha), "array<double>", named)
     return told.select(F.col("key").alias(key), *[F.col("t").alias("tokens")] * named, F.col("value").alias("surprisal"))
