@@ -7,22 +7,25 @@ made with them say nothing about numbers of neural models.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import cosine, squared_distance
 from ..sources.files import materialize
-from .pairs import own_surprisal, pair_counts
+from .pairs import chunks, own_surprisal, pair_counts
 from .windows import exact_quantiles, shared_hash
 
 
-#: Words whose distances to all words before are told at once, and the distances of different words that are held.
-FLOW_BLOCK, FLOW_HELD = 256, 1 << 21
+#: Most words of a block, counts of words before blocks that are held, distances that are made at once, words of a run of texts.
+FLOW_BLOCK, FLOW_HELD, FLOW_STEP, FLOW_WORDS = 512, 1 << 21, 1 << 17, 1_000_000
 
 
 def positions(df: DataFrame, tokens: Column, key: str) -> DataFrame:
@@ -190,48 +193,107 @@ def stepwise_distance(df: DataFrame, sentences: Column, key: str, embed) -> Data
     return held.select(key, F.explode(F.when(n >= 2, F.array(mean)).when(n == 1, F.array(F.lit(None).cast("double")))).alias("swd"))
 
 
+class _Distances:
+    """Distances of vectors. Squares are one product; those so small that a difference of products costs them digits are told by the vectors' differences."""
+
+    def __init__(self, known: np.ndarray):
+        square, one = (known * known).sum(axis=1, keepdims=True), np.ones((len(known), 1))
+        self.known, self.least = known, 1e-4 * square.max()
+        self.left, self.right = np.concatenate((known, square, one), 1), np.concatenate((-2 * known, one, square), 1)
+
+    def __call__(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Of the vectors numbered by ``rows``, (..., n), to those numbered by ``columns``, (..., m)."""
+        out = self.left[rows] @ np.swapaxes(self.right[columns], -1, -2)
+        close = np.flatnonzero(out < self.least)
+        a, b = np.divmod(close, out.shape[-1])
+        b += a // out.shape[-2] * out.shape[-1]
+        a, b = rows.reshape(-1)[a], columns.reshape(-1)[b]
+        apart, other = np.zeros(len(close)), a != b
+        apart[other] = ((self.known[a[other]] - self.known[b[other]]) ** 2).sum(-1)
+        out.reshape(-1)[close] = apart
+        return np.sqrt(out, out=out)
+
+
+def _flow(known: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """For each word from the second on the mean distance to all before it; ``word`` numbers the words in the vectors ``known``.
+
+    Distances of different words are computed once for the text, some rows at a time, each for both orders, and multiplied with the words' counts before each block of
+    places; the distances within a block are added place by place. The wider the blocks, the fewer products and the more places: a sixth of the different words is the least work.
+    """
+    n, m, apart = len(word), len(known), _Distances(known)
+    wide = int(min(FLOW_BLOCK, max(32, m // 6)))
+    out, block = np.zeros(n), np.arange(n) // wide
+    if n > wide:
+        # Counts of each word before the second block, the third and so on, some blocks at a time.
+        seen, held = np.zeros(m), max(1, FLOW_HELD // m)
+        for low in range(0, block[-1], held):
+            high = min(block[-1], low + held)
+            here = slice(low * wide, high * wide)
+            before = np.bincount((block[here] - low) * m + word[here], minlength=(high - low) * m).reshape(-1, m).astype(float)
+            before[0] += seen
+            before = np.ascontiguousarray(np.cumsum(before, axis=0, out=before).T)
+            seen = before[:, -1].copy()
+            far = np.zeros_like(before)
+            rows, every = max(16, FLOW_STEP // m), np.arange(m)
+            for r in range(0, m, rows):
+                d = apart(every[r : r + rows], every[: r + rows])
+                far[r : r + rows] += d @ before[: r + rows]
+                if r:
+                    far[:r] += d[:, :r].T @ before[r : r + rows]
+            there = slice((low + 1) * wide, min(n, (high + 1) * wide))
+            out[there] = far[word[there], block[there] - low - 1]
+    lower, each = np.tril(np.ones((wide, wide)), -1), max(1, FLOW_STEP // (wide * wide))
+    places = np.concatenate((word, np.zeros(-n % wide, word.dtype))).reshape(-1, wide)
+    for k in range(0, len(places), each):
+        near = np.einsum("kij,ij->ki", apart(places[k : k + each], places[k : k + each]), lower).reshape(-1)
+        at = k * wide
+        out[at : at + len(near)] += near[: n - at]
+    return out[1:] / np.arange(1, n)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _mean_distances(flat: pd.Series, size: pd.Series) -> pd.Series:
-    """For each vector from the second on the mean distance to all before it; equal vectors are compared once."""
-
-    def apart(x, y):
-        out = np.zeros((len(x), len(y)))
-        for c, d in zip(x.T, y.T):
-            out += (c[:, None] - d[None, :]) ** 2
-        return np.sqrt(out, out=out)
+    """``_flow`` of the vectors of each text's words."""
 
     def journey(v, n):
         if v is None or n < 2:
             return None
         known, word = np.unique(np.asarray(v, float).reshape(int(n), -1), axis=0, return_inverse=True)
-        word = word.reshape(-1)
-        out, blocks = np.zeros(len(word)), []
-        for at in range(0, len(word), FLOW_BLOCK):
-            here = word[at : at + FLOW_BLOCK]
-            own, row = np.unique(here, return_inverse=True)
-            blocks.append((at, here, own, row))
-            near = apart(known[own], known[own])
-            out[at : at + len(here)] = np.tril(near[row[:, None], row[None, :]], -1).sum(axis=1)
-        # The distances of each two words are computed once for the text, some columns at a time, not once for every block.
-        wide = max(1, FLOW_HELD // len(known))
-        for low in range(0, len(known) if len(blocks) > 1 else 0, wide):
-            distance = apart(known, known[low : low + wide])
-            seen = np.zeros(distance.shape[1])
-            for at, here, own, row in blocks:
-                out[at : at + len(here)] += (distance[own] @ seen)[row]
-                inside = here[(here >= low) & (here < low + wide)] - low
-                seen += np.bincount(inside, minlength=len(seen))
-        return out[1:] / np.arange(1, len(word))
+        return _flow(known, word.reshape(-1))
 
     return pd.Series([journey(v, n) for v, n in zip(flat, size)], dtype=object)
 
 
+def _hash_vectors(names: list[str], dim: int = 4) -> np.ndarray:
+    """``hash_vector`` of each word."""
+    first = b"".join(md5(w.encode() + b"|%d" % k).digest()[:4] for w in names for k in range(dim))
+    return np.frombuffer(first, ">u4").reshape(-1, dim) / 4294967296.0 - 0.5
+
+
+def _word_journeys(batches: Iterator) -> Iterator[pa.RecordBatch]:
+    """(key, journey) of (t, key) by hash vectors, which are made once for the different words of a run of texts."""
+    for run in chunks(batches, FLOW_WORDS):
+        words = pa.concat_arrays([b.column(0).flatten() for b in run]).dictionary_encode()
+        codes, vectors, at = words.indices.to_numpy(), _hash_vectors(words.dictionary.to_pylist()), 0
+        for b in run:
+            told = []
+            for n in pc.fill_null(pc.list_value_length(b.column(0)), 0).to_pylist():
+                known, word = np.unique(codes[at : at + n], return_inverse=True)
+                told.append(_flow(vectors[known], word) if n > 1 else None)
+                at += n
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(told, pa.list_(pa.float64()))], ["key", "journey"])
+
+
 def forward_flow(df: DataFrame, tokens: Column, key: str, vector=hash_vector) -> DataFrame:
     """Mean over words from the second on of the mean distance to all words before; null under two words.
 
     Stays in the row: quadratic in the words of one text, no shuffle.
     """
-    held = df.select(key, _mean_distances(F.flatten(F.transform(tokens, lambda w: vector(w))), F.size(tokens)).alias("journey"))
+    if vector is hash_vector:
+        slim = df.select(tokens.alias("t"), F.col(key).alias("key"))
+        held = slim.mapInArrow(_word_journeys, f"key {slim.schema['key'].dataType.simpleString()}, journey array<double>").select(F.col("key").alias(key), "journey")
+    else:
+        held = df.select(key, _mean_distances(F.flatten(F.transform(tokens, lambda w: vector(w))), F.size(tokens)).alias("journey"))
     return held.select(key, "journey", (F.aggregate("journey", F.lit(0.0), lambda a, x: a + x) / F.size("journey")).alias("flow"))
 
 

@@ -37,7 +37,7 @@ def pair_counts(df: DataFrame, tokens: Column, width: int = 5) -> DataFrame:
     """(w1, w2, n): ordered pairs of words at most ``width`` places apart, without a place with itself."""
 
     def count(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        for run in _chunks(batches, RUN_WORDS):
+        for run in chunks(batches, RUN_WORDS):
             run = [x.column(0) for x in run]
             words = pa.concat_arrays([x.flatten() for x in run]).dictionary_encode()
             if not len(words):
@@ -60,7 +60,7 @@ def pair_counts(df: DataFrame, tokens: Column, width: int = 5) -> DataFrame:
     return each.select(F.explode(both).alias("p")).select("p.w1", "p.w2", "p.n")
 
 
-def _chunks(batches: Iterator, most: int) -> Iterator[list]:
+def chunks(batches: Iterator, most: int) -> Iterator[list]:
     """Lists of slices of the batches whose first columns hold about ``most`` words together."""
     held, n = [], 0
     for b in batches:
@@ -189,7 +189,7 @@ def _in_runs(df: DataFrame, tokens: Column, key: str, named: bool) -> DataFrame:
 
     def pack(batches: Iterator) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 24
-        for n, run in enumerate(_chunks(batches, RUN_WORDS)):
+        for n, run in enumerate(chunks(batches, RUN_WORDS)):
             words = pa.concat_arrays([x.column(0).flatten() for x in run]).dictionary_encode()
             at = words.indices.to_numpy()
             order = np.argsort(-np.bincount(at, minlength=len(words.dictionary)), kind="stable")
