@@ -18,15 +18,17 @@ WINDOW, TINY = 110, 1e-12
 
 
 def text_clusters(df: DataFrame, tokens: Column, key: str, k: int, features: int = 512, seed: int = 42) -> DataFrame:
-    """(key, topic): texts in k clusters of their hashed, document-frequency weighted words."""
+    """(key, words, topic): texts in k clusters of their hashed, document-frequency weighted words."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
     words = df.select(F.col(key), F.coalesce(tokens, F.array().cast("array<string>")).alias("words"))
-    hashed = HashingTF(numFeatures=features, inputCol="words", outputCol="tf").transform(words).drop("words")
-    weighted = Normalizer(inputCol="idf", outputCol="features").transform(IDF(inputCol="tf", outputCol="idf").fit(hashed).transform(hashed)).select(key, "features")
-    held = materialize(weighted)
-    return KMeans(k=k, seed=seed).fit(held).transform(held).select(key, F.col("prediction").alias("topic"))
+    hashed = HashingTF(numFeatures=features, inputCol="words", outputCol="tf").transform(words)
+    # Numbers of words are written, which take a few bytes each; the weights, which do not, are made from them in every pass.
+    held = materialize(hashed.select("tf"))
+    idf, normal = IDF(inputCol="tf", outputCol="idf").fit(held), Normalizer(inputCol="idf", outputCol="features")
+    model = KMeans(k=k, seed=seed).fit(normal.transform(idf.transform(held)).select("features"))
+    return model.transform(normal.transform(idf.transform(hashed))).select(key, "words", F.col("prediction").alias("topic"))
 
 
 def terms(tokens: Column, stop: Sequence[str] = ()) -> Column:
@@ -73,12 +75,16 @@ def merged_topics(counts: DataFrame, least: float, min_df: int = 1) -> DataFrame
     total count and the number of topics alone, so that the terms are joined once, and united topics' products are sums of their parts'.
     """
     names = {r[0]: r[0] for r in counts.select("topic").distinct().collect()}
-    if min_df <= 1 and names:
-        mass, total = shared_mass(counts), counts.agg(F.sum("c")).first()[0]
+    held = (shared_mass(counts), counts.agg(F.sum("c")).first()[0]) if min_df <= 1 and names else None
+    return counts.sparkSession.createDataFrame(sorted(united(names, least, held, counts, min_df).items()), "topic int, into int")
+
+
+def united(names: dict, least: float, held: tuple[DataFrame, int] | None, counts: DataFrame | None = None, min_df: int = 1) -> dict:
+    """Into which topic each of ``names`` goes: by ``held``, the products of ``shared_mass`` and the sum of all counts, or else by ``counts``."""
     while True:
-        if min_df <= 1 and names:
-            weight = F.log(1 + F.lit(total / len(set(names.values()))) / F.col("f"))
-            alike = _alike(mass.groupBy("x", "y").agg(F.sum(F.col("mass") * weight * weight)).collect(), names, least)
+        if held:
+            weight = F.log(1 + F.lit(held[1] / len(set(names.values()))) / F.col("f"))
+            alike = _alike(held[0].groupBy("x", "y").agg(F.sum(F.col("mass") * weight * weight)).collect(), names, least)
         else:
             step = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None)
             now = counts.withColumn("topic", step[F.col("topic")]).groupBy("topic", "term").agg(F.sum("c").alias("c")) if names else counts
@@ -89,7 +95,7 @@ def merged_topics(counts: DataFrame, least: float, min_df: int = 1) -> DataFrame
                 taken |= {x, y}
                 names = {k: x if v == y else v for k, v in names.items()}
         if not taken:
-            return counts.sparkSession.createDataFrame(sorted(names.items()), "topic int, into int")
+            return names
 
 
 def _alike(products: list, names: dict, least: float) -> list[tuple]:

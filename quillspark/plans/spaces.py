@@ -15,8 +15,10 @@ from ..operators import lexicons as lx
 from ..operators import matching as ma
 from ..operators import neighbours as ne
 from ..operators import subwords as sw
+from ..operators import topic_runs as tr
 from ..operators import topics as to
 from ..operators import vectors as ve
+from ..operators.windows import top_per_group
 from ..sources import files as fi
 from .registry import Tables, plan
 from .relational import h_sql
@@ -146,28 +148,25 @@ def subword_surprisal_documents(spark, sf_dir):
 
 
 def _topic_counts(spark, sf_dir):
-    """Clusters of the documents, and of each topic its terms' counts, written."""
+    """Clusters of the documents in runs of texts, and of each topic its terms' counts in buckets of terms, written."""
     d = Tables(spark, sf_dir).documents
-    placed = fi.materialize(to.text_clusters(d, tk.alnum(F.col("text")), "doc_id", 20))
-    # Pairs are made from a column of words: an expression inside their function would cut the text anew for every word.
-    words = d.select("doc_id", tk.alnum(F.col("text")).alias("words"))
-    each = words.select("doc_id", F.explode(to.terms(F.col("words"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
-    held = fi.materialize(each.join(placed, "doc_id"))
-    return held, fi.materialize(held.groupBy("topic", "term").agg(F.sum("c").alias("c")))
+    runs = tr.topic_runs(to.text_clusters(d, tk.alnum(F.col("text")), "doc_id", 20), F.col("words"), "doc_id", "topic")
+    return runs, tr.term_buckets(runs)
 
 
 @plan("EM11 EM9 TK7")
 def topic_model(spark, sf_dir):
     """Terms of one and two words of the documents' topics, near topics united, with the texts most typical of each."""
-    held, counts = _topic_counts(spark, sf_dir)
-    into = fi.materialize(to.merged_topics(counts, 0.9))
-    named = lambda df: df.join(F.broadcast(into), "topic").drop("topic").withColumnRenamed("into", "topic")  # noqa: E731  one row a topic
-    united = named(counts).groupBy("topic", "term").agg(F.sum("c").alias("c"))
-    weights = fi.materialize(to.topic_terms(united, min_df=2))
+    runs, buckets = _topic_counts(spark, sf_dir)
+    mass, total = tr.shared_mass(buckets), buckets.agg(F.sum("c")).first()[0]
+    into = to.united({r[0]: r[0] for r in mass.select("x").distinct().collect()}, 0.9, (mass, total))
+    sizes = tr.topic_sizes(buckets, into, min_df=2)
+    weights, norms = tr.leading_weights(runs, buckets, into, sizes, min_df=2, top=30)
     words = to.diverse_terms(weights).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("terms"))
-    texts = to.typical_texts(named(held), weights, "doc_id").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"]).alias("typical"))
-    sizes = named(held.select("doc_id", "topic").distinct()).groupBy("topic").agg(F.count("*").alias("n"))
-    return sizes.join(words, "topic", "left").join(texts, "topic", "left")
+    scored = tr.scored_texts(runs, buckets, into, sizes, norms, 2, "doc_id")
+    first = top_per_group(scored.filter("similarity IS NOT NULL"), ["topic"], [F.col("similarity").desc(), "doc_id"], 3, "place")
+    texts = first.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"]).alias("typical"))
+    return scored.groupBy("topic").agg(F.count("*").alias("n")).join(words, "topic", "left").join(texts, "topic", "left")
 
 
 _LANG_WORDS = r"""WITH RECURSIVE t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
