@@ -214,34 +214,42 @@ class _Distances:
         return np.sqrt(out, out=out)
 
 
+def _products(apart: _Distances, counts: np.ndarray) -> np.ndarray:
+    """The distances of all vectors times counts, (vectors, n); some rows at a time, each for both orders."""
+    out, every = np.zeros_like(counts), np.arange(len(counts))
+    rows = max(16, FLOW_STEP // len(counts))
+    for r in range(0, len(counts), rows):
+        d = apart(every[r : r + rows], every[: r + rows])
+        out[r : r + rows] += d @ counts[: r + rows]
+        out[:r] += d[:, :r].T @ counts[r : r + rows]
+    return out
+
+
 def _flow(known: np.ndarray, word: np.ndarray) -> np.ndarray:
     """For each word from the second on the mean distance to all before it; ``word`` numbers the words in the vectors ``known``.
 
-    Distances of different words are computed once for the text, some rows at a time, each for both orders, and multiplied with the words' counts before each block of
-    places; the distances within a block are added place by place. The wider the blocks, the fewer products and the more places: a sixth of the different words is the least work.
+    Distances of different words are computed once for the text and multiplied with the words' counts before each block of places; the distances within a block are added place by place. The wider the blocks, the fewer products and the more places: a sixth of the different words is the least work.
     """
     n, m, apart = len(word), len(known), _Distances(known)
     wide = int(min(FLOW_BLOCK, max(32, m // 6)))
     out, block = np.zeros(n), np.arange(n) // wide
-    if n > wide:
-        # Counts of each word before the second block, the third and so on, some blocks at a time.
-        seen, held = np.zeros(m), max(1, FLOW_HELD // m)
-        for low in range(0, block[-1], held):
-            high = min(block[-1], low + held)
-            here = slice(low * wide, high * wide)
-            before = np.bincount((block[here] - low) * m + word[here], minlength=(high - low) * m).reshape(-1, m).astype(float)
+    # Counts of each word before the second block, the third and so on: all blocks at once if they can be held, else some blocks and words at a time.
+    held, every, last = max(1, FLOW_HELD // m), np.arange(m), int(block[-1])
+    columns = m if last <= held else held
+    for left in range(0, m if last else 0, columns):
+        size = min(columns, m - left)
+        distance, seen = None if columns == m else apart(every, every[left : left + size]), np.zeros(size)
+        for low in range(0, last, held):
+            high = min(last, low + held)
+            here = word[low * wide : high * wide] - left
+            inside = (here >= 0) & (here < size)
+            before = np.bincount(((block[low * wide : high * wide] - low) * size + here)[inside], minlength=(high - low) * size).reshape(-1, size).astype(float)
             before[0] += seen
             before = np.ascontiguousarray(np.cumsum(before, axis=0, out=before).T)
             seen = before[:, -1].copy()
-            far = np.zeros_like(before)
-            rows, every = max(16, FLOW_STEP // m), np.arange(m)
-            for r in range(0, m, rows):
-                d = apart(every[r : r + rows], every[: r + rows])
-                far[r : r + rows] += d @ before[: r + rows]
-                if r:
-                    far[:r] += d[:, :r].T @ before[r : r + rows]
+            far = _products(apart, before) if distance is None else distance @ before
             there = slice((low + 1) * wide, min(n, (high + 1) * wide))
-            out[there] = far[word[there], block[there] - low - 1]
+            out[there] += far[word[there], block[there] - low - 1]
     lower, each = np.tril(np.ones((wide, wide)), -1), max(1, FLOW_STEP // (wide * wide))
     places = np.concatenate((word, np.zeros(-n % wide, word.dtype))).reshape(-1, wide)
     for k in range(0, len(places), each):
