@@ -182,14 +182,14 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(data, "<u8", 1), _unplaned(data[8:]))), dtype=np.uint64)
 
 
-def _in_runs(df: DataFrame, tokens: Column, key: str, named: bool) -> DataFrame:
-    """Runs of texts of about ``RUN_WORDS`` words, a row each, written: the texts' keys and sizes, and their words as numbers into the run's different words,
+def _in_runs(df: DataFrame, tokens: Column, key: str, named: bool, most: int | None = None) -> DataFrame:
+    """Runs of texts of about ``most`` (``RUN_WORDS``) words, a row each, written: the texts' keys and sizes, and their words as numbers into the run's different words,
     of which the names are kept if ``named``, else their hashes."""
-    slim = df.select(F.coalesce(tokens, F.array().cast("array<string>")).alias("t"), F.col(key).alias("key"))
+    slim, most = df.select(F.coalesce(tokens, F.array().cast("array<string>")).alias("t"), F.col(key).alias("key")), most or RUN_WORDS
 
     def pack(batches: Iterator) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 24
-        for n, run in enumerate(chunks(batches, RUN_WORDS)):
+        for n, run in enumerate(chunks(batches, most)):
             words = pa.concat_arrays([x.column(0).flatten() for x in run]).dictionary_encode()
             at = words.indices.to_numpy()
             order = np.argsort(-np.bincount(at, minlength=len(words.dictionary)), kind="stable")

@@ -18,31 +18,38 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..sources.files import materialize
 from . import pairs as pr
 
+#: Words of a run: a text's words and pairs take twice the memory of its steps.
+RUN_WORDS = 500_000
 _SENT = "bucket int, run bigint, keys binary, topics binary, n binary"
 
 
 class _Terms:
-    """Of one run: its different terms (words, then pairs of neighbouring words), and for each topic's terms, by key and topic, their numbers."""
+    """Of one run: its different terms (words, then pairs of neighbouring words), and, once counted, for each topic's terms, by key and topic, their numbers."""
 
     def __init__(self, run: pr._Run):
         self.run, self.topics = run, run.keys.values.field("topic").to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = pr._mixed(run.hashes.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        text = np.repeat(np.arange(len(run.sizes)), run.sizes)
-        same = text[1:] == text[:-1]
+        self.text = np.repeat(np.arange(len(run.sizes), dtype=np.int32), run.sizes)
+        same = self.text[1:] == self.text[:-1]
         known = max(1, len(self.words))
-        pair, at = np.unique((run.codes[:-1] * known + run.codes[1:])[same], return_inverse=True)
+        pair, self.at = np.unique((run.codes[:-1] * known + run.codes[1:])[same], return_inverse=True)
         self.first, self.second = np.divmod(pair, known)
         pairs = pr._mixed(self.words[self.first] * np.uint64(3) + pr._mixed(self.words[self.second] ^ np.uint64(0xD6E8FEB86659FD93)))
         self.keys = np.concatenate((self.words, pairs))
-        self.term, self.text = np.concatenate((run.codes, len(self.words) + at)), np.concatenate((text, text[1:][same]))
+        self.wide, self.same = int(self.topics.max(initial=0)) + 1, same
+
+    def count(self) -> _Terms:
         # Terms by their keys, so that equal texts of different runs are summed in one order.
         order = np.argsort(self.keys, kind="stable")
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
-        self.wide = int(self.topics.max(initial=0)) + 1
-        self.entry, self.n = np.unique(self.place[self.term] * self.wide + self.topics[self.text], return_counts=True)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.place = np.concatenate((place[self.run.codes], place[len(self.words) + self.at]))
+        self.text = np.concatenate((self.text, self.text[1:][self.same]))
+        del self.at, self.same
+        self.entry, self.n = np.unique(self.place.astype(np.int64) * self.wide + self.topics[self.text], return_counts=True)
         at, self.entry_topic = np.divmod(self.entry, self.wide)
         self.entry_key = self.keys[order][at]
+        return self
 
     def names(self, keys: np.ndarray) -> tuple[np.ndarray, list[str]]:
         """Those of the keys, ascending, that the run has, and their terms."""
@@ -79,7 +86,7 @@ class _Bucket:
 def topic_runs(df: DataFrame, words: Column, key: str, topic: str) -> DataFrame:
     """Runs of texts, as ``pairs`` has them, each text's key with its topic."""
     own = F.struct(F.col(key).alias("key"), F.col(topic).cast("int").alias("topic"))
-    return pr._in_runs(df.select(own.alias("own"), words.alias("words")), F.col("words"), "own", True)
+    return pr._in_runs(df.select(own.alias("own"), words.alias("words")), F.col("words"), "own", True, min(RUN_WORDS, pr.RUN_WORDS))
 
 
 def term_buckets(runs: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def term_buckets(runs: DataFrame) -> DataFrame:
     bits = pr._buckets(2 * runs.select("sizes").mapInArrow(pr._total, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     def send(run: pr._Run) -> pa.RecordBatch:
-        t = _Terms(run)
+        t = _Terms(run).count()
         rows = [(k, run.name, pr._packed(t.entry_key[a:b]), pr._planed(t.entry_topic[a:b]), pr._planed(t.n[a:b])) for k, a, b in pr._parts(t.entry_key, bits)]
         columns = list(zip(*rows)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 3))], ["bucket", "run", "keys", "topics", "n"])
@@ -184,12 +191,12 @@ def scored_texts(runs: DataFrame, buckets: DataFrame, into: dict, sizes: dict, n
         return {"run": b.runs, "bucket": [b.number] * len(parts), "c": [pr._planed(c[a:e]) for a, e in parts], "f": [pr._planed(f[a:e]) for a, e in parts]}
 
     def score(run: pa.Table, told: pa.Table) -> pa.Table:
-        t, told = _Terms(pr._Run(run)), told.sort_by("bucket")
+        t, told = _Terms(pr._Run(run)).count(), told.sort_by("bucket")
         c, f = (np.concatenate([np.zeros(0), *[pr._unplaned(x) for x in told.column(x).to_pylist()]]) for x in "cf")
         topic = np.array([into.get(k, 0) for k in range(t.wide)], np.int64)
         size = np.array([sizes.get(k, 1) for k in range(int(topic.max(initial=0)) + 1)], float)
         weight = np.where(c > 0, c / size[topic[t.entry_topic]] * np.log(1 + mean / np.maximum(f, 1)), 0.0)
-        own, n = np.unique(t.text * max(1, len(t.keys)) + t.place[t.term], return_counts=True)
+        own, n = np.unique(t.text.astype(np.int64) * max(1, len(t.keys)) + t.place, return_counts=True)
         text, place = np.divmod(own, max(1, len(t.keys)))
         w = weight[np.searchsorted(t.entry, place * t.wide + t.topics[text])]
         each = len(t.topics)
