@@ -20,6 +20,8 @@ from . import pairs as pr
 
 #: Words of a run: a text's words and pairs take twice the memory of its steps.
 RUN_WORDS = 500_000
+#: Buckets for one of ``pairs``: all that is known of a bucket's terms is made at once.
+SHARE = 4
 _SENT = "bucket int, run bigint, keys binary, topics binary, n binary"
 
 
@@ -91,7 +93,7 @@ def topic_runs(df: DataFrame, words: Column, key: str, topic: str) -> DataFrame:
 
 def term_buckets(runs: DataFrame) -> DataFrame:
     """(bucket, c, runs, keys, topics, n), written, a row for each bucket: what every run sent of its terms; ``c`` is the sum of the numbers."""
-    bits = pr._buckets(2 * runs.select("sizes").mapInArrow(pr._total, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    bits = pr._buckets(2 * SHARE * runs.select("sizes").mapInArrow(pr._total, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     def send(run: pr._Run) -> pa.RecordBatch:
         t = _Terms(run).count()
